@@ -1,0 +1,213 @@
+"""The stages of a run, in order: ingest, clean, load, snapshot, build, test.
+
+Each stage reads published tables and publishes its own, so a lost executor
+costs the running job only and a failed stage can be run again.  The first
+error ends the run; nothing after it executes.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.columns import month_key
+from tidemark.operators.dedup import require_unique
+from tidemark.operators.history import NTZ, VALID_TO, open_versions, scd2_start, scd2_step
+from tidemark.operators.upsert import increment, upsert
+from tidemark.plans import checks, models
+from tidemark.plans.cleaning import SPECS, rejected, silver, silver_refresh
+from tidemark.plans.warehouse import to_raw
+from tidemark.schemas import TABLES
+from tidemark.sources import store
+from tidemark.sources.bronze import read_batch, read_bronze
+from tidemark.sources.ingest import SOURCES, Ingested, extract
+
+HISTORY = "customers_snapshot"
+_OPEN = "open"
+
+
+@dataclass(frozen=True)
+class CleanCounts:
+    """Row counts of a cleaning run, taken from what was written."""
+
+    bronze: int
+    valid: int
+    duplicates: int
+    rejected: int
+    silver: int
+
+
+class FailedChecks(AssertionError):
+    """Checks with severity error found failing rows."""
+
+
+def ingest(
+    sources: dict[str, DataFrame], base: str, system: str, ingested_at: str | None = None
+) -> dict[str, Ingested]:
+    """Extract every given source; keys are names of ``SOURCES``."""
+    return {
+        name: extract(df, SOURCES[name], base, system, ingested_at=ingested_at)
+        for name, df in sources.items()
+    }
+
+
+def clean(spark: SparkSession, base: str, table: str, run_ts: str) -> CleanCounts:
+    """Rebuild Silver and rejects of a table from its whole Bronze history.
+
+    Bronze is scanned twice, once per output: rejects need no shuffle, and a
+    stored copy of the classified history would cost more than a second scan.
+    The counts come from Parquet footers of what was written, so task retries
+    cannot distort them.
+    """
+    spec = SPECS[table]
+    bronze = read_bronze(spark, base, table)
+    if bronze is None:
+        raise LookupError(f"{table}: no Bronze data")
+    store.publish(rejected(bronze, spec, run_ts), base, f"rejected_{table}")
+    store.publish(silver(bronze, spec, run_ts), base, f"silver_{table}")
+    n_bronze = bronze.count()
+    n_rejected = store.read_table(spark, base, f"rejected_{table}").count()
+    n_silver = store.read_table(spark, base, f"silver_{table}").count()
+    n_valid = n_bronze - n_rejected
+    return CleanCounts(n_bronze, n_valid, n_valid - n_silver, n_rejected, n_silver)
+
+
+def clean_batch(spark: SparkSession, base: str, batch: Ingested, run_ts: str) -> None:
+    """Fold one Bronze batch into the published Silver and rejects.
+
+    Reads the batch and current Silver (one row per key) instead of the whole
+    history, with the same result as ``clean``, but for the processing time of
+    rows that did not change.
+    """
+    spec = SPECS[batch.table]
+    rows = read_batch(spark, base, batch.table, batch.batch_id, batch.ingested_at)
+    old = store.read_table(spark, base, f"silver_{batch.table}")
+    bad = rejected(rows, spec, run_ts).withColumn("_part", F.lit(batch.batch_id))
+    store.publish_slices(bad, base, f"rejected_{batch.table}", "_part", replaced=[])
+    store.publish(silver_refresh(old, rows, spec, run_ts), base, f"silver_{batch.table}")
+
+
+def load(spark: SparkSession, base: str, table: str) -> None:
+    """Typed reload of RAW; an empty load fails and leaves RAW as it was."""
+    raw = to_raw(store.read_table(spark, base, f"silver_{table}"), table)
+    store.publish(raw, base, f"raw_{table}", allow_empty=False)
+
+
+def staging(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """Staging views over published RAW tables."""
+    return {
+        f"stg_{t}": models.staged(store.read_table(spark, base, f"raw_{t}"), t) for t in TABLES
+    }
+
+
+def snapshot(spark: SparkSession, base: str, customers: DataFrame, run_ts: str) -> None:
+    """Next customer snapshot.
+
+    Open versions are one slice, versions closed by a run are a slice of their
+    own that no later run reads or rewrites.
+    """
+    current = models.snapshot_source(customers)
+    require_unique(current, ["customer_id"], HISTORY)
+    ts = F.lit(run_ts).cast(NTZ)
+    if store.exists(spark, base, HISTORY):
+        opened = open_versions(store.read_table(spark, base, HISTORY, [_OPEN]))
+        rows = scd2_step(opened, current, "customer_id", models.TRACKED, ts)
+    else:
+        rows = scd2_start(current, ts)
+    part = F.coalesce(F.date_format(VALID_TO, "'closed-'yyyyMMdd'T'HHmmss"), F.lit(_OPEN))
+    store.publish_slices(rows.withColumn("_part", part), base, HISTORY, "_part", replaced=[_OPEN])
+
+
+def refresh_fact_orders(
+    spark: SparkSession, base: str, orders: DataFrame, items: DataFrame, full: bool = False
+) -> None:
+    """Build the order fact, or merge the orders at or after its last purchase.
+
+    The fact is sliced by purchase month.  A merge aggregates the items of the
+    increment only and rewrites only months that gain, change or lose an order.
+    """
+    table = "fact_orders"
+    by_month = {"_month": month_key(F.col("order_purchase_timestamp"))}
+    if full or not store.exists(spark, base, table):
+        fact = models.fact_orders(orders, models.item_totals(items)).withColumns(by_month)
+        store.publish_slices(fact, base, table, "_month")
+        return
+
+    target = store.read_table(spark, base, table).withColumns(by_month)
+    new = increment(orders, target, "order_purchase_timestamp")
+    new_items = items.join(new.select("order_id"), "order_id", "left_semi")
+    incoming = store.stage(
+        models.fact_orders(new, models.item_totals(new_items)).withColumns(by_month)
+    )
+    require_unique(incoming, ["order_id"], table)
+    replaced = target.join(incoming.select("order_id"), "order_id", "left_semi")
+    # Months of the calendar: a small list however many orders there are.
+    touched = incoming.select("_month").unionByName(replaced.select("_month")).distinct().collect()
+    months = [str(row[0]) for row in touched]
+    if not months:
+        return
+    old = store.read_table(spark, base, table, months).withColumns(by_month)
+    store.publish_slices(upsert(old, incoming, ["order_id"]), base, table, "_month", months)
+
+
+def build(spark: SparkSession, base: str, full: bool = False) -> None:
+    """Dimensions and facts from staging and the customer history."""
+    stg = staging(spark, base)
+    history = store.read_table(spark, base, HISTORY, [_OPEN])
+    store.publish(models.dim_customers(history), base, "dim_customers")
+    store.publish(models.dim_products(stg["stg_products"]), base, "dim_products")
+    store.publish(models.dim_date(spark), base, "dim_date")
+    refresh_fact_orders(spark, base, stg["stg_orders"], stg["stg_order_items"], full)
+    store.publish(
+        models.fact_payments(stg["stg_order_payments"], stg["stg_orders"]), base, "fact_payments"
+    )
+
+
+def all_models(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """Every model by name, as the checks expect them."""
+    frames = {f"raw_{t}": store.read_table(spark, base, f"raw_{t}") for t in TABLES}
+    frames |= staging(spark, base)
+    frames["int_order_items_aggregated"] = models.item_totals(frames["stg_order_items"])
+    for name in ("dim_customers", "dim_products", "dim_date", "fact_orders", "fact_payments"):
+        frames[name] = store.read_table(spark, base, name)
+    return frames
+
+
+def test(spark: SparkSession, base: str) -> list:
+    """Run all checks; raise if one with severity error fails.
+
+    Returns the 57 lines of the report.
+    """
+    lines = checks.report(all_models(spark, base)).collect()
+    errors = [row for row in lines if row["status"] == "error"]
+    if errors:
+        raise FailedChecks("; ".join(f"{r.kind} {r.model} {r.column_name}: {r.failures}" for r in errors))
+    return lines
+
+
+def run(
+    spark: SparkSession,
+    base: str,
+    sources: dict[str, DataFrame],
+    system: str,
+    run_ts: str,
+    full: bool = False,
+) -> list:
+    """One complete run over the given sources."""
+    require_utc(spark)
+    ingest(sources, base, system, run_ts)
+    for table in TABLES:
+        clean(spark, base, table, run_ts)
+        load(spark, base, table)
+    snapshot(spark, base, staging(spark, base)["stg_customers"], run_ts)
+    build(spark, base, full)
+    return test(spark, base)
+
+
+def require_utc(spark: SparkSession) -> None:
+    """Zoned source times become wall-clock times in the session zone."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "Z", "GMT"):
+        raise RuntimeError(f"session time zone is {zone}, set spark.sql.session.timeZone=UTC")
