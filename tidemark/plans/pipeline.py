@@ -2,12 +2,14 @@
 
 Each stage reads published tables and publishes its own, so a lost executor
 costs the running job only and a failed stage can be run again.  The first
-error ends the run; nothing after it executes.
+error ends the run; no later stage executes.  Tables of one stage do not depend
+on each other, so their jobs run side by side.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from tidemark.plans.warehouse import to_raw
 from tidemark.schemas import TABLES
 from tidemark.sources import store
 from tidemark.sources.bronze import read_batch, read_bronze
+from tidemark.sources.concurrent import together
 from tidemark.sources.ingest import SOURCES, Ingested, extract
 
 HISTORY = "customers_snapshot"
@@ -47,10 +50,12 @@ def ingest(
     sources: dict[str, DataFrame], base: str, system: str, ingested_at: str | None = None
 ) -> dict[str, Ingested]:
     """Extract every given source; keys are names of ``SOURCES``."""
-    return {
-        name: extract(df, SOURCES[name], base, system, ingested_at=ingested_at)
-        for name, df in sources.items()
-    }
+    return together(
+        {
+            name: partial(extract, df, SOURCES[name], base, system, ingested_at=ingested_at)
+            for name, df in sources.items()
+        }
+    )
 
 
 def clean(spark: SparkSession, base: str, table: str, run_ts: str) -> CleanCounts:
@@ -65,13 +70,11 @@ def clean(spark: SparkSession, base: str, table: str, run_ts: str) -> CleanCount
     bronze = read_bronze(spark, base, table)
     if bronze is None:
         raise LookupError(f"{table}: no Bronze data")
-    store.publish(rejected(bronze, spec, run_ts), base, f"rejected_{table}")
-    store.publish(silver(bronze, spec, run_ts), base, f"silver_{table}")
     n_bronze = bronze.count()
-    n_rejected = store.read_table(spark, base, f"rejected_{table}").count()
-    n_silver = store.read_table(spark, base, f"silver_{table}").count()
-    n_valid = n_bronze - n_rejected
-    return CleanCounts(n_bronze, n_valid, n_valid - n_silver, n_rejected, n_silver)
+    bad = store.publish(rejected(bronze, spec, run_ts), base, f"rejected_{table}").count()
+    good = store.publish(silver(bronze, spec, run_ts), base, f"silver_{table}").count()
+    n_valid = n_bronze - bad
+    return CleanCounts(n_bronze, n_valid, n_valid - good, bad, good)
 
 
 def clean_batch(spark: SparkSession, base: str, batch: Ingested, run_ts: str) -> None:
@@ -97,9 +100,8 @@ def load(spark: SparkSession, base: str, table: str) -> None:
 
 def staging(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     """Staging views over published RAW tables."""
-    return {
-        f"stg_{t}": models.staged(store.read_table(spark, base, f"raw_{t}"), t) for t in TABLES
-    }
+    raw = _read_all(spark, base, [f"raw_{t}" for t in TABLES])
+    return {f"stg_{t}": models.staged(raw[f"raw_{t}"], t) for t in TABLES}
 
 
 def snapshot(spark: SparkSession, base: str, customers: DataFrame, run_ts: str) -> None:
@@ -156,25 +158,32 @@ def build(spark: SparkSession, base: str, full: bool = False) -> None:
     """Dimensions and facts from staging and the customer history."""
     stg = staging(spark, base)
     history = store.read_table(spark, base, HISTORY, [_OPEN])
-    store.publish(models.dim_customers(history), base, "dim_customers")
-    store.publish(models.dim_products(stg["stg_products"]), base, "dim_products")
-    store.publish(models.dim_date(spark), base, "dim_date")
-    refresh_fact_orders(spark, base, stg["stg_orders"], stg["stg_order_items"], full)
-    store.publish(
-        models.fact_payments(stg["stg_order_payments"], stg["stg_orders"]), base, "fact_payments"
-    )
+    orders = stg["stg_orders"]
+    tables = {
+        "dim_customers": models.dim_customers(history),
+        "dim_products": models.dim_products(stg["stg_products"]),
+        "dim_date": models.dim_date(spark),
+        "fact_payments": models.fact_payments(stg["stg_order_payments"], orders),
+    }
+    calls = {name: partial(store.publish, df, base, name) for name, df in tables.items()}
+    items = stg["stg_order_items"]
+    calls["fact_orders"] = partial(refresh_fact_orders, spark, base, orders, items, full)
+    together(calls)
 
 
 def all_models(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     """Every model by name, as the checks expect them."""
-    frames = {f"raw_{t}": store.read_table(spark, base, f"raw_{t}") for t in TABLES}
-    frames |= staging(spark, base)
+    marts = ("dim_customers", "dim_products", "dim_date", "fact_orders", "fact_payments")
+    frames = _read_all(spark, base, [*[f"raw_{t}" for t in TABLES], *marts])
+    frames |= {f"stg_{t}": models.staged(frames[f"raw_{t}"], t) for t in TABLES}
     frames["int_order_items_aggregated"] = models.item_totals(frames["stg_order_items"])
-    for name in ("dim_customers", "dim_products", "dim_date", "fact_orders", "fact_payments"):
-        frames[name] = store.read_table(spark, base, name)
     return frames
 
 
+def _read_all(spark: SparkSession, base: str, names: list[str]) -> dict[str, DataFrame]:
+    return together({name: partial(store.read_table, spark, base, name) for name in names})
+
+
 def test(spark: SparkSession, base: str) -> list:
     """Run all checks; raise if one with severity error fails.
 
@@ -198,9 +207,8 @@ def run(
     """One complete run over the given sources."""
     require_utc(spark)
     ingest(sources, base, system, run_ts)
-    for table in TABLES:
-        clean(spark, base, table, run_ts)
-        load(spark, base, table)
+    together({t: partial(clean, spark, base, t, run_ts) for t in TABLES})
+    together({t: partial(load, spark, base, t) for t in TABLES})
     snapshot(spark, base, staging(spark, base)["stg_customers"], run_ts)
     build(spark, base, full)
     return test(spark, base)

@@ -20,6 +20,7 @@ from tidemark.plans import checks, cleaning, models
 from tidemark.plans.warehouse import to_raw
 from tidemark.schemas import SILVER, TABLES
 from tidemark.sources import ingest
+from tidemark.sources.concurrent import together
 from tidemark.sources.readers import max_mark, read_increment
 from tidemark.sources.store import stage
 
@@ -232,22 +233,26 @@ def fact_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def published(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All models over written RAW tables and facts, as checks read them in a run."""
-    frames = {f"raw_{t}": stage(raw(spark, sf_dir, t)) for t in TABLES}
-    for t in TABLES:
-        frames[f"stg_{t}"] = models.staged(frames[f"raw_{t}"], t)
-    frames["int_order_items_aggregated"] = models.item_totals(frames["stg_order_items"])
-    frames["dim_customers"] = stage(dim_customers(spark, sf_dir))
+    frames = together({f"raw_{t}": partial(_staged_raw, spark, sf_dir, t) for t in TABLES})
+    frames |= {f"stg_{t}": models.staged(frames[f"raw_{t}"], t) for t in TABLES}
+    totals = models.item_totals(frames["stg_order_items"])
+    orders = frames["stg_orders"]
+    marts = {
+        "dim_customers": dim_customers(spark, sf_dir),
+        "fact_orders": models.fact_orders(orders, totals),
+        "fact_payments": models.fact_payments(frames["stg_order_payments"], orders),
+    }
+    frames |= together({name: partial(stage, df) for name, df in marts.items()})
+    frames["int_order_items_aggregated"] = totals
     frames["dim_products"] = models.dim_products(frames["stg_products"])
     frames["dim_date"] = models.dim_date(spark)
-    frames["fact_orders"] = stage(
-        models.fact_orders(frames["stg_orders"], frames["int_order_items_aggregated"])
-    )
-    frames["fact_payments"] = stage(
-        models.fact_payments(frames["stg_order_payments"], frames["stg_orders"])
-    )
     return frames
 
 
+def _staged_raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return stage(raw(spark, sf_dir, table))
+
+
 # ---- checks -----------------------------------------------------------------
 
 

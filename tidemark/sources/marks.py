@@ -1,30 +1,30 @@
-"""High-water marks: an append-only table, the latest line per table counts."""
+"""High-water marks: append-only lines per table, the latest one counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.store import append_lines, read_lines
 
-_SCHEMA = "table_name string, watermark string, batch_id string, seq long"
+_SCHEMA = "watermark string, batch_id string, seq long"
 
 
 def load_mark(spark: SparkSession, base: str, table: str) -> str | None:
-    last = _lines(spark, base).filter(F.col("table_name") == table)
-    row = last.agg(F.max_by("watermark", "seq").alias("watermark")).first()
-    return row["watermark"]
+    return _last(spark, base, table)["watermark"]
 
 
 def save_mark(spark: SparkSession, base: str, table: str, watermark: str, batch_id: str) -> None:
     """Record a mark.  Called last, so a failed run keeps the old mark."""
-    seq = _lines(spark, base).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
-    append_lines(spark, _path(base), [(table, watermark, batch_id, seq)], _SCHEMA)
+    seq = (_last(spark, base, table)["seq"] or 0) + 1
+    line = {"watermark": watermark, "batch_id": batch_id, "seq": seq}
+    append_lines(spark, _path(base, table), [line], _SCHEMA)
 
 
-def _lines(spark: SparkSession, base: str) -> DataFrame:
-    return read_lines(spark, _path(base), _SCHEMA)
+def _last(spark: SparkSession, base: str, table: str) -> Row:
+    lines = read_lines(spark, _path(base, table), _SCHEMA)
+    return lines.agg(F.max_by("watermark", "seq").alias("watermark"), F.max("seq").alias("seq")).first()
 
 
-def _path(base: str) -> str:
-    return f"{base}/_marks"
+def _path(base: str, table: str) -> str:
+    return f"{base}/_marks/{table}"

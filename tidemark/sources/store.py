@@ -16,12 +16,13 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_LEDGER = "table_name string, slice string, version string, schema string, seq long"
+_LEDGER = "slice string, version string, schema string, seq long"
 _SLICE = "_slice"
 _WHOLE = "all"
 
@@ -36,6 +37,7 @@ class Current:
 
     schema: StructType
     versions: dict[str, str]
+    seq: int
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -48,20 +50,23 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def append_lines(spark: SparkSession, path: str, lines: list[tuple], schema: str) -> None:
-    spark.createDataFrame(lines, schema).coalesce(1).write.mode("append").parquet(path)
+def append_lines(spark: SparkSession, path: str, lines: list[dict], schema: str) -> None:
+    """Append lines in one file, so that readers see all of them or none."""
+    df = spark.createDataFrame(pa.Table.from_pylist(lines)).coalesce(1)
+    names = [field.split()[0] for field in schema.split(", ")]
+    df.select(*names).write.mode("append").parquet(path)
 
 
 def current(spark: SparkSession, base: str, table: str) -> Current | None:
     """Current slices of a table; one line per slice reaches the driver."""
-    lines = read_lines(spark, _ledger(base), _LEDGER).filter(F.col("table_name") == table)
+    lines = read_lines(spark, _ledger(base, table), _LEDGER)
     latest = lines.groupBy("slice").agg(F.max_by(F.struct("version", "schema", "seq"), "seq").alias("l"))
     rows = latest.select("slice", "l.*").collect()
     if not rows:
         return None
-    schema = max(rows, key=lambda row: row["seq"])["schema"]
+    newest = max(rows, key=lambda row: row["seq"])
     versions = {row["slice"]: row["version"] for row in rows if row["version"]}
-    return Current(StructType.fromJson(json.loads(schema)), versions)
+    return Current(StructType.fromJson(json.loads(newest["schema"])), versions, newest["seq"])
 
 
 def exists(spark: SparkSession, base: str, table: str) -> bool:
@@ -88,16 +93,21 @@ def read_table(
     return _read(spark, found.schema, root, [_path(root, v, name) for name, v in wanted.items()])
 
 
-def publish(df: DataFrame, base: str, table: str, allow_empty: bool = True) -> None:
-    """Replace a table.  An unwanted empty load raises before the switch."""
+def publish(df: DataFrame, base: str, table: str, allow_empty: bool = True) -> DataFrame:
+    """Replace a table and return its new content.
+
+    An unwanted empty load raises before the switch.
+    """
     spark, root, version = df.sparkSession, _root(base, table), uuid.uuid4().hex
     path = _path(root, version, _WHOLE)
     df.write.option("compression", "snappy").parquet(path)
-    if not allow_empty and _read(spark, df.schema, root, [path]).isEmpty():
+    written = _read(spark, df.schema, root, [path])
+    if not allow_empty and written.isEmpty():
         raise EmptyTableError(f"{table}: no rows loaded, the old version stays")
     old = current(spark, base, table)
-    ended = {name: "" for name in old.versions} if old else {}
-    _switch(df, base, table, {**ended, _WHOLE: version})
+    ended = dict.fromkeys(old.versions, "") if old else {}
+    _switch(df, base, table, old, {**ended, _WHOLE: version})
+    return written
 
 
 def publish_slices(
@@ -109,17 +119,17 @@ def publish_slices(
     Other slices that are not in ``df`` stay as they are.
     """
     spark, root, version = df.sparkSession, _root(base, table), uuid.uuid4().hex
-    if replaced is None:
-        old = current(spark, base, table)
-        replaced = list(old.versions) if old else []
-    content = df.drop(slice_by)
     path = f"{root}/version={version}"
     sliced = df.withColumnRenamed(slice_by, _SLICE)
     sliced.write.partitionBy(_SLICE).option("compression", "snappy").parquet(path)
     # Only directory names are needed here, no column of the files is read.
     written = spark.read.schema(f"{_SLICE} string").option("basePath", root).parquet(path)
     names = [row[0] for row in written.select(_SLICE).distinct().collect()]
-    _switch(content, base, table, {**{s: "" for s in replaced}, **{s: version for s in names}})
+    old = current(spark, base, table)
+    if replaced is None:
+        replaced = list(old.versions) if old else []
+    slices = {**dict.fromkeys(replaced, ""), **dict.fromkeys(names, version)}
+    _switch(df.drop(slice_by), base, table, old, slices)
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -145,14 +155,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def _switch(df: DataFrame, base: str, table: str, slices: dict[str, str]) -> None:
+def _switch(
+    df: DataFrame, base: str, table: str, old: Current | None, slices: dict[str, str]
+) -> None:
     """Make versions current; an empty version ends a slice."""
-    spark = df.sparkSession
-    ledger = read_lines(spark, _ledger(base), _LEDGER)
-    seq = ledger.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
-    schema = df.schema.json()
-    lines = [(table, name, version, schema, seq) for name, version in slices.items()]
-    append_lines(spark, _ledger(base), lines, _LEDGER)
+    line = {"schema": df.schema.json(), "seq": (old.seq if old else 0) + 1}
+    lines = [{"slice": name, "version": version, **line} for name, version in slices.items()]
+    append_lines(df.sparkSession, _ledger(base, table), lines, _LEDGER)
 
 
 def _read(spark: SparkSession, schema: StructType, root: str, paths: list[str]) -> DataFrame:
@@ -168,5 +177,5 @@ def _root(base: str, table: str) -> str:
     return f"{base}/tables/{table}"
 
 
-def _ledger(base: str) -> str:
-    return f"{base}/_ledger"
+def _ledger(base: str, table: str) -> str:
+    return f"{base}/_ledger/{table}"
