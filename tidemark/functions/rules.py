@@ -1,8 +1,9 @@
-"""Validation rules: predicates that are true for a row that must be rejected.
+"""Validation rules: conditions that a valid row must meet.
 
-A rule list is ordered; the first rule that fires names the reason.  Rules are
-wrapped so that NULL means "does not fire": no row can be lost between the
-valid and the rejected side.
+A rule is met only if its condition is TRUE; NULL counts as a failure, and a
+rule for an optional column says itself that NULL is fine.  So valid rows are
+a plain conjunction, which Spark can split and push down, and rejects are its
+exact complement: no row can be lost between the two.
 """
 
 from __future__ import annotations
@@ -13,46 +14,46 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Rule = tuple[str, Column]
+Rule = tuple[str, Column]  # reason of a failure, condition of a valid row
 
 
-def missing(name: str) -> Column:
-    return F.col(name).isNull()
+def known(name: str) -> Column:
+    return F.col(name).isNotNull()
 
 
-def empty(name: str) -> Column:
-    return F.length(name) == 0
+def filled(name: str) -> Column:
+    """Present and not the empty string."""
+    return F.length(name) > 0
 
 
-def blank(name: str) -> Column:
-    return missing(name) | empty(name)
+def positive(name: str) -> Column:
+    return F.col(name) > 0
 
 
-def not_positive(name: str) -> Column:
-    return missing(name) | (F.col(name) <= 0)
+def non_negative(name: str) -> Column:
+    return F.col(name) >= 0
 
 
-def negative_or_missing(name: str) -> Column:
-    return missing(name) | (F.col(name) < 0)
+def one_of(name: str, allowed: Sequence[str]) -> Column:
+    return F.col(name).isin(*allowed)
 
 
-def outside(name: str, allowed: Sequence[str]) -> Column:
-    return missing(name) | ~F.col(name).isin(*allowed)
+def none_negative(names: Iterable[str]) -> Column:
+    """No measure is below zero; NULL measures are fine."""
+    return reduce(Column.__and__, (F.coalesce(non_negative(n), F.lit(True)) for n in names))
 
 
-def any_negative(names: Iterable[str]) -> Column:
-    """True if one of the measures is below zero; NULL measures do not count."""
-    return reduce(Column.__or__, (fires(F.col(name) < 0) for name in names))
+def met(rules: Sequence[Rule]) -> Column:
+    """TRUE for a valid row, FALSE or NULL for any other."""
+    return reduce(Column.__and__, (condition for _, condition in rules))
 
 
-def fires(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
-
-
-def invalid(rules: Sequence[Rule]) -> Column:
-    return reduce(Column.__or__, (fires(condition) for _, condition in rules))
+def broken(rules: Sequence[Rule]) -> Column:
+    """TRUE for a row that fails a rule, FALSE for any other."""
+    return ~F.coalesce(met(rules), F.lit(False))
 
 
 def first_reason(rules: Sequence[Rule]) -> Column:
-    """Name of the first rule that fires, NULL for a valid row."""
-    return F.coalesce(*(F.when(condition, F.lit(reason)) for reason, condition in rules))
+    """Reason of the first rule that fails, NULL for a valid row."""
+    failed = [(reason, ~F.coalesce(condition, F.lit(False))) for reason, condition in rules]
+    return F.coalesce(*[F.when(condition, F.lit(reason)) for reason, condition in failed])

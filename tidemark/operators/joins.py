@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.dedup import first_rows_per_key
 
-# A key is hot above this share of all rows.  Shares add up to one, so fewer
-# than HOT_KEY_LIMIT keys can be hot, whatever the size of the data: that is
-# the bound on what `lookup` broadcasts.
+# Only the largest keys are salted, at most HOT_KEY_LIMIT of them: that bounds
+# what `lookup` broadcasts, whatever the size of the data.  A key beyond the
+# limit holds less than 1/HOT_KEY_LIMIT of the rows and needs no salt.
 HOT_KEY_LIMIT = 10_000
 HOT_KEY_FLOOR = 1_000_000
 SALTS = 64
@@ -18,18 +18,12 @@ _HOT, _SALT = "_hot", "_salt"
 
 
 def hot_keys(df: DataFrame, key: str, floor: int = HOT_KEY_FLOOR) -> DataFrame:
-    """Keys with more than ``floor`` rows and more than 1/HOT_KEY_LIMIT of all rows.
+    """The largest keys with more than ``floor`` rows, at most HOT_KEY_LIMIT.
 
     Reads the key column only and counts before the shuffle.
     """
-    rows = df.filter(F.col(key).isNotNull()).select(key)
-    total = rows.agg(F.count("*")).scalar()
-    return (
-        rows.groupBy(key)
-        .agg(F.count("*").alias("n"))
-        .filter((F.col("n") > floor) & (F.col("n") * HOT_KEY_LIMIT > total))
-        .select(key)
-    )
+    large = key_counts(df, key, "n").filter(F.col("n") > floor)
+    return large.orderBy(F.desc("n"), key).limit(HOT_KEY_LIMIT).select(key)
 
 
 def lookup(

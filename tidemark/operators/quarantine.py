@@ -7,17 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.rules import Rule, first_reason, invalid
+from tidemark.functions.rules import Rule, broken, first_reason, met
 from tidemark.schemas import REASON
 
 
 def valid_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    return df.filter(~invalid(rules))
+    return df.filter(met(rules))
 
 
 def rejected_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Rows that break a rule, with the first broken rule as the reason."""
-    return df.filter(invalid(rules)).withColumn(REASON, first_reason(rules))
+    """Rows that fail a rule, with the reason of the first one they fail."""
+    return df.filter(broken(rules)).withColumn(REASON, first_reason(rules))
 
 
 def cleaning_metrics(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str]) -> DataFrame:
@@ -27,7 +27,7 @@ def cleaning_metrics(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str])
     of valid keys; no window is needed to know it.  Rows collapse to one per
     key and task before the shuffle.
     """
-    bad = invalid(rules)
+    bad = broken(rules)
     per_key = (
         df.select(*keys, bad.alias("_bad"))
         .groupBy("_bad", *[F.when(~F.col("_bad"), F.col(k)).alias(k) for k in keys])

@@ -74,10 +74,10 @@ SPECS = {
                 "customer_state": uppered,
             },
             rules=lambda: [
-                ("customer_id_null", r.missing("customer_id")),
-                ("customer_id_empty", r.empty("customer_id")),
-                ("customer_unique_id_null", r.missing("customer_unique_id")),
-                ("customer_unique_id_empty", r.empty("customer_unique_id")),
+                ("customer_id_null", r.known("customer_id")),
+                ("customer_id_empty", r.filled("customer_id")),
+                ("customer_unique_id_null", r.known("customer_unique_id")),
+                ("customer_unique_id_empty", r.filled("customer_unique_id")),
             ],
         ),
         CleanSpec(
@@ -89,9 +89,9 @@ SPECS = {
             },
             optional=ORDER_TIMES,
             rules=lambda: [
-                ("invalid_order_id", r.blank("order_id")),
-                ("invalid_customer_id", r.blank("customer_id")),
-                ("invalid_order_status", r.outside("order_status", ORDER_STATUSES)),
+                ("invalid_order_id", r.filled("order_id")),
+                ("invalid_customer_id", r.filled("customer_id")),
+                ("invalid_order_status", r.one_of("order_status", ORDER_STATUSES)),
             ],
         ),
         CleanSpec(
@@ -99,23 +99,23 @@ SPECS = {
             text={"order_id": trimmed, "product_id": trimmed, "seller_id": trimmed},
             optional=("shipping_limit_date",),
             rules=lambda: [
-                ("invalid_order_id", r.blank("order_id")),
-                ("invalid_product_id", r.blank("product_id")),
-                ("invalid_seller_id", r.blank("seller_id")),
-                ("invalid_order_item_id", r.not_positive("order_item_id")),
-                ("invalid_price", r.negative_or_missing("price")),
-                ("invalid_freight_value", r.negative_or_missing("freight_value")),
+                ("invalid_order_id", r.filled("order_id")),
+                ("invalid_product_id", r.filled("product_id")),
+                ("invalid_seller_id", r.filled("seller_id")),
+                ("invalid_order_item_id", r.positive("order_item_id")),
+                ("invalid_price", r.non_negative("price")),
+                ("invalid_freight_value", r.non_negative("freight_value")),
             ],
         ),
         CleanSpec(
             table="order_payments",
             text={"order_id": trimmed, "payment_type": lowered},
             rules=lambda: [
-                ("invalid_order_id", r.blank("order_id")),
-                ("invalid_payment_sequential", r.not_positive("payment_sequential")),
-                ("invalid_payment_installments", r.negative_or_missing("payment_installments")),
-                ("invalid_payment_value", r.negative_or_missing("payment_value")),
-                ("invalid_payment_type", r.outside("payment_type", PAYMENT_TYPES)),
+                ("invalid_order_id", r.filled("order_id")),
+                ("invalid_payment_sequential", r.positive("payment_sequential")),
+                ("invalid_payment_installments", r.non_negative("payment_installments")),
+                ("invalid_payment_value", r.non_negative("payment_value")),
+                ("invalid_payment_type", r.one_of("payment_type", PAYMENT_TYPES)),
             ],
         ),
         CleanSpec(
@@ -127,8 +127,8 @@ SPECS = {
                 "product_description_lenght": "product_description_length",
             },
             rules=lambda: [
-                ("invalid_product_id", r.blank("product_id")),
-                ("negative_product_dimension", r.any_negative(PRODUCT_SIZES)),
+                ("invalid_product_id", r.filled("product_id")),
+                ("negative_product_dimension", r.none_negative(PRODUCT_SIZES)),
             ],
         ),
     )
@@ -163,7 +163,7 @@ def normalise(bronze: DataFrame, spec: CleanSpec) -> DataFrame:
 
 
 def valid(bronze: DataFrame, spec: CleanSpec) -> DataFrame:
-    """Normalised rows that break no rule, all versions."""
+    """Normalised rows that meet every rule, all versions."""
     return valid_rows(normalise(bronze, spec), spec.rules())
 
 
@@ -187,7 +187,7 @@ def silver_refresh(current: DataFrame, batch: DataFrame, spec: CleanSpec, run_ts
 
 
 def rejected(bronze: DataFrame, spec: CleanSpec, run_ts) -> DataFrame:
-    """Rows that break a rule, with the reason; never reduced by key."""
+    """Rows that fail a rule, with the reason; never reduced by key."""
     rows = rejected_rows(normalise(bronze, spec), spec.rules())
     return stamp(rows, run_ts).select(*_silver_columns(spec), PROCESSED_AT, REASON)
 

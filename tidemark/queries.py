@@ -212,9 +212,10 @@ def fact_orders_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fact_orders_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First build from early orders of the first batch, then one merge of all.
 
-    The first build is written, as a run would: the merge reads it twice.
+    Item totals, first build and increment are read by two plans each and are
+    written, as a run would.
     """
-    totals = int_order_items_aggregated(spark, sf_dir)
+    totals = stage(int_order_items_aggregated(spark, sf_dir))
     spec = cleaning.SPECS["orders"]
     early = fixtures.bronze_orders(spark, sf_dir, ("b1",)).filter(
         F.col("order_purchase_timestamp") < F.lit(fixtures.FIRST_BUILD_BEFORE).cast("timestamp_ntz")
@@ -222,12 +223,14 @@ def fact_orders_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = to_raw(cleaning.silver(early, spec, fixtures.RUN_TS), "orders")
     target = stage(models.fact_orders(models.staged(early, "orders"), totals))
     new = upsert.increment(staging(spark, sf_dir, "orders"), target, "order_purchase_timestamp")
-    return upsert.upsert(target, models.fact_orders(new, totals), ["order_id"])
+    return upsert.upsert(target, stage(models.fact_orders(new, totals)), ["order_id"])
 
 
 def fact_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments are written first: the join counts their keys before it reads them."""
+    payments = stage(raw(spark, sf_dir, "order_payments"))
     return models.fact_payments(
-        staging(spark, sf_dir, "order_payments"), staging(spark, sf_dir, "orders")
+        models.staged(payments, "order_payments"), staging(spark, sf_dir, "orders")
     )
 
 
