@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tidemark.sources import ingest
 from tidemark.sources.bronze import read_bronze, write_bronze
 from tidemark.sources.ingest import SOURCES, RowCountError, Source, extract
-from tidemark.sources.marks import load_mark, save_mark
+from tidemark.sources.marks import load_mark, log_batch, pending_batches, save_mark
 from tidemark.sources.readers import jdbc_options, max_mark, quoted, read_increment
 
 ORDERS = SOURCES["orders"]
@@ -54,6 +54,16 @@ def test_mark_comes_from_the_batch(frame):
     assert max_mark(df.limit(0), "order_purchase_timestamp").first()[0] is None
 
 
+def test_batches_are_pending_until_cleaned(spark, frame, base):
+    assert pending_batches(spark, base, "customers") == []
+    df = frame([("c1",)], "customer_id string")
+    for batch, at in (("b", "2024-01-02 00:00:00"), ("a", "2024-01-01 00:00:00")):
+        extract(df, SOURCES["customers"], base, "shop", batch_id=batch, ingested_at=at)
+    assert [b for b, _ in pending_batches(spark, base, "customers")] == ["a", "b"]
+    log_batch(spark, base, "customers", "a", "2024-01-01 00:00:00", cleaned=True)
+    assert [b for b, _ in pending_batches(spark, base, "customers")] == ["b"]
+
+
 def test_marks_are_kept_per_table(spark, base):
     assert load_mark(spark, base, "orders") is None
     save_mark(spark, base, "orders", "2020-01-01 00:00:00", "b1")

@@ -26,6 +26,7 @@ from tidemark.sources import store
 from tidemark.sources.bronze import read_batch, read_bronze
 from tidemark.sources.concurrent import together
 from tidemark.sources.ingest import SOURCES, Ingested, extract
+from tidemark.sources.marks import log_batch, pending_batches
 
 HISTORY = "customers_snapshot"
 _OPEN = "open"
@@ -67,29 +68,44 @@ def clean(spark: SparkSession, base: str, table: str, run_ts: str) -> CleanCount
     cannot distort them.
     """
     spec = SPECS[table]
+    pending = pending_batches(spark, base, table)
     bronze = read_bronze(spark, base, table)
     if bronze is None:
         raise LookupError(f"{table}: no Bronze data")
     n_bronze = bronze.count()
     bad = store.publish(rejected(bronze, spec, run_ts), base, f"rejected_{table}").count()
     good = store.publish(silver(bronze, spec, run_ts), base, f"silver_{table}").count()
+    for batch_id, ingested_at in pending:
+        log_batch(spark, base, table, batch_id, ingested_at, cleaned=True)
     n_valid = n_bronze - bad
     return CleanCounts(n_bronze, n_valid, n_valid - good, bad, good)
 
 
-def clean_batch(spark: SparkSession, base: str, batch: Ingested, run_ts: str) -> None:
-    """Fold one Bronze batch into the published Silver and rejects.
+def clean_pending(spark: SparkSession, base: str, table: str, run_ts: str) -> None:
+    """Fold the Bronze batches that Silver has not seen into Silver and rejects.
 
-    Reads the batch and current Silver (one row per key) instead of the whole
-    history, with the same result as ``clean``, but for the processing time of
-    rows that did not change.
+    Reads those batches and current Silver (one row per key) instead of the
+    whole history, with the same result as ``clean``, but for the processing
+    time of rows that did not change.  A batch left over by a failed run is
+    picked up by the next one; folding a batch twice changes nothing.
     """
-    spec = SPECS[batch.table]
-    rows = read_batch(spark, base, batch.table, batch.batch_id, batch.ingested_at)
-    old = store.read_table(spark, base, f"silver_{batch.table}")
-    bad = rejected(rows, spec, run_ts).withColumn("_part", F.lit(batch.batch_id))
-    store.publish_slices(bad, base, f"rejected_{batch.table}", "_part", replaced=[])
-    store.publish(silver_refresh(old, rows, spec, run_ts), base, f"silver_{batch.table}")
+    spec = SPECS[table]
+    for batch_id, ingested_at in pending_batches(spark, base, table):
+        rows = read_batch(spark, base, table, batch_id, ingested_at)
+        old = store.read_table(spark, base, f"silver_{table}")
+        bad = rejected(rows, spec, run_ts).withColumn("_part", F.lit(f"batch-{batch_id}"))
+        part = [f"batch-{batch_id}"]
+        store.publish_slices(bad, base, f"rejected_{table}", "_part", replaced=part)
+        store.publish(silver_refresh(old, rows, spec, run_ts), base, f"silver_{table}")
+        log_batch(spark, base, table, batch_id, ingested_at, cleaned=True)
+
+
+def refresh_silver(spark: SparkSession, base: str, table: str, run_ts: str, rebuild: bool) -> None:
+    """Batchwise once there is a Silver table, from all of Bronze otherwise."""
+    if rebuild or not store.exists(spark, base, f"silver_{table}"):
+        clean(spark, base, table, run_ts)
+    else:
+        clean_pending(spark, base, table, run_ts)
 
 
 def load(spark: SparkSession, base: str, table: str) -> None:
@@ -184,12 +200,17 @@ def _read_all(spark: SparkSession, base: str, names: list[str]) -> dict[str, Dat
     return together({name: partial(store.read_table, spark, base, name) for name in names})
 
 
+def report(spark: SparkSession, base: str) -> DataFrame:
+    """All checks over published models, 57 lines."""
+    return checks.report(all_models(spark, base))
+
+
 def test(spark: SparkSession, base: str) -> list:
     """Run all checks; raise if one with severity error fails.
 
-    Returns the 57 lines of the report.
+    Returns the lines of the report.
     """
-    lines = checks.report(all_models(spark, base)).collect()
+    lines = report(spark, base).collect()
     errors = [row for row in lines if row["status"] == "error"]
     if errors:
         raise FailedChecks("; ".join(f"{r.kind} {r.model} {r.column_name}: {r.failures}" for r in errors))
@@ -204,10 +225,14 @@ def run(
     run_ts: str,
     full: bool = False,
 ) -> list:
-    """One complete run over the given sources."""
+    """One complete run over the given sources.
+
+    ``full`` rebuilds Silver from all of Bronze and the order fact from all
+    orders; otherwise both take up what is new.
+    """
     require_utc(spark)
     ingest(sources, base, system, run_ts)
-    together({t: partial(clean, spark, base, t, run_ts) for t in TABLES})
+    together({t: partial(refresh_silver, spark, base, t, run_ts, full) for t in TABLES})
     together({t: partial(load, spark, base, t) for t in TABLES})
     snapshot(spark, base, staging(spark, base)["stg_customers"], run_ts)
     build(spark, base, full)

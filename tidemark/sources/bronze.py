@@ -6,9 +6,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INGEST_DATE = ("year", "month", "day")
-
-
 def stamp_batch(df: DataFrame, system: str, table: str, batch_id: str, ingested_at: str) -> DataFrame:
     """Add the four constant batch columns; the ingest time is UTC."""
     return df.withColumns(
@@ -25,21 +22,23 @@ def table_path(base: str, table: str) -> str:
     return f"{base}/bronze/{table}"
 
 
-def write_bronze(df: DataFrame, base: str, table: str, max_rows_per_file: int = 0) -> None:
-    """Append a stamped batch.  The date is constant per batch: no shuffle.
+def day_path(base: str, table: str, ingested_at: str) -> str:
+    """Directory of an ingest day, e.g. ``year=2024/month=01/day=31``."""
+    year, month, day = ingested_at[:10].split("-")
+    return f"{table_path(base, table)}/year={year}/month={month}/day={day}"
+
+
+def write_bronze(
+    df: DataFrame, base: str, table: str, ingested_at: str, max_rows_per_file: int = 0
+) -> None:
+    """Append a stamped batch to the directory of its day.
 
-    ``max_rows_per_file`` bounds the files a task writes; 0 means one file.
+    A batch has one ingest time, so the path is known; writing to it directly
+    needs neither a shuffle nor the sort of a partitioned write.
+    ``max_rows_per_file`` bounds the files of a task; 0 means one file.
     """
-    at = F.col("_ingested_at")
-    dated = df.withColumns(
-        {
-            "year": F.date_format(at, "yyyy"),
-            "month": F.date_format(at, "MM"),
-            "day": F.date_format(at, "dd"),
-        }
-    )
-    writer = dated.write.mode("append").partitionBy(*INGEST_DATE)
-    writer.option("maxRecordsPerFile", max_rows_per_file).parquet(table_path(base, table))
+    writer = df.write.mode("append").option("maxRecordsPerFile", max_rows_per_file)
+    writer.parquet(day_path(base, table, ingested_at))
 
 
 def read_bronze(spark: SparkSession, base: str, table: str) -> DataFrame | None:
@@ -56,9 +55,6 @@ def read_bronze(spark: SparkSession, base: str, table: str) -> DataFrame | None:
 
 
 def read_batch(spark: SparkSession, base: str, table: str, batch_id: str, ingested_at: str) -> DataFrame:
-    """Rows of one batch; only the directory of its day is read."""
-    day = ingested_at[:10].split("-")
-    bronze = read_bronze(spark, base, table)
-    for name, part in zip(INGEST_DATE, day):
-        bronze = bronze.filter(F.col(name) == F.lit(int(part)))
-    return bronze.filter(F.col("_batch_id") == batch_id)
+    """Rows of one batch; only the directory of its day is listed and read."""
+    reader = spark.read.option("basePath", table_path(base, table))
+    return reader.parquet(day_path(base, table, ingested_at)).filter(F.col("_batch_id") == batch_id)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.sources.bronze import read_batch, stamp_batch, write_bronze
-from tidemark.sources.marks import load_mark, save_mark
+from tidemark.sources.marks import load_mark, log_batch, save_mark
 from tidemark.sources.readers import max_mark, read_increment
 
 
@@ -74,9 +74,9 @@ def extract(
 ) -> Ingested:
     """Append the new rows of ``df`` to Bronze.
 
-    Order of steps: read, write, count what was written, move the mark.  A run
-    that fails on the way leaves the mark alone; its rows come again in the
-    next run and cleaning removes the copies.
+    Order of steps: read, write, count what was written, log the batch, move
+    the mark.  A run that fails on the way leaves the mark alone; its rows come
+    again in the next run and cleaning removes the copies.
     """
     spark, column = df.sparkSession, source.mark_column
     mark = load_mark(spark, base, source.table) if column and not full else None
@@ -88,12 +88,13 @@ def extract(
     batch_id = batch_id or str(uuid.uuid4())
     ingested_at = ingested_at or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
     stamped = stamp_batch(rows, system, source.table, batch_id, ingested_at)
-    write_bronze(stamped, base, source.table, max_rows_per_file)
+    write_bronze(stamped, base, source.table, ingested_at, max_rows_per_file)
 
     batch = read_batch(spark, base, source.table, batch_id, ingested_at)
     written = batch.count()
     if written != expected:
         raise RowCountError(f"{source.table}: source has {expected} rows, Bronze got {written}")
+    log_batch(spark, base, source.table, batch_id, ingested_at)
     if column:
         mark = max_mark(batch, column).first()["watermark"] or mark
         if mark is not None:

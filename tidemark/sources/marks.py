@@ -1,4 +1,8 @@
-"""High-water marks: append-only lines per table, the latest one counts."""
+"""State of ingestion and cleaning, as append-only lines per table.
+
+High-water marks: the latest line counts.  Batches: one line when a batch is
+complete in Bronze, one more when cleaning has used it.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.sources.store import append_lines, read_lines
 
 _SCHEMA = "watermark string, batch_id string, seq long"
+_BATCH_SCHEMA = "batch_id string, ingested_at string, cleaned boolean"
 
 
 def load_mark(spark: SparkSession, base: str, table: str) -> str | None:
@@ -21,6 +26,25 @@ def save_mark(spark: SparkSession, base: str, table: str, watermark: str, batch_
     append_lines(spark, _path(base, table), [line], _SCHEMA)
 
 
+def log_batch(
+    spark: SparkSession, base: str, table: str, batch_id: str, ingested_at: str, cleaned: bool = False
+) -> None:
+    line = {"batch_id": batch_id, "ingested_at": ingested_at, "cleaned": cleaned}
+    append_lines(spark, _batch_path(base, table), [line], _BATCH_SCHEMA)
+
+
+def pending_batches(spark: SparkSession, base: str, table: str) -> list[tuple[str, str]]:
+    """Batches (id, ingest time) that no cleaning run has used, oldest first."""
+    lines = read_lines(spark, _batch_path(base, table), _BATCH_SCHEMA)
+    batches = lines.groupBy("batch_id", "ingested_at").agg(F.max("cleaned").alias("cleaned"))
+    open_ones = batches.filter(~F.col("cleaned")).orderBy("ingested_at", "batch_id")
+    return [(row["batch_id"], row["ingested_at"]) for row in open_ones.collect()]
+
+
+def _batch_path(base: str, table: str) -> str:
+    return f"{base}/_batches/{table}"
+
+
 def _last(spark: SparkSession, base: str, table: str) -> Row:
     lines = read_lines(spark, _path(base, table), _SCHEMA)
     return lines.agg(F.max_by("watermark", "seq").alias("watermark"), F.max("seq").alias("seq")).first()

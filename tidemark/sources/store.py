@@ -120,7 +120,8 @@ def publish_slices(
     """
     spark, root, version = df.sparkSession, _root(base, table), uuid.uuid4().hex
     path = f"{root}/version={version}"
-    sliced = df.withColumnRenamed(slice_by, _SLICE)
+    # Rebalance: few files per slice, and a large slice is split over tasks.
+    sliced = df.withColumnRenamed(slice_by, _SLICE).hint("rebalance", F.col(_SLICE))
     sliced.write.partitionBy(_SLICE).option("compression", "snappy").parquet(path)
     # Only directory names are needed here, no column of the files is read.
     written = spark.read.schema(f"{_SLICE} string").option("basePath", root).parquet(path)
