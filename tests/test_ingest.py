@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans.cleaning import SPECS, normalise
 from tidemark.sources import ingest
 from tidemark.sources.bronze import read_bronze, write_bronze
 from tidemark.sources.ingest import SOURCES, RowCountError, Source, extract
@@ -123,3 +124,12 @@ def test_increment_filter_reaches_the_scan(spark, frame, base):
     df = read_increment(spark.read.parquet(path), "order_purchase_timestamp", "2019-01-01 00:00:00")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(order_purchase_timestamp,2019-01-01T00:00)" in plan
+
+
+def test_columns_of_some_batches_are_kept(spark, frame, base):
+    old = frame([("p1", "7")], "product_id string, product_name_lenght string")
+    new = frame([("p2", "8")], "product_id string, product_name_length string")
+    for df in (old, new):
+        extract(df, SOURCES["products"], base, "shop")
+    rows = normalise(read_bronze(spark, base, "products"), SPECS["products"]).collect()
+    assert {r.product_id: r.product_name_length for r in rows} == {"p1": 7.0, "p2": 8.0}

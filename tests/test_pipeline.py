@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixtures
 from tidemark.operators.upsert import conditional_update
-from tidemark.plans import pipeline
+from tidemark.plans import stages
 from tidemark.plans.models import TRACKED
 from tidemark.sources import store
 from tidemark.sources.ingest import SOURCES, extract
@@ -70,7 +70,7 @@ def sources(frame):
 
 
 def run(spark, base, given, day, **options):
-    return pipeline.run(spark, base, given, "shop", f"2024-01-{day:02d} 00:00:00", **options)
+    return stages.run(spark, base, given, "shop", f"2024-01-{day:02d} 00:00:00", **options)
 
 
 def table(spark, base, name):
@@ -150,11 +150,11 @@ def test_scenarios(spark, site):
     assert slice_version(spark, base, "201809") == september
     # The late order was never extracted; a full load and a full build bring it.
     extract(more, SOURCES["orders"], base, "shop", full=True, ingested_at="2024-01-06 00:00:00")
-    pipeline.clean(spark, base, "orders", "2024-01-06 00:00:00")
-    pipeline.load(spark, base, "orders")
-    pipeline.build(spark, base)
+    stages.clean(spark, base, "orders", "2024-01-06 00:00:00")
+    stages.load(spark, base, "orders")
+    stages.build(spark, base)
     assert table(spark, base, "fact_orders").count() == 4
-    pipeline.build(spark, base, full=True)
+    stages.build(spark, base, full=True)
     assert table(spark, base, "fact_orders").count() == 5
 
 
@@ -164,7 +164,7 @@ def slice_version(spark, base, name):
 
 def test_order_that_changes_month_leaves_the_old_one(spark, frame, base):
     def fact(rows):
-        pipeline.refresh_fact_orders(spark, base, orders(frame, rows), items)
+        stages.refresh_fact_orders(spark, base, orders(frame, rows), items)
 
     items = frame([], "order_id string, product_id string, seller_id string, price decimal(18,2),"
                   " freight_value decimal(18,2), shipping_limit_date timestamp_ntz")
@@ -179,9 +179,9 @@ def test_duplicate_keys_stop_the_merge(spark, frame, base):
     items = frame([], "order_id string, product_id string, seller_id string, price decimal(18,2),"
                   " freight_value decimal(18,2), shipping_limit_date timestamp_ntz")
     one = [("a", "c", "shipped", "2020-01-05")]
-    pipeline.refresh_fact_orders(spark, base, orders(frame, one), items)
+    stages.refresh_fact_orders(spark, base, orders(frame, one), items)
     with pytest.raises(ValueError, match="not unique"):
-        pipeline.refresh_fact_orders(spark, base, orders(frame, one + one), items)
+        stages.refresh_fact_orders(spark, base, orders(frame, one + one), items)
 
 
 def test_batchwise_cleaning_equals_rebuild(spark, base):
@@ -192,39 +192,39 @@ def test_batchwise_cleaning_equals_rebuild(spark, base):
         extract(source, SOURCES["customers"], base, "shop", batch_id=batch,
                 ingested_at=f"2024-01-{day:02d} 00:00:00")
         if day == 1:
-            counts = pipeline.clean(spark, base, "customers", ts)
+            counts = stages.clean(spark, base, "customers", ts)
             assert counts.bronze == counts.valid + counts.rejected
             assert counts.silver == counts.valid - counts.duplicates
     # The second batch was left over, as after a failed run: both are taken up.
-    pipeline.refresh_silver(spark, base, "customers", ts, rebuild=False)
+    stages.refresh_silver(spark, base, "customers", ts, rebuild=False)
     assert pending_batches(spark, base, "customers") == []
     names = ("silver_customers", "rejected_customers")
     steps = {n: content(spark, base, n) for n in names}
     # Folding a batch again changes nothing.
     log_batch(spark, base, "customers", "again", "2024-01-03 00:00:00")
-    pipeline.clean_pending(spark, base, "customers", ts)
+    stages.clean_pending(spark, base, "customers", ts)
     assert {n: content(spark, base, n) for n in names} == steps
-    pipeline.refresh_silver(spark, base, "customers", ts, rebuild=True)
+    stages.refresh_silver(spark, base, "customers", ts, rebuild=True)
     assert {n: content(spark, base, n) for n in names} == steps
 
 
 def test_failed_check_stops_the_run(spark, site, tmp_path):
     _, given, make, _ = site
     orphan = given["orders"].unionByName(orders(make, [("o9", "nobody", "shipped", "2018-10-02 00:00:00")]))
-    with pytest.raises(pipeline.FailedChecks, match="customer_id -> stg_customers: 1"):
+    with pytest.raises(stages.FailedChecks, match="customer_id -> stg_customers: 1"):
         run(spark, str(tmp_path), {**given, "orders": orphan}, 1)
 
 
 def test_missing_stage_input(spark, base):
     with pytest.raises(LookupError):
-        pipeline.clean(spark, base, "orders", "2024-01-01")
+        stages.clean(spark, base, "orders", "2024-01-01")
 
 
 def test_session_zone_must_be_utc(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
     try:
         with pytest.raises(RuntimeError, match="UTC"):
-            pipeline.require_utc(spark)
+            stages.require_utc(spark)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 

@@ -75,3 +75,22 @@ def test_stage_uses_the_shared_folder(spark, frame):
     assert staged.inputFiles()[0].split("/staged-")[0].endswith(
         store.checkpoint_folder(spark).split(":")[-1].lstrip("/")
     )
+
+
+def test_old_versions_are_deleted_on_request(spark, frame, base):
+    schema = "m int, k string"
+    store.publish_slices(frame([(1, "a"), (2, "b")], schema), base, "t", "m")
+    store.publish_slices(frame([(2, "c")], schema), base, "t", "m", replaced=["2"])
+    assert store.drop_old_versions(spark, base, "t") == 0  # slice 1 still uses the first
+    store.publish_slices(frame([(1, "d")], schema), base, "t", "m", replaced=["1"])
+    assert store.drop_old_versions(spark, base, "t") == 1
+    assert rows(store.read_table(spark, base, "t")) == [("c",), ("d",)]
+    assert store.drop_old_versions(spark, base, "unknown") == 0
+
+
+def test_staged_frame_can_be_removed(spark, frame):
+    path = store.staging_path(spark)
+    store.stage(frame([("a",)], "k string"), path)
+    store.unstage(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

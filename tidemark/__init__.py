@@ -1,5 +1,5 @@
 """Spark-native batch pipeline: Bronze history to a star schema.
 
 Every operator is a function from DataFrame to DataFrame.  Nothing runs until
-a sink in ``tidemark.sources`` or ``tidemark.plans.pipeline`` asks for it.
+a sink in ``tidemark.sources`` or ``tidemark.plans.stages`` asks for it.
 """

@@ -156,18 +156,21 @@ def refresh_fact_orders(
     target = store.read_table(spark, base, table).withColumns(by_month)
     new = increment(orders, target, "order_purchase_timestamp")
     new_items = items.join(new.select("order_id"), "order_id", "left_semi")
-    incoming = store.stage(
-        models.fact_orders(new, models.item_totals(new_items)).withColumns(by_month)
-    )
-    require_unique(incoming, ["order_id"], table)
-    replaced = target.join(incoming.select("order_id"), "order_id", "left_semi")
-    # Months of the calendar: a small list however many orders there are.
-    touched = incoming.select("_month").unionByName(replaced.select("_month")).distinct().collect()
-    months = [str(row[0]) for row in touched]
-    if not months:
-        return
-    old = store.read_table(spark, base, table, months).withColumns(by_month)
-    store.publish_slices(upsert(old, incoming, ["order_id"]), base, table, "_month", months)
+    fact = models.fact_orders(new, models.item_totals(new_items)).withColumns(by_month)
+    path = store.staging_path(spark)
+    try:
+        incoming = store.stage(fact, path)
+        require_unique(incoming, ["order_id"], table)
+        replaced = target.join(incoming.select("order_id"), "order_id", "left_semi")
+        # Months of the calendar: a small list however many orders there are.
+        touched = incoming.select("_month").unionByName(replaced.select("_month")).distinct()
+        months = [str(row[0]) for row in touched.collect()]
+        if months:
+            old = store.read_table(spark, base, table, months).withColumns(by_month)
+            merged = upsert(old, incoming, ["order_id"])
+            store.publish_slices(merged, base, table, "_month", months)
+    finally:
+        store.unstage(spark, path)
 
 
 def build(spark: SparkSession, base: str, full: bool = False) -> None:

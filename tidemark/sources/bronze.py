@@ -44,10 +44,12 @@ def write_bronze(
 def read_bronze(spark: SparkSession, base: str, table: str) -> DataFrame | None:
     """The whole history of a table, or None before its first batch.
 
-    Partition columns come back as columns; cleaning projects them away.
+    Batches may differ in their columns, so the schemas of all files are merged
+    (a distributed read of footers); a column of some batches only must not get
+    lost.  Partition columns come back too; cleaning projects them away.
     """
     try:
-        return spark.read.parquet(table_path(base, table))
+        return spark.read.option("mergeSchema", True).parquet(table_path(base, table))
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -133,17 +133,43 @@ def publish_slices(
     _switch(df.drop(slice_by), base, table, old, slices)
 
 
-def stage(df: DataFrame) -> DataFrame:
+def drop_old_versions(spark: SparkSession, base: str, table: str) -> int:
+    """Delete versions that no slice uses any more; returns how many.
+
+    To be called when no reader of an older version is left.
+    """
+    found = current(spark, base, table)
+    used = {f"version={v}" for v in found.versions.values()} if found else set()
+    root = spark._jvm.org.apache.hadoop.fs.Path(_root(base, table))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    stored = [status.getPath() for status in files.listStatus(root)] if files.exists(root) else []
+    old = [path for path in stored if path.getName() not in used]
+    for path in old:
+        files.delete(path, True)
+    return len(old)
+
+
+def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a frame that several plans read, and read it back.
 
     Goes to the folder of ``spark.checkpoint.dir``, which executors share, so
     nothing is recomputed or lost when one of them goes away.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    path = path or staging_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staging_path(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/staged-{uuid.uuid4().hex}"
+
+
+def unstage(spark: SparkSession, path: str) -> None:
+    """Delete a staged frame after its last use."""
+    staged = spark._jvm.org.apache.hadoop.fs.Path(path)
+    staged.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged, True)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's shared folder; a temporary one only in local mode."""
     context = spark.sparkContext
