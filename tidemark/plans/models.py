@@ -25,6 +25,8 @@ TRACKED = (
     "customer_state",
 )
 
+FACT_SUMS = ("total_items", "total_item_value", "total_freight_value", "total_order_value")
+
 _STAGED_TEXT = {
     "customers": {"customer_city": trimmed, "customer_state": uppered},
     "orders": {"order_status": lowered},
@@ -97,15 +99,14 @@ def fact_orders(orders: DataFrame, totals: DataFrame) -> DataFrame:
 
     Both sides are unique on ``order_id``, so no partition can be skewed.
     """
-    sums = ("total_items", "total_item_value", "total_freight_value", "total_order_value")
-    joined = orders.join(totals.select("order_id", *sums), "order_id", "left")
+    joined = orders.join(totals.select("order_id", *FACT_SUMS), "order_id", "left")
     return joined.select(
         "order_id",
         "customer_id",
         date_key(F.col("order_purchase_timestamp")).alias("order_date_key"),
         "order_status",
         *ORDER_TIMES,
-        *[_or_zero(name).alias(name) for name in sums],
+        *[_or_zero(name).alias(name) for name in FACT_SUMS],
     )
 
 

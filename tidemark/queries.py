@@ -215,7 +215,8 @@ def fact_orders_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     Item totals, first build and increment are read by two plans each and are
     written, as a run would.
     """
-    totals = stage(int_order_items_aggregated(spark, sf_dir))
+    items = int_order_items_aggregated(spark, sf_dir)
+    totals = stage(items.select("order_id", *models.FACT_SUMS))
     spec = cleaning.SPECS["orders"]
     early = fixtures.bronze_orders(spark, sf_dir, ("b1",)).filter(
         F.col("order_purchase_timestamp") < F.lit(fixtures.FIRST_BUILD_BEFORE).cast("timestamp_ntz")
