@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import queries
 from tidemark.operators import joins
 from tidemark.plans import models
+from tidemark.sources.store import balanced
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +59,7 @@ def test_scan_reads_needed_columns_only(spark, base):
 def test_key_filter_goes_below_the_history_windows(spark):
     text = plan(queries.customer_history_lookup(spark, SF))
     assert text.count("= c20") >= 3  # in each of the three batches
+
+
+def test_sliced_writes_are_rebalanced(spark):
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan(balanced(spark.range(9), "id"))

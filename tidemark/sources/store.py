@@ -120,8 +120,7 @@ def publish_slices(
     """
     spark, root, version = df.sparkSession, _root(base, table), uuid.uuid4().hex
     path = f"{root}/version={version}"
-    # Rebalance: few files per slice, and a large slice is split over tasks.
-    sliced = df.withColumnRenamed(slice_by, _SLICE).hint("rebalance", F.col(_SLICE))
+    sliced = balanced(df.withColumnRenamed(slice_by, _SLICE), _SLICE)
     sliced.write.partitionBy(_SLICE).option("compression", "snappy").parquet(path)
     # Only directory names are needed here, no column of the files is read.
     written = spark.read.schema(f"{_SLICE} string").option("basePath", root).parquet(path)
@@ -149,6 +148,11 @@ def drop_old_versions(spark: SparkSession, base: str, table: str) -> int:
     return len(old)
 
 
+def balanced(df: DataFrame, column: str) -> DataFrame:
+    """Rows of one value together, few files each; a large value is split over tasks."""
+    return df.hint("rebalance", F.col(column))
+
+
 def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a frame that several plans read, and read it back.
 
