@@ -4,9 +4,10 @@ import compare
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tidemark.oracle import ORACLE
+from tidemark.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,8 @@ def duck():
 
 def test_same_keys():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries())
+    assert set(oracle_sql()) <= set(queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
