@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Token ids of so many different words are remembered by a Python worker.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 FLUSH_BYTES = 8 << 20
 
 # A space with white space on both sides: only there do tokens depend on more than one word.
 _RUN = re.compile(r"\s (?!\S)")
+# not ' and <, which begin contractions and special tokens
+_MARKS = "!\"#$%&()*+,-./:;=?@[]^_{|}~"
+GROUP = 128
 
 
 def default_tokenizer() -> str:
@@ -51,20 +54,36 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._first: dict[str, bytes] = {}
         self._later: dict[str, bytes] = {}
+        self._marks: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
         new = [word for word in words if word not in known]
-        if new:
-            known.update(zip(new, self._encode([before + word for word in new])))
+        # letters and the marks after them are never merged, so each is encoded once
+        ends = {}
+        for word in new:
+            stem = word.rstrip(_MARKS)
+            if len(stem) < len(word) and stem.isalpha():
+                ends[word] = stem, word[len(stem) :]
+        whole = {word for word in new if word not in ends} | {x for x, _ in ends.values() if x not in known}
+        self._add(known, whole, before)
+        marks = {mark for _, mark in ends.values()} - self._marks.keys()
+        self._add(self._marks, marks, "")
+        known.update((word, known[stem] + self._marks[mark]) for word, (stem, mark) in ends.items())
+
+    def _add(self, known: dict[str, bytes], words: set[str], before: str) -> None:
+        if words:
+            order = list(words)
+            known.update(zip(order, self._encode([before + word for word in order])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self._first) + len(self._later) > CACHE_WORDS:
             self._first.clear()
             self._later.clear()
+            self._marks.clear()
         split = [None if _RUN.search(text) else text.split(" ") for text in texts]
         self._learn(self._first, {parts[0] for parts in split if parts}, "")
         self._learn(self._later, {word for parts in split if parts for word in parts[1:]}, " ")
@@ -132,8 +151,8 @@ def pack(
                     [keys.take(pa.array(owner)), *columns], names=["key", *schema.names]
                 )
 
-            for low in range(0, len(texts), 32):
-                part = [text or "" for text in texts.slice(low, 32).to_pylist()]
+            for low in range(0, len(texts), GROUP):
+                part = [text or "" for text in texts.slice(low, GROUP).to_pylist()]
                 for i, ids in enumerate(encode(part), low):
                     ids += end
                     tokens = len(ids) // 4
