@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, packing, quality, sharding, simhash
+from tidemark.llm import decontamination, licenses, packing, quality, secrets, sharding, simhash
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,32 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(*kinds: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"].isin(*kinds))).cast("long")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select(
+        "doc_id", *(count(kind).alias(f"n_{kind}") for kind in secrets.BASE),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_copied"),
+    )
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", F.col("base_places").alias("n_base"), "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,6 +83,8 @@ QUERIES: dict[str, Query] = {
     "op1_histogram_sort": op1_histogram_sort,
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
+    "op4_secrets": op4_secrets,
+    "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
     "op8_quality": op8_quality,
 }
