@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, licenses, packing, quality, secrets, sharding, simhash
+from tidemark.llm import decontamination, licenses, linededup, packing, quality, secrets, sharding, simhash
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select(
+        "doc_id", F.col("n_lines").cast("long"), F.size("removed_lines").cast("long").alias("n_removed"),
+        F.array_join("removed_lines", ",").alias("removed_lines"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_histogram_sort": op1_histogram_sort,
     "op2_packing": op2_packing,
@@ -87,5 +96,6 @@ QUERIES: dict[str, Query] = {
     "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
     "op8_quality": op8_quality,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE: dict[str, str] = {}
