@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, licenses, linededup, packing, quality, secrets, sharding, simhash
+import corpus_pipeline
+from tidemark.llm import decontamination, hamming, licenses, linededup, packing, quality, secrets, sharding, simhash
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +80,53 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hamming.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP9_SQL = """
+WITH signs AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS s
+  FROM embeddings WHERE len(embedding) = 64
+), near AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
+         CAST(len(list_filter(list_zip(q.s, v.s), lambda p: p[1] <> p[2])) AS BIGINT) AS distance
+  FROM signs q JOIN signs v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM near
+)
+SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= 10
+"""
+
+WORDS_SQL = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP3_SQL = f"""
+WITH item AS (
+  SELECT item_id, {WORDS_SQL.format("coalesce(text, '')")} AS w FROM benchmark
+), item_window AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS k,
+         array_to_string(w[p : p + least(10, len(w)) - 1], ' ') AS gram
+  FROM item, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS t(p) WHERE len(w) > 0
+), doc AS (
+  SELECT doc_id, {WORDS_SQL.format("coalesce(text, '')")} AS w FROM documents
+), doc_window AS (
+  SELECT doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') AS gram
+  FROM doc, (SELECT DISTINCT k FROM item_window), unnest(generate_series(1, len(w) - k + 1)) AS t(p)
+), hit AS (
+  SELECT doc_id, item_id, k, p FROM doc_window JOIN item_window USING (k, gram)
+), words AS (
+  SELECT doc_id, count(DISTINCT i) AS n_hit FROM hit, unnest(generate_series(p, p + k - 1)) AS t(i) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select(
@@ -96,6 +144,10 @@ QUERIES: dict[str, Query] = {
     "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
     "op8_quality": op8_quality,
+    "op9_topk": op9_topk,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_decontamination": OP3_SQL, "op9_topk": OP9_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
