@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontamination, hamming, licenses, linededup, packing, quality, secrets, sharding, simhash
+from tidemark.llm import classlm, decontamination, hamming, licenses, linededup, packing, quality, secrets, sharding, simhash
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = classlm.train(docs)
+    scored = classlm.score(docs, model)
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+    )
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels))
@@ -143,6 +153,7 @@ QUERIES: dict[str, Query] = {
     "op4_secrets": op4_secrets,
     "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
+    "op7_class_lm": op7_class_lm,
     "op8_quality": op8_quality,
     "op9_topk": op9_topk,
     "op10_line_dedup": op10_line_dedup,
