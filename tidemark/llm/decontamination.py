@@ -22,6 +22,7 @@ from tidemark.llm.common import words_of
 
 WINDOW = 10
 BROADCAST_WINDOWS = 500_000
+RESULTS = ("n_words", "hit_words", "items")
 
 
 def _gram(words: Column, at: Column, length: int) -> list[Column]:
@@ -60,22 +61,22 @@ def contamination(
     benchmark hits nothing.  Repeated item ids count once, a null id is the
     empty string.  Input columns named like the three results are replaced.
     """
-    docs = docs.drop("n_words", "hit_words", "items")
+    docs = docs.drop(*RESULTS)
     kept = docs.columns
     windows = windows_of(benchmark, item_col, item_text_col, window)
     sizes = {row["length"]: row["count"] for row in windows.groupBy("length").count().collect()}
     small = sum(sizes.values()) <= broadcast_windows
 
     read = docs.select(
-        F.monotonically_increasing_id().alias("_row"),
+        F.monotonically_increasing_id().alias("_hit_row"),
         F.struct(*(F.col(c) for c in kept)).alias("_doc"),
         words_of(F.col(text_col)).alias("_words"),
     ).withColumn("_n", F.size("_words"))
-    at = read.select("_row", "_doc", "_words", "_n", F.posexplode_outer("_words").alias("_pos", "_word"))
+    at = read.select("_hit_row", "_doc", "_words", "_n", F.posexplode_outer("_words").alias("_pos", "_word"))
     first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
     lengths = sorted(sizes)
     rows = at.select(
-        "_row", "_pos", "_n",
+        "_hit_row", "_pos", "_n",
         *(F.when(first, F.col("_doc")[c]).alias(f"_doc_{i}") for i, c in enumerate(kept)),
         *(
             column
@@ -108,26 +109,35 @@ def contamination(
 
     return (
         rows.where(hit | F.coalesce(F.col("_pos") == 0, F.lit(True)))
-        .groupBy("_row")
+        .groupBy("_hit_row")
         .agg(
             *(F.first(f"_doc_{i}", ignorenulls=True).alias(c) for i, c in enumerate(kept)),
             F.first("_n").alias("n_words"),
             gathered(start, no_numbers).alias("hit_words"),
             gathered(found, no_items).alias("items"),
         )
-        .drop("_row")
+        .drop("_hit_row")
     )
 
 
+def _put_aside(docs: DataFrame) -> DataFrame:
+    """Own columns that are named like a result, under another name."""
+    return docs.withColumnsRenamed({c: f"_own_{c}" for c in RESULTS if c in docs.columns})
+
+
+def _put_back(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*(F.col(f"_own_{c}").alias(c) if c in RESULTS else F.col(c) for c in docs.columns))
+
+
 def drop_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any hit, with their own columns."""
-    measured = contamination(docs, benchmark, **options)
-    return measured.where(F.size("hit_words") == 0).select(*docs.columns)
+    measured = contamination(_put_aside(docs), benchmark, **options)
+    return _put_back(measured.where(F.size("hit_words") == 0), docs)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """All documents, without the words that were hit and what stands before each of them."""
-    measured = contamination(docs, benchmark, text_col=text_col, **options)
+    measured = contamination(_put_aside(docs), benchmark, text_col=text_col, **options)
     text = F.coalesce(F.col(text_col), F.lit(""))
     chunk = r"[\x00-\x2F\x3A-\x60\x7B-\x7F&&[^A-Z]]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     chunks = F.regexp_extract_all(text, F.lit(chunk), F.lit(0))
@@ -144,4 +154,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     cleaned = measured.withColumn("_chunks", chunks).withColumn(
         text_col, F.when(F.size("hit_words") > 0, rebuilt).otherwise(F.col(text_col))
     )
-    return cleaned.select(*docs.columns)
+    return _put_back(cleaned, docs)

@@ -268,7 +268,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.size("removed_lines") > 0, F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
     ).otherwise(F.col(text_col))
     none = F.array().cast("array<int>")
-    found = docs.withColumn("_row", row).join(removed.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
+    found = docs.withColumn("_line_row", row).join(removed.withColumnRenamed("row", "_line_row"), "_line_row", "left").drop("_line_row")
     found = found.withColumn("removed_lines", F.coalesce("removed_lines", none))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts))
     return found.withColumn("n_lines", n_lines).withColumn(text_col, text)

@@ -142,7 +142,7 @@ def shard(
     Shards weigh the same but for the tolerance (a share of a shard) or for one
     row.  A null text weighs 1, like an empty one.  Repeated rows are rows of
     their own.  An empty table gives no rows.  Input columns named size, shard
-    or slot are replaced.
+    or slot are replaced; _row, _size and _key are not kept.
     """
     text = F.col(text_col)
     row = F.monotonically_increasing_id()
