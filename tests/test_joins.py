@@ -5,8 +5,6 @@ import pytest
 from tidemark.operators.dedup import duplicate_keys, require_unique
 from tidemark.operators.joins import (
     first_orphans,
-    hot_keys,
-    lookup,
     match_count,
     orphan_keys,
 )
@@ -28,31 +26,6 @@ def parents(spark):
     return cold.unionByName(spark.range(1).selectExpr("'hot' AS key", "CAST(-1 AS LONG) AS attribute"))
 
 
-def test_hot_keys(skewed):
-    assert [r.key for r in hot_keys(skewed, "key", floor=1000).collect()] == ["hot"]
-    assert hot_keys(skewed, "key", floor=3000).count() == 0
-
-
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_lookup_is_the_plain_join(skewed, parents, how):
-    salted = lookup(skewed, parents, "key", how, floor=1000, salts=8)
-    plain = skewed.join(parents, "key", how)
-    assert Counter(salted.collect()) == Counter(plain.select(*salted.columns).collect())
-
-
-def test_hot_key_is_spread(skewed, parents, spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        joined = lookup(skewed, parents, "key", floor=1000, salts=64).filter("key = 'hot'")
-        sizes = joined.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
-        assert len(sizes) > 4
-        assert max(r["count"] for r in sizes) < 1500
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-
-
 def test_match_count_is_the_join_size(skewed, spark):
     right = spark.range(500).selectExpr("CASE WHEN id < 9 THEN 'hot' ELSE 'k' || id % 90 END AS other")
     expected = skewed.join(right, skewed.key == right.other).count()

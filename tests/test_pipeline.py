@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tidemark import fixtures
 from tidemark.operators.upsert import conditional_update
 from tidemark.plans import stages
-from tidemark.plans.models import TRACKED
+from tidemark.plans.models import TRACKED, staged
 from tidemark.sources import store
+from tidemark.sources.bronze import stamp_batch, write_bronze
 from tidemark.sources.ingest import SOURCES, extract
 from tidemark.sources.marks import log_batch, pending_batches
 
-CUSTOMERS = [(f"c{i}", f"u{i}", f"{10000 + i}", " Franca ", "sp") for i in range(4)]
+CUSTOMERS = [(f"c{i}", f"u{i}", f"{10000 + i}", " Quayside ", "qs") for i in range(4)]
 CUSTOMER_SCHEMA = (
     "customer_id string, customer_unique_id string, customer_zip_code_prefix string,"
     " customer_city string, customer_state string"
@@ -120,15 +121,15 @@ def test_scenarios(spark, site):
     moved = conditional_update(
         given["customers"],
         F.col("customer_id") == "c0",
-        {"customer_city": F.lit("test_city"), "customer_state": F.lit("TS")},
+        {"customer_city": F.lit("harbour"), "customer_state": F.lit("HB")},
     )
     run(spark, base, {**given, "customers": moved}, 3)
     run(spark, base, given, 4)
     history = table(spark, base, "customers_snapshot").filter("customer_id = 'c0'").orderBy("valid_from")
     assert [(r.customer_city, r.customer_state, r.valid_from.day, r.valid_to and r.valid_to.day) for r in history.collect()] == [
-        ("franca", "SP", 1, 3),
-        ("test_city", "TS", 3, 4),
-        ("franca", "SP", 4, None),
+        ("quayside", "QS", 1, 3),
+        ("harbour", "HB", 3, 4),
+        ("quayside", "QS", 4, None),
     ]
     assert table(spark, base, "dim_customers").count() == 4
 
@@ -208,6 +209,56 @@ def test_batchwise_cleaning_equals_rebuild(spark, base):
     assert {n: content(spark, base, n) for n in names} == steps
 
 
+def test_repeated_run_keeps_history_and_newest(spark, base, frame):
+    """Runs of one run time: no closed version is lost, the later batch wins."""
+
+    def customers(*cities):
+        rows = [(f"c{i}", f"u{i}", "1", city, "qs") for i, city in enumerate(cities, 1)]
+        return {"customers": frame(rows, CUSTOMER_SCHEMA)}
+
+    def step(ts, *cities):
+        stages.ingest(customers(*cities), base, "shop", ts)
+        stages.refresh_silver(spark, base, "customers", ts, rebuild=False)
+        stages.load(spark, base, "customers")
+        raw = store.read_table(spark, base, "raw_customers")
+        stages.snapshot(spark, base, staged(raw, "customers"), ts)
+
+    step("2024-01-01 00:00:00", "old", "old")
+    step("2024-01-02 00:00:00.2", "new", "old")
+    step("2024-01-02 00:00:00.2", "new", "newer")
+    step("2024-01-02 00:00:00.8", "newest", "newer")
+    history = table(spark, base, "customers_snapshot")
+    found = sorted((r.customer_id, r.customer_city, r.valid_to is None) for r in history.collect())
+    assert found == [
+        ("c1", "new", False), ("c1", "newest", True), ("c1", "old", False),
+        ("c2", "newer", True), ("c2", "old", False),
+    ]
+
+
+def test_odd_batch_ids_and_failed_batches(spark, base, frame):
+    """Any batch id names a slice; an unlogged batch counts for neither way of cleaning."""
+    ts = "2024-01-01 00:00:00"
+    good, bad = ("c1", "u1", "1", "a", "qs"), (None, "u2", "1", "a", "qs")
+    for batch in ("first", "a:b/c d=%e"):
+        extract(frame([good, bad], CUSTOMER_SCHEMA), SOURCES["customers"], base, "shop", batch_id=batch, ingested_at=ts)
+        counts = stages.refresh_silver(spark, base, "customers", ts, rebuild=False)
+        assert (counts.bronze, counts.rejected, counts.silver) == (2, 1, 1)
+    failed = stamp_batch(frame([bad], CUSTOMER_SCHEMA), "shop", "customers", "failed", ts)
+    write_bronze(failed, base, "customers", ts)
+    for rebuild in (False, True):
+        stages.refresh_silver(spark, base, "customers", ts, rebuild)
+        assert table(spark, base, "rejected_customers").count() == 2
+
+
+def test_slices_are_not_lost(spark, base):
+    rows = spark.range(2).selectExpr("id", "'a' AS part")
+    store.publish_slices(rows, base, "t", "part")
+    with pytest.raises(ValueError, match="not to be replaced"):
+        store.publish_slices(rows, base, "t", "part", replaced=[])
+    with pytest.raises(ValueError, match="slice names"):
+        store.publish_slices(rows.selectExpr("id", "'a:b' AS part"), base, "t", "part")
+
+
 def test_failed_check_stops_the_run(spark, site, tmp_path):
     _, given, make, _ = site
     orphan = given["orders"].unionByName(orders(make, [("o9", "nobody", "shipped", "2018-10-02 00:00:00")]))

@@ -63,3 +63,32 @@ def test_key_filter_goes_below_the_history_windows(spark):
 
 def test_sliced_writes_are_rebalanced(spark):
     assert "REBALANCE_PARTITIONS_BY_COL" in plan(balanced(spark.range(9), "id"))
+
+
+def test_hot_order_of_payments_is_split(spark, base):
+    """Adaptive execution deals a hot key of the plain join out to several tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    ids = spark.range(90_000).repartition(16)
+    payments = ids.selectExpr(
+        "IF(id % 3 = 0, 'hot', 'o' || id) AS order_id", "1 AS payment_sequential", "'voucher' AS payment_type",
+        "1 AS payment_installments", "CAST(id AS decimal(18,2)) AS payment_value", "current_timestamp() AS _ingested_at",
+        "'b' || id AS _batch_id", "'s' AS _source_system", "current_timestamp() AS _silver_processed_at",
+    )
+    orders = ids.selectExpr(
+        "IF(id = 0, 'hot', 'o' || id) AS order_id", "'c' AS customer_id",
+        "timestamp_ntz'2020-01-01 00:00:00' AS order_purchase_timestamp",
+    )
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        fact = models.fact_payments(payments, orders)
+        assert len(fact.collect()) == 90_000
+        assert "skew=true" in plan(fact)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)

@@ -25,15 +25,17 @@ def replaced(c: Column, mapping: dict[str, str]) -> Column:
     return c
 
 
-def tolerant(c: Column, kind: str) -> Column:
+def tolerant(c: Column, kind: str, most: float = 1e16) -> Column:
     """Cast where text that does not parse becomes NULL, also in ANSI mode.
 
-    NaN and +infinity have no decimal form and would pass a ``< 0`` test, so a
-    double that is not below infinity counts as missing.
+    NaN and the infinities have no decimal form, and the warehouse's
+    ``decimal(18,2)`` holds less than 10**16, so a double that is not within
+    these bounds counts as missing: rules on required columns then reject the
+    row, and one bad value never stops the load of a table.
     """
     value = c.try_cast(kind)
     if kind == "double":
-        return F.when(value < F.lit(float("inf")), value)
+        return F.when(F.abs(value) < F.lit(most), value)
     return value
 
 

@@ -7,50 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.dedup import first_rows_per_key
 
-# Only the largest keys are salted, at most HOT_KEY_LIMIT of them: that bounds
-# what `lookup` broadcasts, whatever the size of the data.  A key beyond the
-# limit holds less than 1/HOT_KEY_LIMIT of the rows and needs no salt.
-HOT_KEY_LIMIT = 10_000
-HOT_KEY_FLOOR = 1_000_000
-SALTS = 64
-
-_HOT, _SALT = "_hot", "_salt"
-
-
-def hot_keys(df: DataFrame, key: str, floor: int = HOT_KEY_FLOOR) -> DataFrame:
-    """The largest keys with more than ``floor`` rows, at most HOT_KEY_LIMIT.
-
-    Reads the key column only and counts before the shuffle.
-    """
-    large = key_counts(df, key, "n").filter(F.col("n") > floor)
-    return large.orderBy(F.desc("n"), key).limit(HOT_KEY_LIMIT).select(key)
-
-
-def lookup(
-    rows: DataFrame,
-    unique: DataFrame,
-    key: str,
-    how: str = "inner",
-    floor: int = HOT_KEY_FLOOR,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join ``rows`` to ``unique``, which has one row per key.
-
-    Rows of a hot key are spread over ``salts`` partitions by a hash of their
-    own content (a repeated task salts them alike); the single matching row of
-    ``unique`` is repeated once per salt.  All other keys join as usual.
-    """
-    hot = F.broadcast(hot_keys(rows, key, floor).withColumn(_HOT, F.lit(True)))
-    others = [c for c in rows.columns if c != key]
-    left = rows.join(hot, key, "left").withColumn(
-        _SALT, F.when(F.col(_HOT), F.pmod(F.xxhash64(*others), F.lit(salts))).otherwise(F.lit(0))
-    )
-    last = F.when(F.col(_HOT), F.lit(salts - 1)).otherwise(F.lit(0)).cast("long")
-    right = unique.join(hot, key, "left").withColumn(
-        _SALT, F.explode(F.sequence(F.lit(0).cast("long"), last))
-    )
-    return left.drop(_HOT).join(right.drop(_HOT), [key, _SALT], how).drop(_SALT)
-
 
 def key_counts(df: DataFrame, key: str, count: str = "n_rows") -> DataFrame:
     """Rows per non-NULL key; a hot key shrinks to one row per map task."""

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.calendar import calendar_columns
 from tidemark.functions.columns import date_key, lowered, trimmed, uppered
 from tidemark.operators.history import VALID_FROM, VALID_TO, open_versions
-from tidemark.operators.joins import lookup
 from tidemark.schemas import BATCH_COLUMNS, ORDER_TIMES, PROCESSED_AT, RAW
 
 CALENDAR_START = "2016-01-01"
@@ -122,7 +121,11 @@ def with_delivery(fact: DataFrame) -> DataFrame:
 
 
 def fact_payments(payments: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per payment of a known order; an order may have many payments."""
+    """One row per payment of a known order; an order may have many payments.
+
+    Orders are unique, so an order with a large share of all payments is one
+    row on that side, and adaptive execution splits it on the other.
+    """
     dated = orders.select(
         "order_id",
         "customer_id",
@@ -136,7 +139,7 @@ def fact_payments(payments: DataFrame, orders: DataFrame) -> DataFrame:
         "payment_value",
         *LINEAGE,
     )
-    joined = lookup(payments.select(*wanted), dated, "order_id")
+    joined = payments.select(*wanted).join(dated, "order_id")
     return joined.select(
         "order_id",
         "payment_sequential",

@@ -8,8 +8,10 @@ on each other, so their jobs run side by side.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ from tidemark.sources import store
 from tidemark.sources.bronze import read_batch, read_bronze
 from tidemark.sources.concurrent import together
 from tidemark.sources.ingest import SOURCES, Ingested, extract
-from tidemark.sources.marks import log_batch, pending_batches
+from tidemark.sources.marks import log_batch, logged_batches, pending_batches
 
 HISTORY = "customers_snapshot"
 _OPEN = "open"
@@ -48,14 +50,20 @@ class FailedChecks(AssertionError):
 
 
 def ingest(
-    sources: dict[str, DataFrame], base: str, system: str, ingested_at: str | None = None
+    sources: dict[str, DataFrame],
+    base: str,
+    system: str,
+    ingested_at: str | None = None,
+    full: bool = False,
+    max_rows_per_file: int = 0,
 ) -> dict[str, Ingested]:
-    """Extract every given source; keys are names of ``SOURCES``."""
+    """Extract every given source; keys are names of ``SOURCES``.
+
+    ``full`` reads whole sources, whatever their mark: late rows come with it.
+    """
+    options = {"ingested_at": ingested_at, "full": full, "max_rows_per_file": max_rows_per_file}
     return together(
-        {
-            name: partial(extract, df, SOURCES[name], base, system, ingested_at=ingested_at)
-            for name, df in sources.items()
-        }
+        {name: partial(extract, df, SOURCES[name], base, system, **options) for name, df in sources.items()}
     )
 
 
@@ -72,6 +80,8 @@ def clean(spark: SparkSession, base: str, table: str, run_ts: str) -> CleanCount
     bronze = read_bronze(spark, base, table)
     if bronze is None:
         raise LookupError(f"{table}: no Bronze data")
+    # a batch that failed its count check is not logged and is no part of the history
+    bronze = bronze.join(logged_batches(spark, base, table), "_batch_id", "left_semi")
     n_bronze = bronze.count()
     bad = store.publish(rejected(bronze, spec, run_ts), base, f"rejected_{table}").count()
     good = store.publish(silver(bronze, spec, run_ts), base, f"silver_{table}").count()
@@ -81,31 +91,43 @@ def clean(spark: SparkSession, base: str, table: str, run_ts: str) -> CleanCount
     return CleanCounts(n_bronze, n_valid, n_valid - good, bad, good)
 
 
-def clean_pending(spark: SparkSession, base: str, table: str, run_ts: str) -> None:
+def clean_pending(spark: SparkSession, base: str, table: str, run_ts: str) -> CleanCounts:
     """Fold the Bronze batches that Silver has not seen into Silver and rejects.
 
     Reads those batches and current Silver (one row per key) instead of the
     whole history, with the same result as ``clean``, but for the processing
     time of rows that did not change.  A batch left over by a failed run is
-    picked up by the next one; folding a batch twice changes nothing.
+    picked up by the next one; folding a batch twice changes nothing.  However
+    many batches wait, Silver is read and written once.  Rejects of a batch are
+    a slice named by a hash of its id, which may hold any characters.
     """
     spec = SPECS[table]
-    for batch_id, ingested_at in pending_batches(spark, base, table):
-        rows = read_batch(spark, base, table, batch_id, ingested_at)
-        old = store.read_table(spark, base, f"silver_{table}")
-        bad = rejected(rows, spec, run_ts).withColumn("_part", F.lit(f"batch-{batch_id}"))
-        part = [f"batch-{batch_id}"]
-        store.publish_slices(bad, base, f"rejected_{table}", "_part", replaced=part)
-        store.publish(silver_refresh(old, rows, spec, run_ts), base, f"silver_{table}")
+    pending = pending_batches(spark, base, table)
+    old = store.read_table(spark, base, f"silver_{table}")
+    n_old = old.count()
+    if not pending:
+        return CleanCounts(0, 0, 0, 0, n_old)
+    batches = [read_batch(spark, base, table, *batch) for batch in pending]
+    rows = reduce(partial(DataFrame.unionByName, allowMissingColumns=True), batches)
+    parts = [f"batch-{md5(batch_id.encode()).hexdigest()}" for batch_id, _ in pending]
+    bad = rejected(rows, spec, run_ts).withColumn("_part", F.concat(F.lit("batch-"), F.md5("_batch_id")))
+    store.publish_slices(bad, base, f"rejected_{table}", "_part", replaced=parts)
+    silver_now = store.publish(silver_refresh(old, rows, spec, run_ts), base, f"silver_{table}")
+    for batch_id, ingested_at in pending:
         log_batch(spark, base, table, batch_id, ingested_at, cleaned=True)
+    n_rows, n_new = rows.count(), silver_now.count()
+    n_bad = store.read_table(spark, base, f"rejected_{table}", parts).count()
+    n_valid = n_rows - n_bad
+    return CleanCounts(n_rows, n_valid, n_valid + n_old - n_new, n_bad, n_new)
 
 
-def refresh_silver(spark: SparkSession, base: str, table: str, run_ts: str, rebuild: bool) -> None:
+def refresh_silver(
+    spark: SparkSession, base: str, table: str, run_ts: str, rebuild: bool
+) -> CleanCounts:
     """Batchwise once there is a Silver table, from all of Bronze otherwise."""
     if rebuild or not store.exists(spark, base, f"silver_{table}"):
-        clean(spark, base, table, run_ts)
-    else:
-        clean_pending(spark, base, table, run_ts)
+        return clean(spark, base, table, run_ts)
+    return clean_pending(spark, base, table, run_ts)
 
 
 def load(spark: SparkSession, base: str, table: str) -> None:
@@ -124,7 +146,8 @@ def snapshot(spark: SparkSession, base: str, customers: DataFrame, run_ts: str)
     """Next customer snapshot.
 
     Open versions are one slice, versions closed by a run are a slice of their
-    own that no later run reads or rewrites.
+    own that no later run reads or rewrites: its name holds a random part, as a
+    repeated run has the same run time.
     """
     current = models.snapshot_source(customers)
     require_unique(current, ["customer_id"], HISTORY)
@@ -134,7 +157,8 @@ def snapshot(spark: SparkSession, base: str, customers: DataFrame, run_ts: str)
         rows = scd2_step(opened, current, "customer_id", models.TRACKED, ts)
     else:
         rows = scd2_start(current, ts)
-    part = F.coalesce(F.date_format(VALID_TO, "'closed-'yyyyMMdd'T'HHmmss"), F.lit(_OPEN))
+    closed = F.concat(F.date_format(VALID_TO, "'closed-'yyyyMMdd'T'HHmmss"), F.lit(f"-{uuid.uuid4().hex}"))
+    part = F.coalesce(closed, F.lit(_OPEN))
     store.publish_slices(rows.withColumn("_part", part), base, HISTORY, "_part", replaced=[_OPEN])
 
 
@@ -173,15 +197,23 @@ def refresh_fact_orders(
         store.unstage(spark, path)
 
 
-def build(spark: SparkSession, base: str, full: bool = False) -> None:
-    """Dimensions and facts from staging and the customer history."""
+def build(
+    spark: SparkSession,
+    base: str,
+    full: bool = False,
+    calendar: tuple[str, int] = (models.CALENDAR_START, models.CALENDAR_DAYS),
+) -> None:
+    """Dimensions and facts from staging and the customer history.
+
+    ``calendar`` is the first day and the number of days of the date dimension.
+    """
     stg = staging(spark, base)
     history = store.read_table(spark, base, HISTORY, [_OPEN])
     orders = stg["stg_orders"]
     tables = {
         "dim_customers": models.dim_customers(history),
         "dim_products": models.dim_products(stg["stg_products"]),
-        "dim_date": models.dim_date(spark),
+        "dim_date": models.dim_date(spark, *calendar),
         "fact_payments": models.fact_payments(stg["stg_order_payments"], orders),
     }
     calls = {name: partial(store.publish, df, base, name) for name, df in tables.items()}
@@ -227,18 +259,20 @@ def run(
     system: str,
     run_ts: str,
     full: bool = False,
+    max_rows_per_file: int = 0,
+    calendar: tuple[str, int] = (models.CALENDAR_START, models.CALENDAR_DAYS),
 ) -> list:
     """One complete run over the given sources.
 
-    ``full`` rebuilds Silver from all of Bronze and the order fact from all
-    orders; otherwise both take up what is new.
+    ``full`` reads whole sources, rebuilds Silver from all of Bronze and the
+    order fact from all orders; otherwise each takes up what is new.
     """
     require_utc(spark)
-    ingest(sources, base, system, run_ts)
+    ingest(sources, base, system, run_ts, full, max_rows_per_file)
     together({t: partial(refresh_silver, spark, base, t, run_ts, full) for t in TABLES})
     together({t: partial(load, spark, base, t) for t in TABLES})
     snapshot(spark, base, staging(spark, base)["stg_customers"], run_ts)
-    build(spark, base, full)
+    build(spark, base, full, calendar)
     return test(spark, base)
 
 

@@ -16,18 +16,20 @@ from pyspark.sql.types import DateType, DecimalType
 
 from tidemark import fixtures
 from tidemark.operators import history, joins, recon, upsert
-from tidemark.plans import checks, cleaning, models
+from tidemark.plans import checks, cleaning, models, stages
 from tidemark.plans.warehouse import to_raw
 from tidemark.schemas import SILVER, TABLES
-from tidemark.sources import ingest
-from tidemark.sources.concurrent import together
+from tidemark.sources import ingest, store
+from tidemark.sources.bronze import read_batch, write_bronze
 from tidemark.sources.readers import max_mark, read_increment
-from tidemark.sources.store import stage
+from tidemark.sources.store import stage, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FIRST_MARK = "1998-06-01 00:00:00"
 PROBE_CUSTOMER = "c20"
+#: The calendar that checks read; orders before it have no date there.
+CHECKED_FROM = "1995-01-01"
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -111,7 +113,10 @@ def ingest_new_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Announced against stamped rows: one full load and one increment."""
+    """Announced rows against rows written and read back.
+
+    One full load, one increment, and one increment that loses rows on its way.
+    """
     source = fixtures.source_orders(spark, sf_dir)
     announced = source.filter(
         F.col("order_purchase_timestamp") > F.lit(FIRST_MARK).cast("timestamp_ntz")
@@ -120,15 +125,24 @@ def ingest_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "products",
         ingest.SOURCES["products"].load_type,
         fixtures.source_products(spark, sf_dir),
-        ingest_full(spark, sf_dir),
+        _landed(spark, ingest_full(spark, sf_dir), "products"),
     )
     partial_load = ingest.validation(
         "orders",
         ingest.SOURCES["orders"].load_type,
         announced,
-        ingest_incremental(spark, sf_dir),
+        _landed(spark, ingest_incremental(spark, sf_dir), "orders"),
     )
-    return full.unionByName(partial_load)
+    some = ingest_incremental(spark, sf_dir).filter(F.col("order_id").endswith("7"))
+    lossy = ingest.validation("orders", "lossy", announced, _landed(spark, some, "orders"))
+    return full.unionByName(partial_load).unionByName(lossy)
+
+
+def _landed(spark: SparkSession, batch: DataFrame, table: str) -> DataFrame:
+    """A stamped batch, appended to a Bronze of its own and read back."""
+    base, at = staging_path(spark), fixtures.BATCH_TIMES["b1"]
+    write_bronze(batch, base, table, at)
+    return read_batch(spark, base, table, "b1", at)
 
 
 # ---- history ----------------------------------------------------------------
@@ -168,6 +182,17 @@ def customers_scd2_stepwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result
 
 
+def customers_scd2_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same history through the published snapshot; the last batch comes twice."""
+    base = staging_path(spark)
+    spec = cleaning.SPECS["customers"]
+    for batch in ("b1", "b2", "b3", "b3"):
+        clean = cleaning.silver(fixtures.bronze_customers(spark, sf_dir, (batch,)), spec, fixtures.RUN_TS)
+        current = models.staged(to_raw(clean, "customers"), "customers")
+        stages.snapshot(spark, base, current, fixtures.BATCH_TIMES[batch])
+    return store.read_table(spark, base, stages.HISTORY)
+
+
 def customer_history_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of one customer; the key filter reaches the scan side of the windows."""
     versions = history.versions_of(customers_scd2(spark, sf_dir), "customer_id", PROBE_CUSTOMER)
@@ -228,33 +253,50 @@ def fact_orders_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payments are written first: the join counts their keys before it reads them."""
-    payments = stage(raw(spark, sf_dir, "order_payments"))
     return models.fact_payments(
-        models.staged(payments, "order_payments"), staging(spark, sf_dir, "orders")
+        staging(spark, sf_dir, "order_payments"), staging(spark, sf_dir, "orders")
     )
 
 
-def published(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All models over written RAW tables and facts, as checks read them in a run."""
-    frames = together({f"raw_{t}": partial(_staged_raw, spark, sf_dir, t) for t in TABLES})
-    frames |= {f"stg_{t}": models.staged(frames[f"raw_{t}"], t) for t in TABLES}
-    totals = models.item_totals(frames["stg_order_items"])
-    orders = frames["stg_orders"]
-    marts = {
-        "dim_customers": dim_customers(spark, sf_dir),
-        "fact_orders": models.fact_orders(orders, totals),
-        "fact_payments": models.fact_payments(frames["stg_order_payments"], orders),
-    }
-    frames |= together({name: partial(stage, df) for name, df in marts.items()})
-    frames["int_order_items_aggregated"] = totals
-    frames["dim_products"] = models.dim_products(frames["stg_products"])
-    frames["dim_date"] = models.dim_date(spark)
-    return frames
+class Published(dict):
+    """Models by name, each built when first asked for; RAW and marts are written once.
+
+    A check that names two models so pays for these two only.
+    """
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self._spark, self._sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self._build(name)
+        return self[name]
+
+    def _build(self, name: str) -> DataFrame:
+        spark, sf_dir = self._spark, self._sf_dir
+        layer, _, table = name.partition("_")
+        if layer == "raw":
+            return stage(raw(spark, sf_dir, table))
+        if layer == "stg":
+            return models.staged(self[f"raw_{table}"], table)
+        if name == "int_order_items_aggregated":
+            return stage(models.item_totals(self["stg_order_items"]))
+        if name == "fact_orders":
+            return stage(models.fact_orders(self["stg_orders"], self["int_order_items_aggregated"]))
+        if name == "fact_payments":
+            return stage(models.fact_payments(self["stg_order_payments"], self["stg_orders"]))
+        if name == "dim_customers":
+            return stage(dim_customers(spark, sf_dir))
+        if name == "dim_products":
+            return models.dim_products(self["stg_products"])
+        if name == "dim_date":
+            return models.dim_date(spark, CHECKED_FROM)
+        raise KeyError(name)
 
-def _staged_raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return stage(raw(spark, sf_dir, table))
+
+def published(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All models over written RAW tables and facts, as checks read them in a run."""
+    return Published(spark, sf_dir)
 
 
 # ---- checks -----------------------------------------------------------------
@@ -335,7 +377,7 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conditional_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = {"customer_city": F.lit("test_city"), "customer_state": F.lit("TS")}
+    moved = {"customer_city": F.lit("harbour"), "customer_state": F.lit("HB")}
     return upsert.conditional_update(
         staging(spark, sf_dir, "customers"), F.col("customer_id") == PROBE_CUSTOMER, moved
     )
@@ -356,6 +398,7 @@ def _queries() -> dict[str, Query]:
         ingest_validation,
         customers_scd2,
         customers_scd2_stepwise,
+        customers_scd2_published,
         customer_history_lookup,
         int_order_items_aggregated,
         dim_date,

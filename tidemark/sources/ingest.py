@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.sources.bronze import read_batch, stamp_batch, write_bronze
-from tidemark.sources.marks import load_mark, log_batch, save_mark
+from tidemark.sources.marks import load_mark, log_batch, next_ingest_time, save_mark
 from tidemark.sources.readers import max_mark, read_increment
 
 
@@ -76,7 +76,8 @@ def extract(
 
     Order of steps: read, write, count what was written, log the batch, move
     the mark.  A run that fails on the way leaves the mark alone; its rows come
-    again in the next run and cleaning removes the copies.
+    again in the next run and cleaning removes the copies.  The ingest time is
+    moved behind that of the table's last batch if it does not come after it.
     """
     spark, column = df.sparkSession, source.mark_column
     mark = load_mark(spark, base, source.table) if column and not full else None
@@ -87,6 +88,7 @@ def extract(
 
     batch_id = batch_id or str(uuid.uuid4())
     ingested_at = ingested_at or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
+    ingested_at = next_ingest_time(spark, base, source.table, ingested_at)
     stamped = stamp_batch(rows, system, source.table, batch_id, ingested_at)
     write_bronze(stamped, base, source.table, ingested_at, max_rows_per_file)
 

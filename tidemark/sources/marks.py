@@ -6,7 +6,9 @@ complete in Bronze, one more when cleaning has used it.
 
 from __future__ import annotations
 
-from pyspark.sql import Row, SparkSession
+from datetime import datetime, timedelta
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.store import append_lines, read_lines
@@ -41,6 +43,25 @@ def pending_batches(spark: SparkSession, base: str, table: str) -> list[tuple[st
     return [(row["batch_id"], row["ingested_at"]) for row in open_ones.collect()]
 
 
+def logged_batches(spark: SparkSession, base: str, table: str) -> DataFrame:
+    """Ids of the batches that are complete in Bronze."""
+    lines = read_lines(spark, _batch_path(base, table), _BATCH_SCHEMA)
+    return lines.select(F.col("batch_id").alias("_batch_id")).distinct()
+
+
+def next_ingest_time(spark: SparkSession, base: str, table: str, wanted: str) -> str:
+    """The wanted time, or a microsecond after the table's last batch if that is later.
+
+    So the ingest times of a table's batches are all different and in the order
+    of their extraction, also if a run is repeated with its own run time.
+    """
+    lines = read_lines(spark, _batch_path(base, table), _BATCH_SCHEMA)
+    last = lines.agg(F.max(F.col("ingested_at").cast("timestamp_ntz"))).first()[0]
+    if last is None or datetime.fromisoformat(wanted) > last:
+        return wanted
+    return (last + timedelta(microseconds=1)).isoformat(" ")
+
+
 def _batch_path(base: str, table: str) -> str:
     return f"{base}/_batches/{table}"
 

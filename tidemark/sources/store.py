@@ -11,7 +11,9 @@ One writer per table at a time is assumed, as in any pipeline run.
 
 from __future__ import annotations
 
+import atexit
 import json
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -25,6 +27,7 @@ from pyspark.sql.types import StructType
 _LEDGER = "slice string, version string, schema string, seq long"
 _SLICE = "_slice"
 _WHOLE = "all"
+_PLAIN_NAME = re.compile(r"[A-Za-z0-9_.-]+")
 
 
 class EmptyTableError(ValueError):
@@ -116,7 +119,9 @@ def publish_slices(
     """Replace slices of a table; ``slice_by`` is a column of ``df``, not stored.
 
     ``replaced`` names the slices whose old content ends (None: all of them).
-    Other slices that are not in ``df`` stay as they are.
+    Other slices that are not in ``df`` stay as they are; writing one that
+    exists without naming it raises, as its old rows would be lost.  Names are
+    letters, digits, ``_``, ``.`` and ``-``, which no file system escapes.
     """
     spark, root, version = df.sparkSession, _root(base, table), uuid.uuid4().hex
     path = f"{root}/version={version}"
@@ -128,6 +133,12 @@ def publish_slices(
     old = current(spark, base, table)
     if replaced is None:
         replaced = list(old.versions) if old else []
+    odd = [name for name in names if not _PLAIN_NAME.fullmatch(str(name))]
+    if odd:
+        raise ValueError(f"{table}: slice names {odd[:3]} have other characters than A-Z, a-z, 0-9, _, . and -")
+    kept = set(old.versions) - set(replaced) if old else set()
+    if lost := kept & set(names):
+        raise ValueError(f"{table}: slices {sorted(lost)[:3]} exist and are not to be replaced")
     slices = {**dict.fromkeys(replaced, ""), **dict.fromkeys(names, version)}
     _switch(df.drop(slice_by), base, table, old, slices)
 
@@ -153,6 +164,9 @@ def balanced(df: DataFrame, column: str) -> DataFrame:
     return df.hint("rebalance", F.col(column))
 
 
+_staged_paths: dict[str, SparkSession] = {}
+
+
 def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a frame that several plans read, and read it back.
 
@@ -165,15 +179,27 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def staging_path(spark: SparkSession) -> str:
-    return f"{checkpoint_folder(spark)}/staged-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the process ends at the latest."""
+    path = f"{checkpoint_folder(spark)}/staged-{uuid.uuid4().hex}"
+    _staged_paths[path] = spark
+    return path
 
 
 def unstage(spark: SparkSession, path: str) -> None:
     """Delete a staged frame after its last use."""
+    _staged_paths.pop(path, None)
     staged = spark._jvm.org.apache.hadoop.fs.Path(path)
     staged.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged, True)
 
 
+@atexit.register
+def unstage_all() -> None:
+    """Delete whatever is still staged; called when the process ends, too."""
+    for path, spark in list(_staged_paths.items()):
+        if spark.sparkContext._jsc is not None:
+            unstage(spark, path)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's shared folder; a temporary one only in local mode."""
     context = spark.sparkContext
