@@ -122,6 +122,25 @@ def test_class_model_is_a_distribution():
     assert sorted(set(assigned[40:])) == [classlm.CLASSES + i for i in range(8)] and assigned[:40].max() < classlm.CLASSES
 
 
+def likelihood(pairs, assigned, classes):
+    table = np.zeros((classes, classes))
+    for i, a in enumerate(assigned):
+        for j, b in enumerate(assigned):
+            table[a, b] += pairs[i, j]
+    return sum(classlm._phi(x).sum() * sign for x, sign in ((table, 1), (table.sum(0), -1), (table.sum(1), -1)))
+
+
+def test_no_single_move_betters_the_exchange():
+    pairs = np.random.default_rng(7).integers(0, 9, (14, 14))
+    assigned = classlm.exchange(pairs, 11, classes=3, sweeps=50)
+    best = likelihood(pairs, assigned, 6)
+    for w in range(11):
+        for c in range(3):
+            moved = assigned.copy()
+            moved[w] = c
+            assert likelihood(pairs, moved, 6) <= best + 1e-6
+
+
 def test_exchange_finds_alternating_words():
     pairs = np.zeros((8, 8), np.int64)
     pairs[:4, 4:] = 5
