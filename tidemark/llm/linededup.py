@@ -12,10 +12,11 @@ length, position of the shared word and a 64-bit parity signature (each a bound
 on the overlap that never loses a pair) prune inside the join, and what is left
 is verified on the words themselves.
 
-First every set meets only the earliest holder of each prefix word, which
-settles large groups of near copies with one comparison per word; only sets
-still without an earlier match then meet all earlier ones.  A removed line so
-needs one match, and a group of g near copies no square of pairs.
+Of a prefix word that more than ``STAR_FROM`` sets hold, first every set meets
+the earliest holder only, which settles large groups of near copies with one
+comparison per word; only sets still without an earlier match then meet all
+earlier ones.  A removed line so needs one match, and a group of g near copies
+no square of pairs.
 
 Rarity is a table of 2**BUCKET_BITS counts by word hash over all lines; words
 that share a bucket only look more common.  It is the one thing of fixed size
@@ -41,6 +42,7 @@ LEAST_WORDS = 5
 #: Jaccard similarity as a fraction.
 SIMILAR = (4, 5)
 BUCKET_BITS = 22
+STAR_FROM = 32
 #: Joined without a shuffle of the other side up to so many rows of a few numbers.
 BROADCAST_ROWS = 500_000
 _MASK = (1 << 64) - 1
@@ -123,9 +125,9 @@ def rarity_levels(lines: DataFrame) -> np.ndarray:
     """By bucket, 0 for a word of one set and more the more sets hold it."""
     sums = lines.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("sets").alias("n")).where("n > 1")
     level = F.least(F.lit(120), F.ceil(F.log2("n") * 4)).cast("tinyint")
-    found = sums.select("bucket", level.alias("level")).toPandas()
+    found = sums.select("bucket", level.alias("level")).toArrow()
     levels = np.zeros(1 << BUCKET_BITS, np.int8)
-    levels[found["bucket"].to_numpy(np.int64)] = found["level"].to_numpy(np.int8)
+    levels[found["bucket"].to_numpy()] = found["level"].to_numpy()
     return levels
 
 
@@ -170,11 +172,15 @@ def _postings(source: DataFrame, levels: np.ndarray) -> DataFrame:
 
 
 def _may_match(a: str, b: str) -> Column:
-    """Length, position and signature allow the similarity; words shared earlier count as shared."""
+    """Length, position and signature allow the similarity.
+
+    The first word that two similar sets share is one of their join keys, and
+    all that they share stands from there on, so both must have enough left.
+    """
     num, den = SIMILAR
     n1, n2, at1, at2 = (F.col(f"{x}.{c}") for c in ("n", "at") for x in (a, b))
     needed = F.ceil((n1 + n2) * num / F.lit(num + den))
-    possible = F.least(at1, at2) + F.least(n1 - at1, n2 - at2)
+    possible = F.least(n1 - at1, n2 - at2)
     differ = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
     return (
         (F.col(f"{a}.key") != F.col(f"{b}.key"))
@@ -243,15 +249,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     postings = staged(_postings(source, rarity_levels(read)))
 
-    pivots = postings.groupBy("word").agg(F.min(F.struct("id", "key", "n", "at", "parity")).alias("p")).select("word", "p.*")
-    a, b = pivots.alias("a"), postings.alias("b")
+    earliest = F.min(F.struct("id", "key", "n", "at", "parity"))
+    large = postings.groupBy("word").agg(earliest.alias("p"), F.count("*").alias("sets")).where(F.col("sets") > STAR_FROM)
+    pivots = staged(large.select("word", "p.*"))
+    a, b = _small(pivots).alias("a"), postings.alias("b")
     near_first = a.join(b, (F.col("a.word") == F.col("b.word")) & _may_match("a", "b"))
     settled = _later(source, first, _pairs(near_first))
 
     marked = postings.join(_small(settled.withColumn("done", F.lit(True))), "key", "left")
     a, b = marked.alias("a"), marked.alias("b")
-    # "done" is asked in a term on both sides, so that both read one exchange
-    order = (F.col("a.id") <= F.col("b.id")) & (F.col("b.done").isNull() | (F.col("a.n") < 0))
+    # "done" is asked in a term of both sides, so that both read one exchange
+    order = (F.col("a.id") <= F.col("b.id")) & (F.col("b.done").isNull() | (F.col("a.done") & (F.col("a.n") < 0)))
     rest = a.join(b, (F.col("a.word") == F.col("b.word")) & order & _may_match("a", "b"))
     more = _later(source, first, _pairs(rest))
 
@@ -259,7 +267,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     judged = lines.join(first.select("key", "first").join(matched, "key", "left"), "key")
     gone = judged.where(F.col("done") | (F.col("place") > F.col("first")))
     removed = staged(gone.groupBy("row").agg(F.array_sort(F.collect_set("place.line")).alias("removed_lines")))
-    for done in (read, postings, settled, more):
+    for done in (read, pivots, postings, settled, more):
         drop_staged(done)
 
     parts = F.split(F.col(text_col), "\n")
