@@ -210,10 +210,10 @@ def train(
         .groupBy("key")
         .agg(F.first("label").alias("y"), F.min("x").alias("x"))
         .orderBy("key")
-        .toPandas()
+        .toArrow()
     )
-    x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
-    return fit(x, rows["y"].to_numpy(float))
+    x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))
+    return fit(x, rows["y"].to_numpy().astype(float))
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
