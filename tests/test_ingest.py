@@ -6,7 +6,7 @@ from tidemark.sources import ingest
 from tidemark.sources.bronze import read_bronze, write_bronze
 from tidemark.sources.ingest import SOURCES, RowCountError, Source, extract
 from tidemark.sources.marks import load_mark, log_batch, pending_batches, save_mark
-from tidemark.sources.readers import jdbc_options, max_mark, quoted, read_increment
+from tidemark.sources.readers import hash_predicates, jdbc_options, read_jdbc, max_mark, quoted, read_increment
 
 ORDERS = SOURCES["orders"]
 
@@ -101,6 +101,18 @@ def test_load_types():
     assert SOURCES["payments"] == Source("order_payments")
 
 
+def test_every_row_is_in_one_hash_split():
+    first, *others = hash_predicates("order_id", 3)
+    part = 'mod(cast(hashtext(cast("order_id" as text)) as bigint) + 2147483648, 3)'
+    assert first == f'"order_id" is null or {part} = 0' and others == [f"{part} = 1", f"{part} = 2"]
+
+
+def test_splits_need_a_way_to_split(spark):
+    for options in ({}, {"split_by": "id", "bounds": ("0", "9"), "hash_of": "id"}):
+        with pytest.raises(ValueError, match="either"):
+            read_jdbc(spark, "jdbc:x", "orders", splits=4, **options)
+
+
 def test_jdbc_options():
     assert quoted('public.or"ders') == '"public"."or""ders"'
     options = jdbc_options("jdbc:x", "orders", {"user": "u"}, 500, "id", ("0", "9"), 3)

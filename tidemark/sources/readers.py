@@ -13,17 +13,27 @@ def read_jdbc(
     url: str,
     table: str,
     *,
+    splits: int,
     properties: dict[str, str] | None = None,
     fetch_rows: int = FETCH_ROWS,
     split_by: str | None = None,
     bounds: tuple[str, str] | None = None,
-    splits: int = 1,
+    hash_of: str | None = None,
 ) -> DataFrame:
-    """One database table.  Filters and columns are pushed into its query.
+    """One database table in ``splits`` parallel reads.
 
-    ``split_by`` with ``bounds`` reads ``splits`` key ranges in parallel; rows
-    outside the bounds go to the first and last range, none is lost.
+    Filters and columns are pushed into the queries.  ``split_by`` with
+    ``bounds`` cuts a number, date or time column into ranges; rows outside the
+    bounds go to the first and last range.  ``hash_of`` deals a column of any
+    type, text keys too, by its hash.  No row is lost either way.  A read in
+    one task has to be asked for by ``splits=1``.
     """
+    if splits > 1 and (split_by is None) == (hash_of is None):
+        raise ValueError("several splits need either split_by or hash_of")
+    if splits > 1 and hash_of:
+        options = jdbc_options(url, table, properties, fetch_rows)
+        url, name = options.pop("url"), options.pop("dbtable")
+        return spark.read.jdbc(url, name, predicates=hash_predicates(hash_of, splits), properties=options)
     return spark.read.format("jdbc").options(
         **jdbc_options(url, table, properties, fetch_rows, split_by, bounds, splits)
     ).load()
@@ -57,6 +67,13 @@ def jdbc_options(
     return options
 
 
+def hash_predicates(column: str, splits: int) -> list[str]:
+    """Conditions, in PostgreSQL's SQL, that deal every row to exactly one split."""
+    name = quoted(column)
+    part = f"mod(cast(hashtext(cast({name} as text)) as bigint) + 2147483648, {splits})"
+    return [f"{name} is null or {part} = 0", *(f"{part} = {i}" for i in range(1, splits))]
+
+
 def quoted(table: str) -> str:
     """Table name as SQL identifiers, so that it cannot carry SQL."""
     return ".".join('"' + part.replace('"', '""') + '"' for part in table.split("."))
