@@ -167,18 +167,21 @@ def refresh_fact_orders(
 ) -> None:
     """Build the order fact, or merge the orders at or after its last purchase.
 
-    The fact is sliced by purchase month.  A merge aggregates the items of the
-    increment only and rewrites only months that gain, change or lose an order.
+    The fact is sliced by purchase month.  A merge finds the last purchase in
+    the newest month alone, aggregates the items of the increment only and
+    rewrites only months that gain, change or lose an order.
     """
     table = "fact_orders"
     by_month = {"_month": month_key(F.col("order_purchase_timestamp"))}
-    if full or not store.exists(spark, base, table):
+    stored = store.current(spark, base, table)
+    if full or stored is None or not stored.versions:
         fact = models.fact_orders(orders, models.item_totals(items)).withColumns(by_month)
         store.publish_slices(fact, base, table, "_month")
         return
 
     target = store.read_table(spark, base, table).withColumns(by_month)
-    new = increment(orders, target, "order_purchase_timestamp")
+    newest = store.read_table(spark, base, table, [max(stored.versions, key=int)])
+    new = increment(orders, newest, "order_purchase_timestamp")
     new_items = items.join(new.select("order_id"), "order_id", "left_semi")
     fact = models.fact_orders(new, models.item_totals(new_items)).withColumns(by_month)
     path = store.staging_path(spark)
