@@ -250,8 +250,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     postings = staged(_postings(source, rarity_levels(read)))
 
     earliest = F.min(F.struct("id", "key", "n", "at", "parity"))
-    large = postings.groupBy("word").agg(earliest.alias("p"), F.count("*").alias("sets")).where(F.col("sets") > STAR_FROM)
-    pivots = staged(large.select("word", "p.*"))
+    large = staged(postings.groupBy("word").count().where(F.col("count") > STAR_FROM).select("word"))
+    held = postings.join(_small(large), "word").groupBy("word").agg(earliest.alias("p"))
+    pivots = staged(held.select("word", "p.*"))
     a, b = _small(pivots).alias("a"), postings.alias("b")
     near_first = a.join(b, (F.col("a.word") == F.col("b.word")) & _may_match("a", "b"))
     settled = _later(source, first, _pairs(near_first))
@@ -267,7 +268,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     judged = lines.join(first.select("key", "first").join(matched, "key", "left"), "key")
     gone = judged.where(F.col("done") | (F.col("place") > F.col("first")))
     removed = staged(gone.groupBy("row").agg(F.array_sort(F.collect_set("place.line")).alias("removed_lines")))
-    for done in (read, pivots, postings, settled, more):
+    for done in (read, large, pivots, postings, settled, more):
         drop_staged(done)
 
     parts = F.split(F.col(text_col), "\n")
