@@ -47,6 +47,8 @@ STAR_FROM = 32
 BROADCAST_ROWS = 500_000
 _MASK = (1 << 64) - 1
 _REMEMBERED = 400_000
+#: Documents whose prefix words a task holds at once.
+PART_ROWS = 2_500
 
 
 class _Hashes(dict):
@@ -136,7 +138,7 @@ def _postings(source: DataFrame, levels: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = _Ranks(levels)
-        for batch in batches:
+        for batch in (b.slice(low, PART_ROWS) for b in batches for low in range(0, b.num_rows, PART_ROWS)):
             if len(ranks) > _REMEMBERED:
                 ranks.clear()
             seen: set[int] = set()
