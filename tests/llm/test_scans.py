@@ -178,3 +178,13 @@ def test_license_edges(docs, clashing):
     for i in (1, 2, 4, 6):
         assert (found[i].labels, found[i].score) == ([], 0.0)
     assert licenses.scan(docs("x").limit(0)).collect() == []
+
+
+def test_files_with_several_licenses(docs):
+    parts = [template for _, template, _ in licenses.TEMPLATES]
+    labels = {template: label for label, template, _ in licenses.TEMPLATES}
+    files = [[p, "all rights reserved"] for p in parts] + [parts, parts[::-1] * 3]
+    texts = [" some other words between them \n".join(f) for f in files]
+    found = {r.doc_id: r for r in licenses.scan(docs(*texts)).collect()}
+    for i, file in enumerate(files):
+        assert found[i].labels == sorted({labels[p] for p in file})

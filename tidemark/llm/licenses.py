@@ -2,7 +2,7 @@
 
 The words of every template are weighed by how few documents of the corpus hold
 them; each template is indexed under its rarest words, with their positions.
-Of a file, the licence words of highest weight are looked up; postings that
+Of a file, every indexed word is looked up wherever it stands; postings that
 place a template at the same relative position are intersected, and a template
 counts if two or more agree and its mandatory phrase stands, word for word,
 where that alignment puts it.  DataFrame functions only: the index is a few
@@ -39,7 +39,6 @@ TEMPLATES = (
 )
 
 INDEXED_WORDS = 6
-FILE_WORDS = 8
 LEAST_AGREEING = 2
 
 
@@ -86,21 +85,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     by_rarity = rarity(docs, text_col)
     spark = docs.sparkSession
-    index = spark.createDataFrame(postings(by_rarity), "_token string, _template int, _place int")
-    ranked = F.array(*(F.lit(word) for word in by_rarity))
+    posted = postings(by_rarity)
+    index = spark.createDataFrame(posted, "_token string, _template int, _place int")
+    tokens = sorted({word for word, _, _ in posted})
 
     words, at = F.col("_words"), F.col("_pos")
     read = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), words_of(F.col(text_col)).alias("_words")
     )
-    top = F.slice(F.array_intersect(ranked, words), 1, FILE_WORDS)
-    exploded = read.withColumn("_top", top).select("*", F.posexplode_outer("_words").alias("_pos", "_word"))
+    exploded = read.select("*", F.posexplode_outer("_words").alias("_pos", "_word"))
     base = reduce(
         lambda rest, p: F.when((F.col("_word") == p[0].split()[0]) & _stands(words, at, p[0].split()), p[1]).otherwise(rest),
         PHRASES,
         F.lit(None).cast("string"),
     )
-    looked_up = F.when(F.array_contains("_top", F.col("_word")), F.col("_word"))
+    looked_up = F.when(F.col("_word").isin(tokens), F.col("_word"))
     rows = (
         exploded.withColumn("_base", base)
         .withColumn("_look", looked_up)
@@ -126,6 +125,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "_row", "_id", F.size("_words").alias("_n"), "_pos", "_base", "_template", "_place",
         shift.alias("_shift"), verified.alias("_verified"), F.when(verified, share).alias("_share"),
     )
+    # what is not verified gives no label: only the first word stands for its document
+    aligned = aligned.where(F.coalesce("_pos", F.lit(0)).eqNullSafe(0) | F.col("_base").isNotNull() | F.col("_verified"))
     counted = aligned.groupBy("_row", "_template", "_shift").agg(
         F.first("_id").alias("_id"),
         F.first("_n").alias("_n"),
