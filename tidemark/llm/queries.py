@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import classlm, decontamination, hamming, licenses, linededup, packing, quality, secrets, sharding, simhash
+from tidemark.llm import alignment, classlm, decontamination, hamming, licenses, linededup, packing, quality, secrets, sharding, simhash
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +146,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
+
+
 QUERIES: dict[str, Query] = {
     "op1_histogram_sort": op1_histogram_sort,
     "op2_packing": op2_packing,
@@ -157,6 +163,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_topk": op9_topk,
     "op10_line_dedup": op10_line_dedup,
+    "op12_alignment": op12_alignment,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {"op3_decontamination": OP3_SQL, "op9_topk": OP9_SQL}
