@@ -20,6 +20,7 @@ counts by a join, so the result is the same at any size.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from bisect import bisect_right
@@ -27,7 +28,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +43,18 @@ FAN = 16
 #: Pairs of ids whose counts are broadcast, 17 bytes each.
 HOT_PAIRS = 4_000_000
 #: What a task remembers of words, and what it holds before it sends rows on.
-CACHE_BYTES, FLUSH_BYTES, GROUP = 96 << 20, 8 << 20, 128
+CACHE_BYTES, FLUSH_BYTES, GROUP = 96 << 20, 8 << 20, 256
+#: Words that are encoded and aligned as one text.
+RUN = 4096
 
 # A space opens a new unit if no white space stands before it and more than spaces follow: there
 # both tokenizers begin a new token, whatever stands around.
 _CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 _SLOW = re.compile(r"\s | \Z")
 
+#: Fixed value: how byte-level BPE cuts a text into words.
+BYTE_LEVEL = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 Open = tuple[list[int], list[int], list[int], list[int]]  # ids and ends of A, ids and ends of B
 
 
@@ -132,7 +137,9 @@ def whole(x: Fragment, size_b: int) -> tuple[str, np.ndarray]:
 class Codec:
     """Both tokenizers, the bytes of their tokens, and the words met so far."""
 
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, a_path: str, b_path: str, with_groups: bool = True):
+        """``with_groups``: whether the groups of words are wanted as text."""
+        self._with_groups = with_groups
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -146,6 +153,8 @@ class Codec:
             for token in map(self._a.id_to_token, range(self._a.get_vocab_size()))
         ]
         self.b_bytes = [_piece_bytes(self._b, i) for i in range(self._b.get_piece_size())]
+        self._ranked = _ranked(a_path, self.a_bytes)
+        self._a_size, self._b_size = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
         self.size_b = len(self.b_bytes)
         if any(b" " in piece.lstrip(b" ") for piece in self.b_bytes):
             raise ValueError(f"{b_path}: tokens go across words, so texts cannot be cut at spaces")
@@ -155,38 +164,67 @@ class Codec:
         self.known: dict[str, int] = {}
         self.bad: set[str] = set()
         self.groups: list[str] = []
+        #: of each run of words: their links, and per word n_a, n_b, n_groups, n_links
         self.pairs: list[np.ndarray] = []
-        self.counts: list[tuple[int, int, int, int]] = []
+        self.counts: list[np.ndarray] = []
         self.held = 0
 
-    def encode(self, words: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Ids of A and B for words that begin with a space; None if bytes get lost."""
-        found = self._a.encode_batch_fast(words, add_special_tokens=False)
-        for word, x, b in zip(words, found, self._b.encode([word[1:] for word in words], num_threads=1)):
-            a, raw = x.ids, word.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-            yield (a, b) if same else None
+    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of A and B for a text that begins with a space; None if bytes get lost."""
+        if self._ranked:
+            a = self._ranked.encode_ordinary(text)
+        else:
+            a = self._a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        b, raw = self._b.encode(text[1:]), text.encode()
+        same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+        return (a, b) if same else None
 
-    def ends(self, a: list[int], b: list[int], start: int = 0) -> tuple[list[int], list[int]]:
-        a_ends = [start + e for e in accumulate(len(self.a_bytes[i]) for i in a)]
-        return a_ends, [start + e for e in accumulate(len(self.b_bytes[i]) for i in b)]
+    def ends(self, a: list[int], b: list[int], start: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        return start + np.cumsum(self._a_size[a]), start + np.cumsum(self._b_size[b])
 
     def learn(self, words: set[str]) -> None:
-        """Remember the closed fragments of words."""
+        """Remember the closed fragments of words, aligned many at a time."""
         new = [word for word in words if word not in self.known and word not in self.bad]
-        for word, ids in zip(new, self.encode(new)):
-            self.held += 400 + 2 * len(word)
-            if ids is None:
-                self.bad.add(word)
-                continue
-            a, b = ids
-            a_ends, b_ends = self.ends(a, b)
-            groups, pairs = close(a, a_ends, b, b_ends, self.size_b)
-            self.known[word] = len(self.groups)
-            self.groups.append(";".join(groups))
-            self.pairs.append(np.array(pairs, np.int64))
-            self.counts.append((len(a), len(b), len(groups), len(pairs)))
-            self.held += len(self.groups[-1]) + 8 * len(pairs)
+        alone = [word for word in new if word[-1].isspace()]  # what follows white space depends on it
+        rest = [word for word in new if not word[-1].isspace()]
+        for run in (*(rest[k : k + RUN] for k in range(0, len(rest), RUN)), *([word] for word in alone)):
+            if not self._learn(run):
+                self.bad.update(word for word in run if not (len(run) > 1 and self._learn([word])))
+        self.held += 100 * len(self.bad)
+
+    def _learn(self, words: list[str]) -> bool:
+        ids = self.encode("".join(words))
+        if ids is None:
+            return False
+        a, b = map(np.array, ids)
+        a_ends, b_ends = self.ends(a, b)
+        ends = np.cumsum([len(word.encode()) for word in words])
+        both = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+        again = np.append(both[1:] == both[:-1], False)
+        links, common = both[~again], both[again]
+        if not len(common) or (common[np.searchsorted(common, ends) % len(common)] != ends).any():
+            return False
+        pairs = a[np.searchsorted(a_ends, links)] * self.size_b + b[np.searchsorted(b_ends, links)]
+        upto = [np.searchsorted(x, ends, side="right") for x in (a_ends, b_ends, common, links)]
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        if self._with_groups:
+            a_at, b_at = (np.searchsorted(x, common, side="right") for x in (a_ends, b_ends))
+            begun = 0
+            texts = list(map(str, ids[0])), list(map(str, ids[1]))
+            i = j = 0
+            groups = []
+            for k, m in zip(a_at.tolist(), b_at.tolist()):
+                x = texts[0][i] if k == i + 1 else ",".join(texts[0][i:k])
+                groups.append(f"{x}|{texts[1][j] if m == j + 1 else ','.join(texts[1][j:m])}")
+                i, j = k, m
+            for k in upto[2].tolist():
+                self.groups.append(";".join(groups[begun:k]))
+                begun = k
+            self.held += sum(map(len, self.groups[-len(words) :]))
+        self.pairs.append(pairs)
+        self.counts.append(np.diff(np.stack(upto, 1), axis=0, prepend=0))
+        self.held += 250 * len(words) + 8 * len(pairs) + int(ends[-1])
+        return True
 
     def texts(self, texts: list[str | None]) -> list[list[str] | None]:
         """The units of each text, all known; None for a text without tokens."""
@@ -197,6 +235,29 @@ class Codec:
         return [words if words and self.bad.isdisjoint(words) else None for words in cut]
 
 
+def _ranked(path: str, tokens: list[bytes]):
+    """The same tokenizer in a faster library, if its file is plain byte-level BPE: ids are merge ranks.
+
+    None for any other file; ``tokenizers`` then encodes.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    plain = (
+        model["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+        and not spec["normalizer"] and not before["add_prefix_space"] and not model.get("ignore_merges")
+    )
+    merged = ["".join(x) if isinstance(x, list) else x.replace(" ", "", 1) for x in model.get("merges", ())]
+    ids = [model["vocab"][x] for x in merged] if plain else []
+    special = {x["id"] for x in spec["added_tokens"]}
+    if not ids or ids != sorted(ids) or len(model["vocab"]) - len(special & set(model["vocab"].values())) != len(ids) + 256:
+        return None
+    ranks = {token: i for i, token in enumerate(tokens) if i not in special}
+    return tiktoken.Encoding("plain", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+
 def _byte_letters() -> dict[str, int]:
     """Byte-level vocabularies write printable bytes as they are, the others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -278,21 +339,22 @@ def _with_rare(found: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def _aggregated(pairs: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
-    keys, where = np.unique(pairs, return_inverse=True)
-    sums = np.zeros(len(keys), np.int64)
-    np.add.at(sums, where, weights)
+    order = np.argsort(pairs)
+    keys, first = np.unique(pairs[order], return_index=True)
+    sums = np.add.reduceat(weights[order], first)
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["pair", "n"])
 
 
 def _count_words(paths: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, seen = Codec(*paths), Counter()
+        codec, seen = Codec(*paths, with_groups=False), Counter()
 
         def counted() -> pa.RecordBatch:
-            pairs = [codec.pairs[codec.known[word]] for word in seen]
-            times = np.repeat(np.fromiter(seen.values(), np.int64), [len(p) for p in pairs])
+            times = np.zeros(len(codec.known), np.int64)
+            times[[codec.known[word] for word in seen]] = list(seen.values())
             seen.clear()
-            return _aggregated(np.concatenate(pairs), times)
+            links = np.concatenate(codec.counts)[:, 3]
+            return _aggregated(np.concatenate(codec.pairs), np.repeat(times, links))
 
         for batch in batches:
             texts = batch.column(0)
@@ -316,15 +378,14 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _aggregated(pairs, np.ones(len(pairs), np.int64))
 
 
-def _counts_of(sent, pairs: np.ndarray) -> tuple[int, int, np.ndarray]:
-    """Links that are their B id's best, the sum of counts, and the pairs not broadcast."""
+def _counts_of(sent, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each link whether it is its B id's best, and its count; 0 if it was not broadcast."""
     keys, n, best = sent
     if not len(keys):
-        return 0, 0, pairs
+        return np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
     at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
     there = keys[at] == pairs
-    at = at[there]
-    return int(best[at].sum()), int(n[at].sum()), pairs[~there]
+    return best[at] & there, n[at] * there
 
 
 class _Rows:
@@ -352,30 +413,32 @@ class _Rows:
 
 def _score_words(paths: tuple[str, str], sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, lookup = Codec(*paths), sent.value
-        numbers = np.zeros((1024, 6), np.int64)  # of each word that the codec knows
-        rare: list[np.ndarray] = []
-        none = np.zeros(0, np.int64)
+        codec, lookup, none = Codec(*paths), sent.value, np.zeros(0, np.int64)
+        numbers, runs, rare = np.zeros((0, 6), np.int64), 0, {}  # of the words that the codec knows
         for batch in batches:
             rows, texts = _Rows(batch.column(0)), batch.column(1)
             for low in range(0, len(texts), GROUP):
                 cut = codec.texts(texts.slice(low, GROUP).to_pylist())
-                if len(codec.groups) < len(rare):
-                    rare = []  # the codec has begun anew
-                for k in range(len(rare), len(codec.groups)):
-                    if k == len(numbers):
-                        numbers = np.concatenate([numbers, np.zeros_like(numbers)])
-                    best, total, missing = _counts_of(lookup, codec.pairs[k])
-                    numbers[k] = (*codec.counts[k], best, total)
-                    rare.append(missing)
+                if len(codec.known) < len(numbers) or len(codec.pairs) < runs:
+                    numbers, runs, rare = np.zeros((0, 6), np.int64), 0, {}  # the codec has begun anew
+                new = [numbers]
+                for pairs, counts in zip(codec.pairs[runs:], codec.counts[runs:]):
+                    best, n = _counts_of(lookup, pairs)
+                    first = np.cumsum(counts[:, 3]) - counts[:, 3]
+                    summed = [np.add.reduceat(x.astype(np.int64), first) for x in (best, n)]
+                    owner = np.repeat(np.arange(len(counts)), counts[:, 3]) + sum(map(len, new))
+                    for word, pair in zip(owner[n == 0].tolist(), pairs[n == 0].tolist()):
+                        rare.setdefault(word, []).append(pair)
+                    new.append(np.column_stack([counts, *summed]))
+                numbers, runs = np.concatenate(new), len(codec.pairs)
                 for i, words in enumerate(cut, low):
                     if words is None:
                         rows.add(i, [0] * 6, "", none)
                         continue
                     at = [codec.known[word] for word in words]
-                    beyond = [rare[k] for k in at if len(rare[k])]
-                    groups = ";".join([codec.groups[k] for k in at])
-                    rows.add(i, numbers[at].sum(0), groups, np.concatenate(beyond) if beyond else none)
+                    beyond = [pair for word in at for pair in rare.get(word, ())] if rare else none
+                    groups = ";".join([codec.groups[word] for word in at])
+                    rows.add(i, numbers[at].sum(0), groups, beyond)
                 if rows.held > FLUSH_BYTES:
                     yield rows.batch()
             if rows.rows:
@@ -391,9 +454,9 @@ def _score_pairs(sent):
             rows = _Rows(batch.column("key"))
             for i, x in enumerate(batch.select(["n_a", "n_b", "groups", "pairs"]).to_pylist()):
                 pairs, groups = np.frombuffer(x["pairs"], np.int64), x["groups"]
-                best, total, missing = _counts_of(lookup, pairs)
+                best, n = _counts_of(lookup, pairs)
                 n_groups = groups.count(";") + 1 if groups else 0
-                rows.add(i, [x["n_a"], x["n_b"], n_groups, len(pairs), best, total], groups, missing)
+                rows.add(i, [x["n_a"], x["n_b"], n_groups, len(pairs), best.sum(), n.sum()], groups, pairs[n == 0])
                 if rows.held > FLUSH_BYTES:
                     yield rows.batch()
             if rows.rows:
@@ -473,12 +536,12 @@ def _fragments(paths: tuple[str, str]):
                 row, chunk, text, start, low, high = (batch.column(c)[k].as_py() for c in range(6))
                 a: list[int] = []
                 b: list[int] = []
-                found = list(codec.encode(units(text)))
+                found = [codec.encode(word) for word in units(text)]
                 good = all(ids is not None for ids in found)
                 for ids in found if good else ():
                     a.extend(ids[0])
                     b.extend(ids[1])
-                a_ends, b_ends = codec.ends(a, b, start)
+                a_ends, b_ends = (x.tolist() for x in codec.ends(a, b, start))
                 a, a_ends = _between(a, a_ends, low, high)
                 b, b_ends = _between(b, b_ends, low, high)
                 x = fragment(a, a_ends, b, b_ends, codec.size_b)
