@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import alignment, classlm, decontamination, hamming, licenses, linededup, packing, quality, secrets, sharding, simhash
+from tidemark.llm import alignment, classlm, decontamination, hamming, licenses, linededup, packing, phrases, quality, secrets, sharding, simhash
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +152,46 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.withColumn("groups_sha256", digest).drop("groups")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece
+), gram AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM worded, (VALUES (1), (2), (3)) AS orders(k), unnest(generate_series(1, len(w) - k + 1)) AS t(i)
+), counted AS (
+  SELECT lang, k, phrase, count(*) AS f FROM gram GROUP BY lang, k, phrase
+), total AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang
+), candidate AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k > 1 AND f >= 10
+), cut AS (
+  SELECT c.lang, c.k, c.phrase, c.a, head, x.f AS l, y.f AS r,
+         CAST(1000000 * CAST(c.a AS HUGEINT) * c.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM candidate c, unnest(generate_series(1, k - 1)) AS t(head)
+  JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : head], ' ')
+  JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[head + 1 :], ' ')
+), lowest AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, head) = 1
+), covered AS (
+  SELECT DISTINCT short.lang, short.phrase FROM candidate short JOIN candidate long
+  ON short.lang = long.lang AND short.k < long.k AND 100 * long.a >= 50 * short.a
+  AND contains(' ' || long.phrase || ' ', ' ' || short.phrase || ' ')
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM lowest ANTI JOIN covered USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_histogram_sort": op1_histogram_sort,
     "op2_packing": op2_packing,
@@ -164,8 +204,9 @@ QUERIES: dict[str, Query] = {
     "op9_topk": op9_topk,
     "op10_line_dedup": op10_line_dedup,
     "op12_alignment": op12_alignment,
+    "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {"op3_decontamination": OP3_SQL, "op9_topk": OP9_SQL}
+ORACLE: dict[str, str] = {"op3_decontamination": OP3_SQL, "op9_topk": OP9_SQL, "op13_collocations": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
