@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import alignment, classlm, decontamination, hamming, licenses, linededup, packing, phrases, quality, secrets, sharding, simhash
+from tidemark.llm import alignment, classlm, decontamination, hamming, licenses, linededup, maintext, packing, phrases, quality, secrets, sharding, simhash
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +146,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = maintext.extract(pages.select("page_id", "url", "html"), maintext.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = alignment.align(table(spark, sf_dir, "documents"))
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
@@ -203,6 +209,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_topk": op9_topk,
     "op10_line_dedup": op10_line_dedup,
+    "op11_main_text": op11_main_text,
     "op12_alignment": op12_alignment,
     "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline.run,
