@@ -81,7 +81,7 @@ def test_a_long_block_is_counted_in_parts(spark, monkeypatch):
     whole, parts = Counter(), Counter()
     for counts, limit in ((whole, 10**9), (parts, 50)):
         monkeypatch.setattr(phrases, "BLOCK_WORDS", limit)
-        for out in phrases._counter(1, [])(iter([batch])):
+        for out in phrases._counter([])(iter([batch])):
             for r in out.to_pylist():
                 counts[r["lang"], r["phrase"]] += r["f"]
     assert whole == parts

@@ -36,8 +36,8 @@ from tidemark.llm.common import LOWER, UPPER, staged
 LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2000
 #: Bits of the bitmap of frequent phrases, and of the part of it that one task makes.
 BITMAP_BITS, PART_BITS = 1 << 27, 1 << 19
-#: Words that a task counts before it sends counts on.
-BLOCK_WORDS = 2_000_000
+#: Words that a task counts before it sends counts on, and rows that it sends at a time.
+BLOCK_WORDS, SENT_ROWS = 800_000, 50_000
 SCALE = 1_000_000
 
 # Ends of pieces become a full stop, which then is no part of a word; a tab becomes a space.
@@ -45,15 +45,18 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(UPPER.encode() + _ENDS + b"\t", LOWER.encode() + b"." * len(_ENDS) + b" ")
 
 
+#: The last word of a phrase lies in the low half of its number.
+_WORD = 0xFFFFFFFF
+
+
 def words_of(text: str) -> list[bytes]:
     """Lower-case words; a full stop stands where a piece ends."""
     return text.encode().translate(_TABLE).replace(b".", b" . ").split()
 
 
-def _maybe(bitmap: np.ndarray, lang: bytes, phrases: list[bytes]) -> np.ndarray:
-    """Which phrases may be frequent; the first, an empty one, is not."""
-    base, last = zlib.crc32(lang + b" "), 8 * len(bitmap) - 1
-    at = np.fromiter((zlib.crc32(phrase, base) & last for phrase in phrases), np.int64, len(phrases))
+def _maybe(bitmap: np.ndarray, sums: list[int]) -> np.ndarray:
+    """Which phrases may be frequent, by their checksums; the first, an empty one, is not."""
+    at = np.array(sums, np.int64) & (8 * len(bitmap) - 1)
     found = (bitmap[at >> 3] >> (at & 7)) & 1 == 1
     found[0] = False
     return found
@@ -71,25 +74,40 @@ class _Block:
         self.texts.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
         self.texts.append(np.zeros(1, np.int64))
 
-    def count(self, lang: bytes, order: int, frequent: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
-        """Phrases of an order and their counts; ``frequent``: bitmaps of the orders below."""
+    def count(self, lang: bytes, frequent: list[np.ndarray]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        """Phrases and their counts, some at a time; ``frequent``: bitmaps of the orders below."""
         words, names = np.concatenate(self.texts), list(self.known)
-        grams, phrases = words, names
+        self.texts, self.known = [], {}
+        grams, orders = words, []
+        base = zlib.crc32(lang + b" ")
+        sums = [zlib.crc32(name, base) for name in names]
         for n, bitmap in enumerate(frequent, 2):
-            kept = _maybe(bitmap, lang, phrases)
+            kept = _maybe(bitmap, sums)
             grams = np.where(kept[grams], grams, 0)
             both = (grams[:-1] > 0) & (grams[1:] > 0)
             keys = np.where(both, grams[:-1] << 32 | words[n - 1 :], 0)
             # a place without a phrase is there for certain, as texts end with a 0
             keys, grams = np.unique(np.append(keys, 0), return_inverse=True)
-            phrases = [b"", *(phrases[k >> 32] + b" " + names[k & 0xFFFFFFFF] for k in keys[1:].tolist())]
             grams = grams[:-1]
-        f = np.bincount(grams, minlength=len(phrases))
+            orders.append(keys)
+            if n <= len(frequent):
+                sums = [zlib.crc32(b" " + names[k & _WORD], sums[k >> 32]) for k in keys.tolist()]
+
+        def phrases(order: int, at: np.ndarray) -> list[bytes]:
+            if order < 0:
+                return [names[k] for k in at.tolist()]
+            keys = orders[order][at]
+            return [x + b" " + names[k] for x, k in zip(phrases(order - 1, keys >> 32), (keys & _WORD).tolist())]
+
+        f = np.bincount(grams)
         f[0] = 0
-        return phrases, f
+        there = np.flatnonzero(f)
+        for low in range(0, len(there), SENT_ROWS):
+            some = there[low : low + SENT_ROWS]
+            yield phrases(len(orders) - 1, some), f[some]
 
 
-def _counter(order: int, frequent: list):
+def _counter(frequent: list):
     """Count n-grams of one order in blocks of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,13 +126,10 @@ def _counter(order: int, frequent: list):
 
     def sent(blocks: dict[str, _Block]) -> Iterator[pa.RecordBatch]:
         for lang, block in blocks.items():
-            phrases, f = block.count(lang.encode(), order, [x.value for x in frequent])
-            there = np.flatnonzero(f)
-            for low in range(0, len(there), 100_000):
-                some = there[low : low + 100_000]
-                texts = pa.array([phrases[k] for k in some.tolist()], pa.binary()).cast(pa.string())
-                langs = pa.array([lang] * len(some), pa.string())
-                yield pa.RecordBatch.from_arrays([langs, texts, pa.array(f[some])], names=["lang", "phrase", "f"])
+            for phrases, f in block.count(lang.encode(), [x.value for x in frequent]):
+                texts = pa.array(phrases, pa.binary()).cast(pa.string())
+                langs = pa.array([lang] * len(phrases), pa.string())
+                yield pa.RecordBatch.from_arrays([langs, texts, pa.array(f)], names=["lang", "phrase", "f"])
 
     return run
 
@@ -143,7 +158,7 @@ def bitmap_of(stream: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
 
 def count_stream(docs: DataFrame, frequent: list) -> DataFrame:
     """(lang, phrase, f) of an order; ``frequent``: broadcast bitmaps of all orders below."""
-    counted = docs.mapInArrow(_counter(len(frequent) + 1, frequent), "lang string, phrase string, f long")
+    counted = docs.mapInArrow(_counter(frequent), "lang string, phrase string, f long")
     return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
