@@ -156,8 +156,13 @@ def train(pages: DataFrame, html_col: str = "html", max_pages: int = MAX_FIT_PAG
     marked = source.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
 
     def drawn(rows: DataFrame) -> list[str]:
-        first = rows.select("html", F.xxhash64("html").alias("h")).orderBy("h", F.length("html")).limit(max_pages)
-        return [row.html for row in first.collect()]
+        # hashes alone are compared, so a task sends max_pages numbers and no pages
+        hashed = rows.withColumn("h", F.xxhash64("html"))
+        first = [row.h for row in hashed.select("h").distinct().orderBy("h").limit(max_pages).collect()]
+        if not first:
+            return []
+        one = hashed.where(F.col("h") <= first[-1]).groupBy("h").agg(F.min("html").alias("html"))
+        return [row.html for row in one.orderBy("h").collect()]
 
     return fit(drawn(marked) or drawn(source))
 
