@@ -21,16 +21,18 @@ from tidemark.operators.dedup import require_unique
 from tidemark.operators.history import NTZ, VALID_TO, open_versions, scd2_start, scd2_step
 from tidemark.operators.upsert import increment, upsert
 from tidemark.plans import checks, models
-from tidemark.plans.cleaning import SPECS, rejected, silver, silver_refresh
+from tidemark.plans.cleaning import SPECS, rejected, silver, silver_refresh, valid
 from tidemark.plans.warehouse import to_raw
 from tidemark.schemas import TABLES
 from tidemark.sources import store
 from tidemark.sources.bronze import read_batch, read_bronze
 from tidemark.sources.concurrent import together
 from tidemark.sources.ingest import SOURCES, Ingested, extract
-from tidemark.sources.marks import log_batch, logged_batches, pending_batches
+from tidemark.sources.marks import log_cleaned, logged_batches, waiting
 
 HISTORY = "customers_snapshot"
+#: Slices of a Silver table by the hash of its keys; many for a large table, so that a batch touches few bytes.
+SILVER_SLICES = 16
 _OPEN = "open"
 
 
@@ -67,16 +69,17 @@ def ingest(
     )
 
 
-def clean(spark: SparkSession, base: str, table: str, run_ts: str) -> CleanCounts:
+def clean(spark: SparkSession, base: str, table: str, run_ts: str, slices: int = SILVER_SLICES) -> CleanCounts:
     """Rebuild Silver and rejects of a table from its whole Bronze history.
 
     Bronze is scanned twice, once per output: rejects need no shuffle, and a
     stored copy of the classified history would cost more than a second scan.
     The counts come from Parquet footers of what was written, so task retries
-    cannot distort them.
+    cannot distort them.  Silver is cut into ``slices`` by the hash of its keys;
+    batches cleaned later keep to that cut.
     """
     spec = SPECS[table]
-    pending = pending_batches(spark, base, table)
+    pending = waiting(spark, base, table)
     bronze = read_bronze(spark, base, table)
     if bronze is None:
         raise LookupError(f"{table}: no Bronze data")
@@ -84,9 +87,9 @@ def clean(spark: SparkSession, base: str, table: str, run_ts: str) -> CleanCount
     bronze = bronze.join(logged_batches(spark, base, table), "_batch_id", "left_semi")
     n_bronze = bronze.count()
     bad = store.publish(rejected(bronze, spec, run_ts), base, f"rejected_{table}").count()
-    good = store.publish(silver(bronze, spec, run_ts), base, f"silver_{table}").count()
-    for batch_id, ingested_at in pending:
-        log_batch(spark, base, table, batch_id, ingested_at, cleaned=True)
+    store.publish_hashed(silver(bronze, spec, run_ts), base, f"silver_{table}", store.Slicing(spec.keys, slices))
+    good = store.current(spark, base, f"silver_{table}").n_rows
+    log_cleaned(spark, base, table, pending)
     n_valid = n_bronze - bad
     return CleanCounts(n_bronze, n_valid, n_valid - good, bad, good)
 
@@ -94,39 +97,42 @@ def clean(spark: SparkSession, base: str, table: str, run_ts: str) -> CleanCount
 def clean_pending(spark: SparkSession, base: str, table: str, run_ts: str) -> CleanCounts:
     """Fold the Bronze batches that Silver has not seen into Silver and rejects.
 
-    Reads those batches and current Silver (one row per key) instead of the
-    whole history, with the same result as ``clean``, but for the processing
-    time of rows that did not change.  A batch left over by a failed run is
-    picked up by the next one; folding a batch twice changes nothing.  However
-    many batches wait, Silver is read and written once.  Rejects of a batch are
-    a slice named by a hash of its id, which may hold any characters.
+    Reads those batches and the Silver slices that their keys belong to, and
+    writes these slices only, with the same result as ``clean`` but for the
+    processing time of rows that did not change.  A batch left over by a failed
+    run is picked up by the next one; folding a batch twice changes nothing.
+    However many batches wait, a slice is read and written once.  Rejects of a
+    batch are a slice named by a hash of its id, which may hold any characters.
     """
-    spec = SPECS[table]
-    pending = pending_batches(spark, base, table)
-    old = store.read_table(spark, base, f"silver_{table}")
-    n_old = old.count()
+    spec, name = SPECS[table], f"silver_{table}"
+    pending = waiting(spark, base, table)
+    before = store.current(spark, base, name)
     if not pending:
-        return CleanCounts(0, 0, 0, 0, n_old)
-    batches = [read_batch(spark, base, table, *batch) for batch in pending]
-    rows = reduce(partial(DataFrame.unionByName, allowMissingColumns=True), batches)
-    parts = [f"batch-{md5(batch_id.encode()).hexdigest()}" for batch_id, _ in pending]
+        return CleanCounts(0, 0, 0, 0, before.n_rows)
+    batches = [read_batch(spark, base, table, row["batch_id"], row["ingested_at"]) for row in pending]
+    rows = reduce(DataFrame.unionByName, batches)
+    parts = [f"batch-{md5(row['batch_id'].encode()).hexdigest()}" for row in pending]
     bad = rejected(rows, spec, run_ts).withColumn("_part", F.concat(F.lit("batch-"), F.md5("_batch_id")))
     store.publish_slices(bad, base, f"rejected_{table}", "_part", replaced=parts)
-    silver_now = store.publish(silver_refresh(old, rows, spec, run_ts), base, f"silver_{table}")
-    for batch_id, ingested_at in pending:
-        log_batch(spark, base, table, batch_id, ingested_at, cleaned=True)
-    n_rows, n_new = rows.count(), silver_now.count()
-    n_bad = store.read_table(spark, base, f"rejected_{table}", parts).count()
+    touched = store.touched_slices(valid(rows, spec), before.slicing)
+    if touched:
+        old = store.read_table(spark, base, name, touched)
+        store.replace_touched(silver_refresh(old, rows, spec, run_ts), base, name, before.slicing, touched)
+    log_cleaned(spark, base, table, pending)
+    known = [row["rows"] for row in pending]
+    n_rows = sum(known) if None not in known else rows.count()
+    after, rejects = (store.current(spark, base, t) for t in (name, f"rejected_{table}"))
+    n_bad = sum(rejects.rows.get(part, 0) for part in parts)
     n_valid = n_rows - n_bad
-    return CleanCounts(n_rows, n_valid, n_valid + n_old - n_new, n_bad, n_new)
+    return CleanCounts(n_rows, n_valid, n_valid + before.n_rows - after.n_rows, n_bad, after.n_rows)
 
 
 def refresh_silver(
-    spark: SparkSession, base: str, table: str, run_ts: str, rebuild: bool
+    spark: SparkSession, base: str, table: str, run_ts: str, rebuild: bool, slices: int = SILVER_SLICES
 ) -> CleanCounts:
     """Batchwise once there is a Silver table, from all of Bronze otherwise."""
     if rebuild or not store.exists(spark, base, f"silver_{table}"):
-        return clean(spark, base, table, run_ts)
+        return clean(spark, base, table, run_ts, slices)
     return clean_pending(spark, base, table, run_ts)
 
 
@@ -264,6 +270,7 @@ def run(
     full: bool = False,
     max_rows_per_file: int = 0,
     calendar: tuple[str, int] = (models.CALENDAR_START, models.CALENDAR_DAYS),
+    silver_slices: int = SILVER_SLICES,
 ) -> list:
     """One complete run over the given sources.
 
@@ -272,7 +279,7 @@ def run(
     """
     require_utc(spark)
     ingest(sources, base, system, run_ts, full, max_rows_per_file)
-    together({t: partial(refresh_silver, spark, base, t, run_ts, full) for t in TABLES})
+    together({t: partial(refresh_silver, spark, base, t, run_ts, full, silver_slices) for t in TABLES})
     together({t: partial(load, spark, base, t) for t in TABLES})
     snapshot(spark, base, staging(spark, base)["stg_customers"], run_ts)
     build(spark, base, full, calendar)

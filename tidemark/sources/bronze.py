@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.marks import log_schema, logged_schema
+
+
 def stamp_batch(df: DataFrame, system: str, table: str, batch_id: str, ingested_at: str) -> DataFrame:
     """Add the four constant batch columns; the ingest time is UTC."""
     return df.withColumns(
@@ -35,8 +37,10 @@ def write_bronze(
 
     A batch has one ingest time, so the path is known; writing to it directly
     needs neither a shuffle nor the sort of a partitioned write.
-    ``max_rows_per_file`` bounds the files of a task; 0 means one file.
+    ``max_rows_per_file`` bounds the files of a task; 0 means one file.  The
+    batch's columns are logged before; one that changes its type is refused.
     """
+    log_schema(df.sparkSession, base, table, df.schema)
     writer = df.write.mode("append").option("maxRecordsPerFile", max_rows_per_file)
     writer.parquet(day_path(base, table, ingested_at))
 
@@ -44,19 +48,23 @@ def write_bronze(
 def read_bronze(spark: SparkSession, base: str, table: str) -> DataFrame | None:
     """The whole history of a table, or None before its first batch.
 
-    Batches may differ in their columns, so the schemas of all files are merged
-    (a distributed read of footers); a column of some batches only must not get
-    lost.  Partition columns come back too; cleaning projects them away.
+    Batches may differ in their columns; the log of schemas says which there
+    are, so no file is opened to find out, and a column of some batches only is
+    NULL in the others.  Partition columns come back too; cleaning projects them
+    away.
     """
-    try:
-        return spark.read.option("mergeSchema", True).parquet(table_path(base, table))
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    schema = logged_schema(spark, base, table)
+    return None if schema is None else spark.read.schema(schema).parquet(table_path(base, table))
 
 
 def read_batch(spark: SparkSession, base: str, table: str, batch_id: str, ingested_at: str) -> DataFrame:
     """Rows of one batch; only the directory of its day is listed and read."""
-    reader = spark.read.option("basePath", table_path(base, table))
+    reader = spark.read.schema(logged_schema(spark, base, table)).option("basePath", table_path(base, table))
     return reader.parquet(day_path(base, table, ingested_at)).filter(F.col("_batch_id") == batch_id)
+
+
+def files_of(bronze: DataFrame) -> DataFrame:
+    """Which files hold which batch: path, bytes and rows, from the lineage that Spark keeps of each row."""
+    file = F.col("_metadata")
+    lined = bronze.select("_batch_id", file["file_path"].alias("file_path"), file["file_size"].alias("file_size"))
+    return lined.groupBy("_batch_id", "file_path", "file_size").agg(F.count("*").alias("n_rows"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FETCH_ROWS = 50_000
@@ -90,7 +90,28 @@ def read_increment(df: DataFrame, column: str, mark: str | None) -> DataFrame:
     return df.filter(F.col(column) > F.lit(mark).cast("timestamp_ntz"))
 
 
+def mark_bound(df: DataFrame, column: str, mark: str | None) -> str | None:
+    """Highest time after the mark, as text; None if there is none.  Reads one column."""
+    return read_increment(df, column, mark).agg(mark_text(F.max(column))).first()[0]
+
+
+def read_between(df: DataFrame, column: str, mark: str | None, bound: str | None) -> DataFrame:
+    """Rows after the mark up to and including the bound.
+
+    Without a mark rows of unknown time belong to it, too.  Without a bound
+    there were none with a time.
+    """
+    time = F.col(column)
+    if bound is None:
+        return df.filter(time.isNull()) if mark is None else read_increment(df, column, mark)
+    upto = time <= F.lit(bound).cast("timestamp_ntz")
+    return read_increment(df, column, mark).filter(upto if mark is not None else upto | time.isNull())
+
+
+def mark_text(time: Column) -> Column:
+    return time.cast("timestamp_ntz").cast("string")
+
+
 def max_mark(df: DataFrame, column: str) -> DataFrame:
     """Highest time of a batch as text; NULL for a batch without times."""
-    text = F.col("_max").cast("timestamp_ntz").cast("string")
-    return df.agg(F.max(column).alias("_max")).select(text.alias("watermark"))
+    return df.agg(F.max(column).alias("_max")).select(mark_text(F.col("_max")).alias("watermark"))

@@ -4,7 +4,12 @@ A table may be cut into slices (months of a fact, say).  Writing a slice never
 touches files that a reader or the running plan may use: it goes to a new
 version directory, and a line appended to the ledger makes it current.  All
 slices of one publish share one ledger file, so they switch together, and a
-run that dies before that leaves the old version in place.
+run that dies before that leaves the old version in place.  The ledger also has
+the rows of every slice, so counting a table opens none of its files.
+
+A table without a natural slice is cut by a hash of its keys.  The function is
+part of the ledger and holds until the whole table is written again, so a change
+finds the slices of its keys and leaves the others alone.
 
 One writer per table at a time is assumed, as in any pipeline run.
 """
@@ -18,14 +23,18 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_LEDGER = "slice string, version string, schema string, seq long"
+from tidemark.sources import files
+from tidemark.sources.statelog import StateLog
+
+# A publish adds one line for each slice that it switches, and one without a slice for the table.
+_LEDGER = "slice string, version string, rows long, schema string, slicing string, seq long"
+_TABLE = ""
 _SLICE = "_slice"
+_HASHED = "_hash_slice"
 _WHOLE = "all"
 _PLAIN_NAME = re.compile(r"[A-Za-z0-9_.-]+")
 
@@ -34,42 +43,68 @@ class EmptyTableError(ValueError):
     """A load that must bring rows brought none."""
 
 
+@dataclass(frozen=True)
+class Slicing:
+    """Slices by a hash of key columns: a fixed function of their values and the number of slices."""
+
+    keys: tuple[str, ...]
+    slices: int
+
+    def of_row(self) -> Column:
+        """Name of the slice that a row belongs to."""
+        return F.concat(F.lit("h"), F.pmod(F.xxhash64(*self.keys), F.lit(self.slices)).cast("string"))
+
+    def to_text(self) -> str:
+        return json.dumps({"function": "xxhash64", "keys": self.keys, "slices": self.slices})
+
+    @staticmethod
+    def from_text(text: str) -> Slicing:
+        stored = json.loads(text)
+        if stored["function"] != "xxhash64":
+            raise ValueError(f"unknown slice function {stored['function']}")
+        return Slicing(tuple(stored["keys"]), stored["slices"])
+
+
 @dataclass(frozen=True)
 class Current:
-    """What the ledger says about a table: its columns and its slices."""
+    """What the ledger says about a table: its columns, its slices and their rows."""
 
     schema: StructType
     versions: dict[str, str]
+    rows: dict[str, int]
     seq: int
+    slicing: Slicing | None = None
+
+    @property
+    def n_rows(self) -> int:
+        return sum(self.rows.values())
 
 
-def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A small state table, empty before its first line."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def _compacted(lines: DataFrame) -> DataFrame:
+    """The last line of each slice that is still there, and of the table."""
+    last = Window.partitionBy("slice").orderBy(F.desc("seq"))
+    kept = lines.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth")
+    return kept.where((F.col("version") != "") | (F.col("slice") == _TABLE))
 
 
-def append_lines(spark: SparkSession, path: str, lines: list[dict], schema: str) -> None:
-    """Append lines in one file, so that readers see all of them or none."""
-    df = spark.createDataFrame(pa.Table.from_pylist(lines)).coalesce(1)
-    names = [field.split()[0] for field in schema.split(", ")]
-    df.select(*names).write.mode("append").parquet(path)
+def _ledger_log(base: str, table: str) -> StateLog:
+    return StateLog(f"{base}/_ledger/{table}", _LEDGER, _compacted)
 
 
 def current(spark: SparkSession, base: str, table: str) -> Current | None:
     """Current slices of a table; one line per slice reaches the driver."""
-    lines = read_lines(spark, _ledger(base, table), _LEDGER)
-    latest = lines.groupBy("slice").agg(F.max_by(F.struct("version", "schema", "seq"), "seq").alias("l"))
-    rows = latest.select("slice", "l.*").collect()
-    if not rows:
+    rows = _compacted(_ledger_log(base, table).read(spark)).collect()
+    newest = next((row for row in rows if row["slice"] == _TABLE), None)
+    if newest is None:
         return None
-    newest = max(rows, key=lambda row: row["seq"])
-    versions = {row["slice"]: row["version"] for row in rows if row["version"]}
-    return Current(StructType.fromJson(json.loads(newest["schema"])), versions, newest["seq"])
+    slices = [row for row in rows if row["slice"] != _TABLE]
+    return Current(
+        StructType.fromJson(json.loads(newest["schema"])),
+        {row["slice"]: row["version"] for row in slices},
+        {row["slice"]: row["rows"] for row in slices},
+        newest["seq"],
+        Slicing.from_text(newest["slicing"]) if newest["slicing"] else None,
+    )
 
 
 def exists(spark: SparkSession, base: str, table: str) -> bool:
@@ -109,12 +144,33 @@ def publish(df: DataFrame, base: str, table: str, allow_empty: bool = True) -> D
         raise EmptyTableError(f"{table}: no rows loaded, the old version stays")
     old = current(spark, base, table)
     ended = dict.fromkeys(old.versions, "") if old else {}
-    _switch(df, base, table, old, {**ended, _WHOLE: version})
+    _switch(df, base, table, old, {**ended, _WHOLE: version}, {_WHOLE: written.count()})
     return written
 
 
+def publish_hashed(df: DataFrame, base: str, table: str, slicing: Slicing) -> None:
+    """Replace a table, cut by a hash of its keys."""
+    publish_slices(df.withColumn(_HASHED, slicing.of_row()), base, table, _HASHED, slicing=slicing)
+
+
+def touched_slices(df: DataFrame, slicing: Slicing) -> list[str]:
+    """Names of the slices that hold, or would hold, the keys of ``df``; as many as there are slices at most."""
+    return sorted(row[0] for row in df.select(slicing.of_row()).distinct().collect())
+
+
+def replace_touched(df: DataFrame, base: str, table: str, slicing: Slicing, touched: list[str]) -> None:
+    """Replace the named hash slices by the rows of ``df``; all others keep their files."""
+    rows = df.withColumn(_HASHED, slicing.of_row())
+    publish_slices(rows, base, table, _HASHED, replaced=touched, slicing=slicing)
+
+
 def publish_slices(
-    df: DataFrame, base: str, table: str, slice_by: str, replaced: list[str] | None = None
+    df: DataFrame,
+    base: str,
+    table: str,
+    slice_by: str,
+    replaced: list[str] | None = None,
+    slicing: Slicing | None = None,
 ) -> None:
     """Replace slices of a table; ``slice_by`` is a column of ``df``, not stored.
 
@@ -127,9 +183,10 @@ def publish_slices(
     path = f"{root}/version={version}"
     sliced = balanced(df.withColumnRenamed(slice_by, _SLICE), _SLICE)
     sliced.write.partitionBy(_SLICE).option("compression", "snappy").parquet(path)
-    # Only directory names are needed here, no column of the files is read.
+    # Directory names and the row counts of file footers: no column of the files is read.
     written = spark.read.schema(f"{_SLICE} string").option("basePath", root).parquet(path)
-    names = [row[0] for row in written.select(_SLICE).distinct().collect()]
+    counts = {row[0]: row[1] for row in written.groupBy(_SLICE).count().collect()}
+    names = list(counts)
     old = current(spark, base, table)
     if replaced is None:
         replaced = list(old.versions) if old else []
@@ -140,7 +197,7 @@ def publish_slices(
     if lost := kept & set(names):
         raise ValueError(f"{table}: slices {sorted(lost)[:3]} exist and are not to be replaced")
     slices = {**dict.fromkeys(replaced, ""), **dict.fromkeys(names, version)}
-    _switch(df.drop(slice_by), base, table, old, slices)
+    _switch(df.drop(slice_by), base, table, old, slices, counts, slicing)
 
 
 def drop_old_versions(spark: SparkSession, base: str, table: str) -> int:
@@ -148,14 +205,11 @@ def drop_old_versions(spark: SparkSession, base: str, table: str) -> int:
 
     To be called when no reader of an older version is left.
     """
-    found = current(spark, base, table)
+    found, root = current(spark, base, table), _root(base, table)
     used = {f"version={v}" for v in found.versions.values()} if found else set()
-    root = spark._jvm.org.apache.hadoop.fs.Path(_root(base, table))
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    stored = [status.getPath() for status in files.listStatus(root)] if files.exists(root) else []
-    old = [path for path in stored if path.getName() not in used]
-    for path in old:
-        files.delete(path, True)
+    old = [name for name in files.children(spark, root) if name not in used]
+    for name in old:
+        files.delete(spark, f"{root}/{name}")
     return len(old)
 
 
@@ -188,8 +242,7 @@ def staging_path(spark: SparkSession) -> str:
 def unstage(spark: SparkSession, path: str) -> None:
     """Delete a staged frame after its last use."""
     _staged_paths.pop(path, None)
-    staged = spark._jvm.org.apache.hadoop.fs.Path(path)
-    staged.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged, True)
+    files.delete(spark, path)
 
 
 @atexit.register
@@ -213,12 +266,20 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def _switch(
-    df: DataFrame, base: str, table: str, old: Current | None, slices: dict[str, str]
+    df: DataFrame,
+    base: str,
+    table: str,
+    old: Current | None,
+    slices: dict[str, str],
+    rows: dict[str, int],
+    slicing: Slicing | None = None,
 ) -> None:
     """Make versions current; an empty version ends a slice."""
-    line = {"schema": df.schema.json(), "seq": (old.seq if old else 0) + 1}
-    lines = [{"slice": name, "version": version, **line} for name, version in slices.items()]
-    append_lines(df.sparkSession, _ledger(base, table), lines, _LEDGER)
+    seq = (old.seq if old else 0) + 1
+    text = slicing.to_text() if slicing else None
+    lines = [{"slice": _TABLE, "version": "", "schema": df.schema.json(), "slicing": text, "seq": seq}]
+    lines += [{"slice": name, "version": v, "rows": rows.get(name, 0), "seq": seq} for name, v in slices.items()]
+    _ledger_log(base, table).append(df.sparkSession, lines)
 
 
 def _read(spark: SparkSession, schema: StructType, root: str, paths: list[str]) -> DataFrame:
@@ -232,7 +293,3 @@ def _path(root: str, version: str, name: str) -> str:
 
 def _root(base: str, table: str) -> str:
     return f"{base}/tables/{table}"
-
-
-def _ledger(base: str, table: str) -> str:
-    return f"{base}/_ledger/{table}"
