@@ -73,7 +73,7 @@ def source_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _redelivered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def redelivered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second delivery: every fourth order, clean and delivered."""
     k, bought = F.col("o_orderkey"), F.col("o_orderdate")
     return (
@@ -93,7 +93,7 @@ def _redelivered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bronze_orders(spark: SparkSession, sf_dir: str, batches: tuple[str, ...] = ("b1", "b2")) -> DataFrame:
-    delivered = {"b1": source_orders, "b2": _redelivered_orders}
+    delivered = {"b1": source_orders, "b2": redelivered_orders}
     frames = [in_batch(delivered[b](spark, sf_dir), "orders", b) for b in batches]
     return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 

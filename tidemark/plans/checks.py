@@ -6,6 +6,7 @@ Checks of one kind come back as one frame, so a report needs few jobs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.dedup import duplicate_keys
 from tidemark.operators.joins import orphan_keys
 from tidemark.operators.quality import failing, null_counts, unexpected_values, verdict
+from tidemark.plans.models import staged_columns
 
 Models = dict[str, DataFrame]
 
@@ -174,57 +176,110 @@ SINGULAR = {
 }
 
 
-def report(models: Models) -> DataFrame:
-    """All 57 checks, one line each: failures, severity and status.
-
-    Failures are rows for not_null and relationships, keys for unique, values
-    for accepted_values.
-    """
-    declared = [
-        ("not_null", model, column, "error") for model, cs in NOT_NULL.items() for column in cs
-    ]
-    declared += [("unique", model, column, "error") for model, column in UNIQUE]
-    declared += [("accepted_values", model, column, "error") for model, column in ACCEPTED]
-    declared += [
+#: Row checks of single models: rows that fail.
+ROW_CHECKS = {
+    "fact_payments_positive_value": ("fact_payments", lambda: _negative("payment_value")),
+    "fact_orders_non_negative_amounts": (
+        "fact_orders", lambda: _negative("total_item_value", "total_freight_value", "total_order_value"),
+    ),
+    "fact_orders_item_count": ("fact_orders", lambda: _negative("total_items")),
+    "fact_orders_delivery_logic": (
+        "fact_orders", lambda: F.col("order_delivered_customer_date") < F.col("order_purchase_timestamp"),
+    ),
+}
+#: Checks on several columns together: keys that occur more than once.
+COMPOSITE_KEYS = {"fact_payments_unique": ("fact_payments", ("order_id", "payment_sequential"))}
+
+
+def declared() -> list[tuple[str, str, str, str]]:
+    """(kind, model, column, severity) of all checks; the place in the list is the check's number."""
+    found = [("not_null", model, column, "error") for model, cs in NOT_NULL.items() for column in cs]
+    found += [("unique", model, column, "error") for model, column in UNIQUE]
+    found += [("accepted_values", model, column, "error") for model, column in ACCEPTED]
+    found += [
         ("relationships", child, f"{column} -> {parent}", severity)
         for child, column, parent, _, severity in RELATIONSHIPS
     ]
-    declared += [("singular", name, "", "error") for name in SINGULAR]
-
-    failures = [
-        not_null(models).select(F.lit("not_null").alias("kind"), "model", "column_name", "failures"),
-        unique(models)
-        .groupBy("model", "column_name")
-        .agg(F.count("*").alias("failures"))
-        .withColumn("kind", F.lit("unique")),
-        accepted_values(models)
-        .groupBy("model", "column_name")
-        .agg(F.count("*").alias("failures"))
-        .withColumn("kind", F.lit("accepted_values")),
-        relationships(models)
-        .groupBy(
-            F.col("child").alias("model"),
-            F.concat_ws(" -> ", "column_name", "parent").alias("column_name"),
-        )
-        .agg(F.sum("n_rows").alias("failures"))
-        .withColumn("kind", F.lit("relationships")),
-    ]
-    failures += [
-        check(models)
-        .agg(F.count("*").alias("failures"))
-        .select(
-            F.lit("singular").alias("kind"),
-            F.lit(name).alias("model"),
-            F.lit("").alias("column_name"),
-            "failures",
-        )
-        for name, check in SINGULAR.items()
+    return found + [("singular", name, "", "error") for name in SINGULAR]
+
+
+def _findings(model: str, column: Callable[[str], Column]) -> list[Column]:
+    """What a row of a model has to say to its checks: (check, key, whether it is a parent's key).
+
+    NULL where it has nothing to say.
+    """
+    number = {(kind, of, name): i for i, (kind, of, name, _) in enumerate(declared())}
+
+    def said(check: tuple[str, str, str], key: Column | None, when: Column, parent: bool = False) -> Column:
+        text = (F.lit(None) if key is None else key).cast("string")
+        finding = F.struct(F.lit(number[check]).alias("check"), text.alias("key"), F.lit(parent).alias("parent"))
+        return F.when(when, finding)
+
+    found = [said(("not_null", model, c), None, column(c).isNull()) for c in NOT_NULL.get(model, ())]
+    found += [said(("unique", model, c), column(c), column(c).isNotNull()) for of, c in UNIQUE if of == model]
+    for (of, c), allowed in ACCEPTED.items():
+        if of == model:
+            found.append(said(("accepted_values", model, c), column(c), column(c).isNotNull() & ~column(c).isin(*allowed)))
+    for child, c, parent, parent_c, _ in RELATIONSHIPS:
+        check = ("relationships", child, f"{c} -> {parent}")
+        if child == model:
+            found.append(said(check, column(c), column(c).isNotNull()))
+        if parent == model:
+            found.append(said(check, column(parent_c), column(parent_c).isNotNull(), parent=True))
+    found += [said(("singular", name, ""), None, fails()) for name, (of, fails) in ROW_CHECKS.items() if of == model]
+    for name, (of, keys) in COMPOSITE_KEYS.items():
+        if of == model:
+            found.append(said(("singular", name, ""), F.to_json(F.struct(*map(column, keys))), F.lit(True)))
+    return found
+
+
+def findings(models: Models, views: bool = False) -> DataFrame:
+    """The findings of all models, with each model read once.
+
+    ``views``: staging models are views over their RAW tables, so a RAW table
+    and its view are judged in the same read.
+    """
+    named = [*dict.fromkeys([*NOT_NULL, *(of for of, _ in UNIQUE)])]
+    groups: list[tuple[DataFrame, list[Column]]] = []
+    for model in named:
+        layer, _, table = model.partition("_")
+        if views and layer == "stg":
+            continue
+        frame, plain = models[model], _findings(model, F.col)
+        if views and layer == "raw":
+            changed = {name: f"_stg_{name}" for name in staged_columns(table)}
+            frame = frame.withColumns({changed[name]: c for name, c in staged_columns(table).items()})
+            plain += _findings(f"stg_{table}", lambda name, changed=changed: F.col(changed.get(name, name)))
+        groups.append((frame, plain))
+    parts = [
+        frame.select(F.explode(F.filter(F.array(*said), lambda x: x.isNotNull())).alias("f")).select("f.*")
+        for frame, said in groups
     ]
+    return _union(parts)
+
+
+def report(models: Models, views: bool = False) -> DataFrame:
+    """All 57 checks, one line each: failures, severity and status.
+
+    Failures are rows for not_null and relationships, keys for unique, values
+    for accepted_values.  One grouping serves all checks: a key meets its copies
+    and its parents there, after each task has counted its own, so a frequent
+    key is one row per task.  Every stored model is read once.
+    """
+    lines = [(i, *line) for i, line in enumerate(declared())]
     spark = models["fact_orders"].sparkSession
-    lines = spark.createDataFrame(
-        declared, "kind string, model string, column_name string, severity string"
+    schema = "check int, kind string, model string, column_name string, severity string"
+    known = F.max("parent").alias("known")
+    keys = findings(models, views).groupBy("check", "key").agg(F.count_if(~F.col("parent")).alias("n"), known)
+    repeated = [i for i, kind, model, *_ in lines if kind == "unique" or model in COMPOSITE_KEYS]
+    values = [i for i, kind, *_ in lines if kind == "accepted_values"]
+    failures = (
+        F.when(F.col("check").isin(*repeated), (F.col("n") > 1).cast("long"))
+        .when(F.col("check").isin(*values), F.lit(1).cast("long"))
+        .otherwise(F.when(F.col("known"), 0).otherwise(F.col("n")))
     )
-    joined = lines.join(_union(failures), ["kind", "model", "column_name"], "left")
+    failed = keys.groupBy("check").agg(F.sum(failures).alias("failures"))
+    joined = spark.createDataFrame(lines, schema).join(failed, "check", "left")
     counted = joined.withColumn("failures", F.coalesce(F.col("failures"), F.lit(0).cast("long")))
     return counted.withColumn("status", verdict("failures", "severity")).select(
         "kind", "model", "column_name", "severity", "failures", "status"

@@ -44,6 +44,11 @@ def staged(raw: DataFrame, table: str) -> DataFrame:
     return raw.select(*columns, *BATCH_COLUMNS, PROCESSED_AT)
 
 
+def staged_columns(table: str) -> dict[str, Column]:
+    """The columns that staging changes, over RAW; all others are as they are there."""
+    return {name: change(F.col(name)) for name, change in _STAGED_TEXT[table].items()}
+
+
 def item_totals(items: DataFrame) -> DataFrame:
     """Order items reduced to one row per order, so later joins do not fan out.
 

@@ -246,7 +246,7 @@ def _read_all(spark: SparkSession, base: str, names: list[str]) -> dict[str, Dat
 
 def report(spark: SparkSession, base: str) -> DataFrame:
     """All checks over published models, 57 lines."""
-    return checks.report(all_models(spark, base))
+    return checks.report(all_models(spark, base), views=True)
 
 
 def test(spark: SparkSession, base: str) -> list:

@@ -7,7 +7,7 @@ library itself keeps exact decimals and dates.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +19,9 @@ from tidemark.operators import history, joins, recon, upsert
 from tidemark.plans import checks, cleaning, models, stages
 from tidemark.plans.warehouse import to_raw
 from tidemark.schemas import SILVER, TABLES
-from tidemark.sources import ingest, store
-from tidemark.sources.bronze import read_batch, write_bronze
+from tidemark.sources import ingest, marks, store
+from tidemark.sources.bronze import files_of, read_batch, read_bronze, write_bronze
+from tidemark.sources.concurrent import together
 from tidemark.sources.readers import max_mark, read_increment
 from tidemark.sources.store import stage, staging_path
 
@@ -145,6 +146,128 @@ def _landed(spark: SparkSession, batch: DataFrame, table: str) -> DataFrame:
     return read_batch(spark, base, table, "b1", at)
 
 
+def ingest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of five extractions into a Bronze of its own.
+
+    All products; orders from a given mark; orders again, which brings nothing;
+    orders again with the second delivery, whose times are not after the mark;
+    all orders with it.
+    """
+    base = staging_path(spark)
+    orders, products = fixtures.source_orders(spark, sf_dir), fixtures.source_products(spark, sf_dir)
+    more = orders.unionByName(fixtures.redelivered_orders(spark, sf_dir))
+    marks.save_mark(spark, base, "orders", FIRST_MARK, "before")
+    steps = [("products", products, False), ("orders", orders, False), ("orders", orders, False)]
+    steps += [("orders", more, False), ("orders", more, True)]
+    lines = []
+    for step, (table, source, full) in enumerate(steps, 1):
+        done = ingest.extract(source, ingest.SOURCES[table], base, fixtures.SYSTEM, batch_id=f"b{step}", full=full)
+        stored = read_bronze(spark, base, table).where(F.col("_batch_id") == f"b{step}").count()
+        mark = marks.load_mark(spark, base, table)
+        lines.append((step, table, done.batch_id is not None, done.rows, stored, mark))
+    return spark.createDataFrame(
+        lines, "step int, table_name string, has_batch boolean, announced_rows long, bronze_rows long, watermark string"
+    )
+
+
+def _in_layers(spark: SparkSession, sf_dir: str, base: str, table: str, batch: DataFrame, batch_id: str) -> None:
+    """A stamped batch arrives in Bronze, as after an extraction."""
+    at = fixtures.BATCH_TIMES[batch_id]
+    write_bronze(batch, base, table, at)
+    marks.log_batch(spark, base, table, batch_id, at)
+
+
+def silver_orders_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver orders as stored: built from the first batch, then the second folded into its slices."""
+    base = staging_path(spark)
+    for batch in ("b1", "b2"):
+        _in_layers(spark, sf_dir, base, "orders", fixtures.bronze_orders(spark, sf_dir, (batch,)), batch)
+        stages.refresh_silver(spark, base, "orders", fixtures.RUN_TS, rebuild=False)
+    return store.read_table(spark, base, "silver_orders")
+
+
+def rejected_orders_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejects as stored by the same two runs, with the lines of the batch log that they leave."""
+    base = staging_path(spark)
+    for batch in ("b1", "b2"):
+        _in_layers(spark, sf_dir, base, "orders", fixtures.bronze_orders(spark, sf_dir, (batch,)), batch)
+        stages.refresh_silver(spark, base, "orders", fixtures.RUN_TS, rebuild=False)
+    waiting = len(marks.waiting(spark, base, "orders"))
+    stored = store.read_table(spark, base, "rejected_orders")
+    return stored.groupBy("_rejection_reason", "_batch_id").agg(F.count("*").alias("n_rows")).withColumn(
+        "waiting_batches", F.lit(waiting)
+    )
+
+
+def bronze_of_two_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of products with different columns, read as one history.
+
+    The second lacks the weight and has a colour, which the first does not know.
+    """
+    base, first = staging_path(spark), fixtures.bronze_products(spark, sf_dir)
+    second = first.drop("product_weight_g").withColumns(
+        {"colour": F.lit("red"), "_batch_id": F.lit("b2"), "_ingested_at": F.lit(fixtures.BATCH_TIMES["b2"]).cast("timestamp_ntz")}
+    )
+    _in_layers(spark, sf_dir, base, "products", first, "b1")
+    _in_layers(spark, sf_dir, base, "products", second, "b2")
+    history = read_bronze(spark, base, "products")
+    return history.groupBy("_batch_id", "_ingested_at").agg(
+        F.count("*").alias("n_rows"), F.count("product_weight_g").alias("n_weights"), F.count("colour").alias("n_colours")
+    )
+
+
+def bronze_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of stored files, summed by batch, and whether every file has rows of one batch only."""
+    base = staging_path(spark)
+    for batch in ("b1", "b2"):
+        _in_layers(spark, sf_dir, base, "orders", fixtures.bronze_orders(spark, sf_dir, (batch,)), batch)
+    files = stage(files_of(read_bronze(spark, base, "orders")))
+    shared = files.groupBy("file_path").agg(F.count("*").alias("batches"), F.first("_batch_id").alias("_batch_id"))
+    return (
+        files.join(shared.drop("_batch_id"), "file_path")
+        .groupBy("_batch_id")
+        .agg(F.sum("n_rows").alias("n_rows"), (F.max("batches") == 1).alias("own_files"))
+    )
+
+
+def load_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RAW products after a load, and after an empty one, which is refused and leaves them."""
+    base = staging_path(spark)
+    _in_layers(spark, sf_dir, base, "products", fixtures.bronze_products(spark, sf_dir), "b1")
+    stages.clean(spark, base, "products", fixtures.RUN_TS)
+    stages.load(spark, base, "products")
+    empty = store.read_table(spark, base, "silver_products").limit(0)
+    store.publish(empty, base, "silver_products")
+    refused = False
+    try:
+        stages.load(spark, base, "products")
+    except store.EmptyTableError:
+        refused = True
+    stored = store.read_table(spark, base, "raw_products")
+    return stored.agg(F.count("*").alias("n_rows")).withColumn("refused", F.lit(refused))
+
+
+def silver_products_without_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver products from a Bronze that lacks all optional columns: they are NULL, and no rule breaks on them."""
+    spec = cleaning.SPECS["products"]
+    given = bronze(spark, sf_dir, "products")
+    absent = [c for c in given.columns if c in spec.optional or c in spec.spellings]
+    rows = cleaning.silver(given.drop(*absent), spec, fixtures.RUN_TS)
+    counts = [F.count(name).alias(f"n_{name}") for name in ("product_category_name", "product_weight_g")]
+    return rows.agg(F.count("*").alias("n_rows"), *counts)
+
+
+def fact_columns_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge whose increment has a new column and lacks an old one."""
+    orders = staging(spark, sf_dir, "orders").select("order_id", "order_status", "customer_id")
+    old = orders.where(~F.col("order_status").isin("delivered"))
+    new = orders.where(F.col("order_status").isin("delivered", "shipped")).select(
+        "order_id", "order_status", F.length("customer_id").alias("id_length")
+    )
+    merged = upsert.upsert(old, new, ["order_id"])
+    return as_double(merged, "id_length")
+
+
 # ---- history ----------------------------------------------------------------
 
 
@@ -261,7 +384,8 @@ def fact_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Published(dict):
     """Models by name, each built when first asked for; RAW and marts are written once.
 
-    A check that names two models so pays for these two only.
+    A check that names two models so pays for these two only.  ``prepare`` builds
+    many, those that do not depend on each other at the same time.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -272,6 +396,21 @@ class Published(dict):
         self[name] = self._build(name)
         return self[name]
 
+    def prepare(self, names: Iterable[str]) -> Published:
+        wanted = {x for name in names for x in self._needs(name)}
+        for level in (TABLES_AND_HISTORY, ("int_order_items_aggregated", "fact_payments"), ("fact_orders",)):
+            together({name: partial(self.__getitem__, name) for name in level if name in wanted})
+        return self
+
+    def _needs(self, name: str) -> list[str]:
+        layer, _, table = name.partition("_")
+        parts = {
+            "stg": [f"raw_{table}"],
+            "int": ["raw_order_items"],
+            "fact": ["raw_orders", "raw_order_payments" if table == "payments" else "int_order_items_aggregated"],
+        }.get(layer, ["raw_products"] if name == "dim_products" else [])
+        return [name, *(x for part in parts for x in self._needs(part))]
+
     def _build(self, name: str) -> DataFrame:
         spark, sf_dir = self._spark, self._sf_dir
         layer, _, table = name.partition("_")
@@ -294,7 +433,11 @@ class Published(dict):
         raise KeyError(name)
 
 
-def published(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+#: Written models that depend on no other one.
+TABLES_AND_HISTORY = (*(f"raw_{t}" for t in TABLES), "dim_customers")
+
+
+def published(spark: SparkSession, sf_dir: str) -> Published:
     """All models over written RAW tables and facts, as checks read them in a run."""
     return Published(spark, sf_dir)
 
@@ -302,9 +445,11 @@ def published(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 # ---- checks -----------------------------------------------------------------
 
 
-def checked(check: Callable[[dict[str, DataFrame]], DataFrame], spark: SparkSession, sf_dir: str):
+def checked(
+    check: Callable[[dict[str, DataFrame]], DataFrame], names: Iterable[str], spark: SparkSession, sf_dir: str
+) -> DataFrame:
     """A check that reads several models, over written ones."""
-    return check(published(spark, sf_dir))
+    return check(published(spark, sf_dir).prepare(names))
 
 
 def dq_accepted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,11 +472,11 @@ def on_orders(check, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recon_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = published(spark, sf_dir)
+    marts = ("dim_customers", "dim_products", "fact_orders", "fact_payments")
+    frames = published(spark, sf_dir).prepare([*(f"raw_{t}" for t in TABLES), *marts])
     layers = {("bronze", t): bronze(spark, sf_dir, t) for t in TABLES}
     layers |= {("raw", t): frames[f"raw_{t}"] for t in TABLES}
     layers |= {("staging", f"stg_{t}"): frames[f"stg_{t}"] for t in TABLES}
-    marts = ("dim_customers", "dim_products", "fact_orders", "fact_payments")
     layers |= {("analytics", name): frames[name] for name in marts}
     return recon.row_counts(layers)
 
@@ -368,12 +513,13 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     The copy under its own id is ignored; the new id is added once, although
     it comes in two versions.
     """
-    orders = staging(spark, sf_dir, "orders")
+    orders = stage(staging(spark, sf_dir, "orders"))
     active = orders.filter(F.col("order_status") == "processing")
     later = F.col("order_purchase_timestamp") + F.expr("INTERVAL 1 DAY")
     again = active.withColumn("order_id", F.concat("order_id", F.lit("-again")))
     new = active.unionByName(again).unionByName(again.withColumn("order_purchase_timestamp", later))
-    return orders.unionByName(upsert.insert_if_absent(orders, new, ["order_id"]))
+    keys = ["order_id"]
+    return upsert.merge(orders, upsert.first_new(new, keys), keys, [upsert.Clause("new")])
 
 
 def conditional_update(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,6 +542,14 @@ def _queries() -> dict[str, Query]:
         ingest_incremental,
         ingest_new_watermark,
         ingest_validation,
+        ingest_runs,
+        silver_orders_sliced,
+        rejected_orders_sliced,
+        bronze_of_two_schemas,
+        bronze_lineage,
+        load_guard,
+        silver_products_without_sizes,
+        fact_columns_follow,
         customers_scd2,
         customers_scd2_stepwise,
         customers_scd2_published,
@@ -418,10 +572,12 @@ def _queries() -> dict[str, Query]:
     ):
         found[query.__name__] = query
     found |= {
-        "dq_not_null": partial(checked, checks.not_null),
-        "dq_unique": partial(checked, checks.unique),
-        "dq_relationships": partial(checked, checks.relationships),
-        "dq_report": partial(checked, checks.report),
+        "dq_not_null": partial(checked, checks.not_null, checks.NOT_NULL),
+        "dq_unique": partial(checked, checks.unique, [model for model, _ in checks.UNIQUE]),
+        "dq_relationships": partial(
+            checked, checks.relationships, [x for child, _, parent, *_ in checks.RELATIONSHIPS for x in (child, parent)]
+        ),
+        "dq_report": partial(checked, partial(checks.report, views=True), checks.NOT_NULL),
         "dq_fact_payments_unique": partial(on_payments, checks.fact_payments_unique),
         "dq_fact_payments_value": partial(on_payments, checks.fact_payments_value),
         "dq_fact_orders_amounts": partial(on_orders, checks.fact_orders_amounts),
