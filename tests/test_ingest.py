@@ -2,11 +2,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.plans.cleaning import SPECS, normalise
-from tidemark.sources import ingest
+from tidemark.sources import ingest, marks
 from tidemark.sources.bronze import read_bronze, write_bronze
 from tidemark.sources.ingest import SOURCES, RowCountError, Source, extract
 from tidemark.sources.marks import load_mark, log_batch, pending_batches, save_mark
-from tidemark.sources.readers import hash_predicates, jdbc_options, read_jdbc, max_mark, quoted, read_increment
+from tidemark.sources.readers import (
+    hash_predicates,
+    jdbc_options,
+    mark_bound,
+    max_mark,
+    quoted,
+    read_between,
+    read_increment,
+    read_jdbc,
+)
 
 ORDERS = SOURCES["orders"]
 
@@ -146,3 +155,58 @@ def test_columns_of_some_batches_are_kept(spark, frame, base):
         extract(df, SOURCES["products"], base, "shop")
     rows = normalise(read_bronze(spark, base, "products"), SPECS["products"]).collect()
     assert {r.product_id: r.product_name_length for r in rows} == {"p1": 7.0, "p2": 8.0}
+
+
+def test_source_is_read_once(spark, base):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(50).selectExpr("cast(id AS string) AS customer_id").mapInArrow(seen, "customer_id string")
+    done = extract(df, SOURCES["customers"], base, "shop")
+    assert done.rows == 50 and read.value == 50
+
+
+def test_rows_that_come_in_between_wait(frame, base, monkeypatch):
+    df = orders(frame, ("o1", "2020-01-01"), ("o2", "2020-01-02"), ("o3", None))
+    # o2 was not there yet when the end of the increment was fixed
+    monkeypatch.setattr(ingest, "mark_bound", lambda *_: "2020-01-01 00:00:00")
+    done = extract(df, ORDERS, base, "shop", batch_id="a")
+    assert (done.rows, done.mark) == (2, "2020-01-01 00:00:00")
+    monkeypatch.undo()
+    done = extract(df, ORDERS, base, "shop", batch_id="b")
+    assert (done.rows, done.mark) == (1, "2020-01-02 00:00:00")
+    # a full load without any time
+    timeless = extract(df.where("order_id = 'o3'"), ORDERS, base, "shop", full=True)
+    assert (timeless.rows, timeless.mark) == (1, None)
+
+
+def test_bounds(frame):
+    df = orders(frame, ("o1", "2020-01-01"), ("o2", "2020-01-02 00:00:00.123456"), ("o3", None))
+    column = "order_purchase_timestamp"
+    assert mark_bound(df, column, None) == "2020-01-02 00:00:00.123456"
+    assert mark_bound(df, column, "2021-01-01 00:00:00") is None
+    ids = lambda *limits: sorted(r.order_id for r in read_between(df, column, *limits).collect())
+    assert ids(None, "2020-01-02 00:00:00.123456") == ["o1", "o2", "o3"]
+    assert ids("2020-01-01 00:00:00", "2020-01-02 00:00:00.123456") == ["o2"]
+    assert ids(None, None) == ["o3"]
+
+
+def test_nothing_to_take(spark, frame, base):
+    done = extract(frame([], "customer_id string"), SOURCES["customers"], base, "shop")
+    assert (done.batch_id, done.rows) == (None, 0)
+    assert pending_batches(spark, base, "customers") == []
+
+
+def test_schema_conflicts_are_named_before_the_write(spark, frame, base):
+    extract(frame([("p1", 1)], "product_id string, size int"), SOURCES["products"], base, "shop")
+    with pytest.raises(marks.SchemaConflict, match="products: column size has come as int and string"):
+        extract(frame([("p2", "x")], "product_id string, size string"), SOURCES["products"], base, "shop")
+    assert read_bronze(spark, base, "products").count() == 1
+    extract(frame([("p3", "red")], "product_id string, colour string"), SOURCES["products"], base, "shop")
+    history = read_bronze(spark, base, "products")
+    assert {(r.product_id, r["size"], r.colour) for r in history.collect()} == {("p1", 1, None), ("p3", None, "red")}
+    assert history.count() == 2 and len(marks._schema_lines(spark, base, "products")) == 2

@@ -282,3 +282,35 @@ def test_session_zone_must_be_utc(spark):
 
 def test_tracked_columns():
     assert TRACKED == ("customer_unique_id", "customer_zip_code_prefix", "customer_city", "customer_state")
+
+
+def test_a_batch_rewrites_only_its_slices(spark, base, frame):
+    """One customer of 200 comes again: one Silver slice is read and written."""
+    rows = [(f"c{i}", f"u{i}", "1", "a", "qs") for i in range(200)]
+    ts = "2024-02-01 00:00:00"
+    extract(frame(rows, CUSTOMER_SCHEMA), SOURCES["customers"], base, "shop", ingested_at="2024-01-01 00:00:00")
+    stages.clean(spark, base, "customers", ts, slices=20)
+    before = store.current(spark, base, "silver_customers")
+    assert len(before.versions) == 20 and before.slicing.keys == ("customer_id",)
+    moved = [("c7", "u7", "1", "b", "qs"), (None, "u8", "1", "b", "qs")]
+    extract(frame(moved, CUSTOMER_SCHEMA), SOURCES["customers"], base, "shop", ingested_at="2024-01-02 00:00:00")
+    counts = stages.clean_pending(spark, base, "customers", ts)
+    assert (counts.bronze, counts.valid, counts.duplicates, counts.rejected, counts.silver) == (2, 1, 1, 1, 200)
+    after = store.current(spark, base, "silver_customers")
+    changed = [name for name, version in after.versions.items() if version != before.versions[name]]
+    assert len(changed) == 1 and after.n_rows == 200
+    steps = content(spark, base, "silver_customers")
+    stages.clean(spark, base, "customers", ts, slices=7)
+    assert content(spark, base, "silver_customers") == steps
+    assert len(store.current(spark, base, "silver_customers").versions) == 7
+    # a batch without a valid row touches none
+    extract(frame(moved[1:], CUSTOMER_SCHEMA), SOURCES["customers"], base, "shop", ingested_at="2024-01-03 00:00:00")
+    seq = store.current(spark, base, "silver_customers").seq
+    assert stages.clean_pending(spark, base, "customers", ts).rejected == 1
+    assert store.current(spark, base, "silver_customers").seq == seq
+
+
+def test_checks_read_each_stored_model_once(spark, site):
+    base, given, _, _ = site
+    plan = stages.report(spark, base)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 11  # 5 RAW tables, 5 marts, the items once more for their totals

@@ -94,3 +94,24 @@ def test_staged_frame_can_be_removed(spark, frame):
     store.unstage(spark, path)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_hash_slices_are_found_by_key(spark, base):
+    slicing = store.Slicing(("id",), 8)
+    store.publish_hashed(spark.range(1000).selectExpr("id", "1 AS n"), base, "t", slicing)
+    before = store.current(spark, base, "t")
+    assert before.slicing == slicing and len(before.versions) == 8 and before.n_rows == 1000
+    change = spark.range(5, 6).selectExpr("id", "2 AS n")
+    touched = store.touched_slices(change, before.slicing)
+    assert len(touched) == 1
+    old = store.read_table(spark, base, "t", touched)
+    assert all(f"_slice={touched[0]}/" in path for path in old.inputFiles())
+    store.replace_touched(old.where("id <> 5").unionByName(change), base, "t", before.slicing, touched)
+    after = store.current(spark, base, "t")
+    assert {name for name, v in after.versions.items() if v != before.versions[name]} == set(touched)
+    assert after.n_rows == 1000 and after.slicing == slicing
+    assert store.read_table(spark, base, "t").where("n = 2").count() == 1
+    # another cut comes with a new whole table only
+    store.publish_hashed(store.read_table(spark, base, "t"), base, "t", store.Slicing(("id",), 3))
+    assert set(store.current(spark, base, "t").versions) <= {"h0", "h1", "h2"}
+    assert store.read_table(spark, base, "t").count() == 1000

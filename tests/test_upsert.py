@@ -2,7 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.upsert import conditional_update, increment, insert_if_absent, upsert
+from tidemark.operators.upsert import Clause, conditional_update, first_new, increment, insert_if_absent, merge, upsert
 
 
 def test_upsert_replaces_adds_and_keeps(frame):
@@ -52,3 +52,29 @@ def test_conditional_update(frame):
     assert sorted(map(repr, map(tuple, changed.collect()))) == sorted(
         map(repr, [("a", "t", 7), ("b", "y", 2), (None, "z", 3)])
     )
+
+
+def test_merge_takes_the_first_clause_that_applies(frame):
+    target = frame([("a", 1, "x"), ("b", 2, "x"), ("c", 3, "x"), ("d", 4, "x"), (None, 5, "x")], "k string, n int, s string")
+    source = frame([("a", 10), ("b", 20), ("c", 30), ("e", 50), ("f", -1), (None, 7)], "k string, n int")
+    clauses = [
+        Clause("matched", "source.n = 20", delete=True),
+        Clause("matched", "source.n > target.n * 10 - 1 AND target.k = 'a'", {"n": F.col("source.n") + F.col("target.n")}),
+        Clause("matched"),
+        Clause("new", "source.n > 0", {"s": F.lit("new")}),
+        Clause("kept", "target.n = 4", {"s": F.lit("old")}),
+    ]
+    found = {tuple(r) for r in merge(target, source, ["k"], clauses).collect()}
+    assert found == {("a", 11, "x"), ("c", 30, None), ("d", 4, "old"), (None, 5, "x"), ("e", 50, "new"), (None, 7, "new")}
+    assert {tuple(r) for r in merge(target, source, ["k"], []).collect()} == {tuple(r) for r in target.collect()}
+    gone = [Clause("kept", delete=True), Clause("matched", delete=True)]
+    assert merge(target, source, ["k"], gone).collect() == []
+
+
+def test_merge_reads_each_side_once(spark, base):
+    for name in ("target", "source"):
+        spark.range(20).selectExpr("id", "id AS source", "id AS target").write.parquet(f"{base}/{name}")
+    target, source = (spark.read.parquet(f"{base}/{name}") for name in ("target", "source"))
+    for merged in (upsert(target, source, ["id"]), merge(target, first_new(source, ["id"]), ["id"], [Clause("new")])):
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 2 and merged.count() == 20
