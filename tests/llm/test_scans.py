@@ -172,7 +172,7 @@ def test_license_edges(docs, clashing):
         "license mit the under",
     ]
     found = {r.doc_id: r for r in licenses.scan(clashing(docs(*texts))).collect()}
-    assert (found[0].labels, found[0].base_places, found[0].first_word, found[0].last_word) == (["mit"], 2, 1, 6)
+    assert (found[0].labels, found[0].base_places, found[0].first_word, found[0].last_word) == (["mit"], 2, 1, 5)
     assert found[3].labels == ["gpl"] and found[3].base_labels == [] and 0.5 < found[3].score < 1
     assert found[5].base_places == 3000 and found[5].labels == ["cc-by-nc"]
     for i in (1, 2, 4, 6):

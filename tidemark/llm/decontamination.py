@@ -143,11 +143,12 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     chunks = F.regexp_extract_all(text, F.lit(chunk), F.lit(0))
     tail = F.regexp_extract(text, r"([\x00-\x2F\x3A-\x60\x7B-\x7F&&[^A-Z]]*)\z", 1)
     after = F.transform("hit_words", lambda i: i + 1)
-    # kept stretches lie between the end of one run of hits and the start of the next
+    # kept stretches lie between the end of one run of hits and the start of the next; one is empty where the text
+    # begins or ends with a hit
     starts = F.array_sort(F.array_union(F.array(F.lit(0)), F.array_except(after, "hit_words")))
     ends = F.array_sort(F.array_union(F.array_except("hit_words", after), F.array(F.col("n_words"))))
     stretches = F.transform(
-        F.arrays_zip(F.filter(starts, lambda s: ~F.array_contains("hit_words", s)).alias("s"), ends.alias("e")),
+        F.arrays_zip(starts.alias("s"), ends.alias("e")),
         lambda z: F.slice("_chunks", z["s"] + 1, z["e"] - z["s"]),
     )
     rebuilt = F.concat(F.array_join(F.flatten(stretches), ""), tail)
