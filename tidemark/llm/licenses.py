@@ -47,11 +47,14 @@ def vocabulary() -> list[str]:
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """The licence words, rarest in the documents first; ties by the word."""
+    """The licence words, rarest in the documents first; ties by the word.
+
+    Words that no document holds come last: looking them up would find nothing.
+    """
     words = F.array(*(F.lit(word) for word in vocabulary()))
     held = docs.select(F.explode(F.array_intersect(words, words_of(F.col(text_col)))).alias("word"))
     counts = {row["word"]: row["count"] for row in held.groupBy("word").count().collect()}
-    return sorted(vocabulary(), key=lambda word: (counts.get(word, 0), word))
+    return sorted(vocabulary(), key=lambda word: (word not in counts, counts.get(word, 0), word))
 
 
 def postings(by_rarity: list[str]) -> list[tuple[str, int, int]]:
