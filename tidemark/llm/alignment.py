@@ -43,7 +43,7 @@ FAN = 16
 #: Pairs of ids whose counts are broadcast, 17 bytes each.
 HOT_PAIRS = 4_000_000
 #: What a task remembers of words, and what it holds before it sends rows on.
-CACHE_BYTES, FLUSH_BYTES, GROUP = 96 << 20, 8 << 20, 256
+CACHE_BYTES, FLUSH_BYTES, GROUP = 72 << 20, 8 << 20, 256
 #: Words that are encoded and aligned as one text.
 RUN = 4096
 
@@ -154,6 +154,8 @@ class Codec:
         ]
         self.b_bytes = [_piece_bytes(self._b, i) for i in range(self._b.get_piece_size())]
         self._ranked = _ranked(a_path, self.a_bytes)
+        if self._ranked:
+            self._a = None  # one copy of the vocabulary is enough
         self._a_size, self._b_size = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
         self.size_b = len(self.b_bytes)
         if any(b" " in piece.lstrip(b" ") for piece in self.b_bytes):
