@@ -1,6 +1,7 @@
 """Whole runs on written tables, with the two manual scenarios automated."""
 
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -314,3 +315,35 @@ def test_checks_read_each_stored_model_once(spark, site):
     base, given, _, _ = site
     plan = stages.report(spark, base)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 11  # 5 RAW tables, 5 marts, the items once more for their totals
+
+
+def test_arrival_brings_late_orders_and_later_items(spark, frame, base):
+    """Only months with a changed row are rewritten; rows that come again unchanged are not."""
+    item_schema = ("order_id string, product_id string, seller_id string, price decimal(18,2),"
+                   " freight_value decimal(18,2), shipping_limit_date timestamp_ntz")
+
+    def at(df, day):
+        return df.withColumn("_ingested_at", F.lit(f"2024-01-{day:02d} 00:00:00").cast("timestamp_ntz"))
+
+    def item(order):
+        return (order, "p", "s", Decimal("2.00"), Decimal("1.00"), None)
+
+    def build(o, i):
+        stages.refresh_fact_orders(spark, base, o, i, increment_by="arrival")
+        return {r.order_id: r.total_items for r in table(spark, base, "fact_orders").collect()}
+
+    old = at(orders(frame, [("a", "c", "shipped", "2020-01-05"), ("b", "c", "shipped", "2020-02-05")]), 1)
+    items = at(frame([item("a")], item_schema), 1)
+    assert build(old, items) == {"a": 1, "b": 0}
+    first = store.current(spark, base, "fact_orders").versions
+    # all orders come again, one of them late; order b gets its first item
+    again = at(orders(frame, [("a", "c", "shipped", "2020-01-05"), ("b", "c", "shipped", "2020-02-05"), ("z", "c", "shipped", "2019-05-05")]), 2)
+    later = items.unionByName(at(frame([item("b")], item_schema), 2))
+    assert build(again, later) == {"a": 1, "b": 1, "z": 0}
+    second = store.current(spark, base, "fact_orders").versions
+    assert second["202001"] == first["202001"] and second["202002"] != first["202002"] and "201905" in second
+    # nothing new: nothing is written
+    assert build(again, later) == {"a": 1, "b": 1, "z": 0}
+    assert store.current(spark, base, "fact_orders").versions == second
+    with pytest.raises(ValueError, match="increment_by"):
+        stages.refresh_fact_orders(spark, base, again, later, increment_by="size")

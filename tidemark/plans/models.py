@@ -114,6 +114,28 @@ def fact_orders(orders: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
+def arrived_orders(orders: DataFrame, items: DataFrame, orders_upto: str, items_upto: str) -> DataFrame:
+    """Orders that arrived, or an item of which arrived, after the given ingest times.
+
+    Whatever their purchase time: late orders and later items are among them.
+    """
+
+    def later(df: DataFrame, upto: str) -> DataFrame:
+        return df.where(F.col("_ingested_at") > F.lit(upto).cast("timestamp_ntz")).select("order_id")
+
+    ids = later(orders, orders_upto).unionByName(later(items, items_upto))
+    return orders.join(ids, "order_id", "left_semi")
+
+
+def changed_rows(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows of ``incoming`` that are not in ``stored`` as they are; a column that is not stored is a change."""
+    if set(incoming.columns) - set(stored.columns):
+        return incoming
+    old = stored.select(F.col(key).alias("_key"), F.struct(*incoming.columns).alias("_row"))
+    same = (F.col(key) == F.col("_key")) & F.struct(*incoming.columns).eqNullSafe(F.col("_row"))
+    return incoming.join(old, same, "left_anti")
+
+
 def with_delivery(fact: DataFrame) -> DataFrame:
     """Days from purchase to delivery and the on-time flag; NULL if not delivered."""
     delivered = F.col("order_delivered_customer_date")

@@ -28,7 +28,7 @@ from tidemark.sources import store
 from tidemark.sources.bronze import read_batch, read_bronze
 from tidemark.sources.concurrent import together
 from tidemark.sources.ingest import SOURCES, Ingested, extract
-from tidemark.sources.marks import log_cleaned, logged_batches, waiting
+from tidemark.sources.marks import last_build, log_build, log_cleaned, logged_batches, waiting
 
 HISTORY = "customers_snapshot"
 #: Slices of a Silver table by the hash of its keys; many for a large table, so that a batch touches few bytes.
@@ -169,9 +169,19 @@ def snapshot(spark: SparkSession, base: str, customers: DataFrame, run_ts: str)
 
 
 def refresh_fact_orders(
-    spark: SparkSession, base: str, orders: DataFrame, items: DataFrame, full: bool = False
+    spark: SparkSession,
+    base: str,
+    orders: DataFrame,
+    items: DataFrame,
+    full: bool = False,
+    increment_by: str = "purchase",
 ) -> None:
-    """Build the order fact, or merge the orders at or after its last purchase.
+    """Build the order fact, or merge an increment of orders into it.
+
+    ``increment_by="purchase"``: orders at or after the fact's last purchase.
+    ``"arrival"``: orders that arrived, or of which an item arrived, since the
+    last build, so late orders and later items need no full build; those whose
+    row is the same as before are left out.
 
     The fact is sliced by purchase month.  A merge finds the last purchase in
     the newest month alone, aggregates the items of the increment only and
@@ -179,17 +189,26 @@ def refresh_fact_orders(
     """
     table = "fact_orders"
     by_month = {"_month": month_key(F.col("order_purchase_timestamp"))}
-    stored = store.current(spark, base, table)
-    if full or stored is None or not stored.versions:
+    stored, seen = store.current(spark, base, table), last_build(spark, base, table)
+    upto = (_newest(orders), _newest(items))
+    if increment_by not in ("purchase", "arrival"):
+        raise ValueError(f"increment_by is {increment_by!r}, not purchase or arrival")
+    if full or stored is None or not stored.versions or (increment_by == "arrival" and seen is None):
         fact = models.fact_orders(orders, models.item_totals(items)).withColumns(by_month)
         store.publish_slices(fact, base, table, "_month")
+        log_build(spark, base, table, *upto)
         return
 
     target = store.read_table(spark, base, table).withColumns(by_month)
-    newest = store.read_table(spark, base, table, [max(stored.versions, key=int)])
-    new = increment(orders, newest, "order_purchase_timestamp")
+    if increment_by == "arrival":
+        new = models.arrived_orders(orders, items, *seen)
+    else:
+        newest = store.read_table(spark, base, table, [max(stored.versions, key=int)])
+        new = increment(orders, newest, "order_purchase_timestamp")
     new_items = items.join(new.select("order_id"), "order_id", "left_semi")
     fact = models.fact_orders(new, models.item_totals(new_items)).withColumns(by_month)
+    if increment_by == "arrival":
+        fact = models.changed_rows(fact, target, "order_id")
     path = store.staging_path(spark)
     try:
         incoming = store.stage(fact, path)
@@ -202,15 +221,25 @@ def refresh_fact_orders(
             old = store.read_table(spark, base, table, months).withColumns(by_month)
             merged = upsert(old, incoming, ["order_id"])
             store.publish_slices(merged, base, table, "_month", months)
+        if increment_by == "arrival":
+            log_build(spark, base, table, *upto)
     finally:
         store.unstage(spark, path)
 
 
+def _newest(df: DataFrame) -> str | None:
+    """Last ingest time of a frame, as text; None without one."""
+    if "_ingested_at" not in df.columns:
+        return None
+    return df.agg(F.max("_ingested_at").cast("string")).first()[0]
+
+
 def build(
     spark: SparkSession,
     base: str,
     full: bool = False,
     calendar: tuple[str, int] = (models.CALENDAR_START, models.CALENDAR_DAYS),
+    increment_by: str = "purchase",
 ) -> None:
     """Dimensions and facts from staging and the customer history.
 
@@ -227,7 +256,7 @@ def build(
     }
     calls = {name: partial(store.publish, df, base, name) for name, df in tables.items()}
     items = stg["stg_order_items"]
-    calls["fact_orders"] = partial(refresh_fact_orders, spark, base, orders, items, full)
+    calls["fact_orders"] = partial(refresh_fact_orders, spark, base, orders, items, full, increment_by)
     together(calls)
 
 
@@ -271,6 +300,7 @@ def run(
     max_rows_per_file: int = 0,
     calendar: tuple[str, int] = (models.CALENDAR_START, models.CALENDAR_DAYS),
     silver_slices: int = SILVER_SLICES,
+    increment_by: str = "purchase",
 ) -> list:
     """One complete run over the given sources.
 
@@ -282,7 +312,7 @@ def run(
     together({t: partial(refresh_silver, spark, base, t, run_ts, full, silver_slices) for t in TABLES})
     together({t: partial(load, spark, base, t) for t in TABLES})
     snapshot(spark, base, staging(spark, base)["stg_customers"], run_ts)
-    build(spark, base, full, calendar)
+    build(spark, base, full, calendar, increment_by)
     return test(spark, base)
 
 

@@ -128,6 +128,24 @@ def merge_schemas(table: str, schemas: list[StructType]) -> StructType:
     return StructType(list(merged.values()))
 
 
+def _builds(base: str, table: str) -> StateLog:
+    return StateLog(f"{base}/_builds/{table}", "orders_upto string, items_upto string, seq long", _last_line)
+
+
+def last_build(spark: SparkSession, base: str, table: str) -> tuple[str, str] | None:
+    """Ingest times up to which orders and items are in a fact; None if that is not known."""
+    row = _last_line(_builds(base, table).read(spark)).first()
+    return (row["orders_upto"], row["items_upto"]) if row and row["orders_upto"] else None
+
+
+def log_build(spark: SparkSession, base: str, table: str, orders_upto: str | None, items_upto: str | None) -> None:
+    """Record what a build has seen; a frame without any row counts as nothing seen yet."""
+    row = _last_line(_builds(base, table).read(spark)).first()
+    never = "1900-01-01 00:00:00"
+    line = {"orders_upto": orders_upto or never, "items_upto": items_upto or never, "seq": (row["seq"] if row else 0) + 1}
+    _builds(base, table).append(spark, [line])
+
+
 def next_ingest_time(spark: SparkSession, base: str, table: str, wanted: str) -> str:
     """The wanted time, or a microsecond after the table's last batch if that is later.
 
