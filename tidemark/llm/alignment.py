@@ -43,7 +43,7 @@ FAN = 16
 #: Pairs of ids whose counts are broadcast, 17 bytes each.
 HOT_PAIRS = 4_000_000
 #: What a task remembers of words, and what it holds before it sends rows on.
-CACHE_BYTES, FLUSH_BYTES, GROUP = 96 << 20, 8 << 20, 256
+CACHE_BYTES, FLUSH_BYTES, GROUP = 84 << 20, 4 << 20, 256
 #: Words that are encoded and aligned as one text.
 RUN = 4096
 
@@ -351,23 +351,26 @@ def _count_words(paths: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, seen = Codec(*paths, with_groups=False), Counter()
 
-        def counted() -> pa.RecordBatch:
+        def counted() -> Iterator[pa.RecordBatch]:
             times = np.zeros(len(codec.known), np.int64)
             times[[codec.known[word] for word in seen]] = list(seen.values())
             seen.clear()
-            links = np.concatenate(codec.counts)[:, 3]
-            return _aggregated(np.concatenate(codec.pairs), np.repeat(times, links))
+            # some runs of words at a time, so that little is held beside them
+            for low in range(0, len(codec.pairs), 16):
+                pairs, links = codec.pairs[low : low + 16], np.concatenate(codec.counts[low : low + 16])[:, 3]
+                some, times = times[: len(links)], times[len(links) :]
+                yield _aggregated(np.concatenate(pairs), np.repeat(some, links))
 
         for batch in batches:
             texts = batch.column(0)
             for low in range(0, len(texts), GROUP):
                 if codec.held > CACHE_BYTES and seen:
-                    yield counted()
+                    yield from counted()
                 for words in codec.texts(texts.slice(low, GROUP).to_pylist()):
                     if words:
                         seen.update(words)
         if seen:
-            yield counted()
+            yield from counted()
 
     return run
 
