@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -112,7 +113,7 @@ def brute_lines(rows):
         gone = []
         for number, line in enumerate((rows[k][1] or "").split("\n")):
             s = set(line.encode().lower().split())
-            if len(s) < 5:
+            if not s:
                 continue
             if any(5 * len(s & t) >= 4 * len(s | t) for t in seen):
                 gone.append(number)
@@ -163,9 +164,45 @@ def test_line_edges(docs):
     assert linededup.dedup_lines(docs("x").limit(0)).collect() == []
 
 
+def test_line_ids_and_names(spark):
+    few = " ".join(["la", "li", "lo", "lu"] * 50)
+    rows = [("b", f"{few}\nclick here"), ("a", f"x\n{few}\n \n"), ("c", "Click HERE\nla li lo lu le\n \n"), (None, "x")]
+    names = "own row key other first place done removed_lines n_lines _line_row"
+    docs = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", *(f"'x' AS {n}" for n in names.split()))
+    found = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
+    assert {i: r.removed_lines for i, r in found.items()} == {None: [], "a": [0], "b": [0], "c": [0, 1]}
+    assert found["c"].text == " \n" and found["c"].row == found["c"]._line_row == "x" and found["c"].n_lines == 4
+
+
 def test_prefix_is_long_enough():
-    for n in range(5, 200):
+    for n in range(1, 200):
         overlap = -(-4 * n // 5)
         assert linededup.prefix_length(n) == n - overlap + 1
-    levels = np.zeros(1 << linededup.BUCKET_BITS, np.int8)
-    assert linededup._Ranks(levels)[b"w"] == xxhash.xxh64_intdigest(b"w")
+    assert (linededup.prefix_length(np.arange(1, 200)) == [linededup.prefix_length(n) for n in range(1, 200)]).all()
+
+
+@pytest.mark.parametrize("step", [1, 7, 10_000])
+def test_meeting_over_batches(step):
+    """Pairs of words within the bound, rows of the others, however the rows are cut into batches."""
+    rng = random.Random(step)
+    rows = [(w, k, (10 << 32), 0) for w, n in enumerate([1, 2, 32, 33, 90, 3, 1, 40]) for k in sorted(rng.sample(range(200), n))]
+    rows += [(9, 5, 10 << 32, 0), (9, 5, 10 << 32, 0), (9, 6, 10 << 32, 0), (10, 7, 10 << 32, 0), (10, 7, 10 << 32, 0)]
+    names = ["word", "key", "n_at", "parity"]
+    batches = [pa.table(list(map(pa.array, zip(*rows[i : i + step]))), names).to_batches()[0] for i in range(0, len(rows), step)]
+    pairs, large = set(), set()
+    for batch in linededup._meet(iter(batches)):
+        for r in batch.to_pylist():
+            pairs.add((r["key"], r["with"])) if r["word"] is None else large.add((r["word"], r["key"]))
+    keys = {w: sorted({r[1] for r in rows if r[0] == w}) for w, *_ in rows}
+    assert large == {(w, k) for w, own in keys.items() if len(own) > 32 for k in own}
+    assert pairs == {(a, b) for own in keys.values() if len(own) <= 32 for a in own for b in own if a < b}
+
+
+def test_parts_are_bounded(monkeypatch):
+    monkeypatch.setattr(linededup, "PART_BYTES", 10)
+    monkeypatch.setattr(linededup, "PART_ROWS", 3)
+    texts = ["aaaa", "bbbb", "cccc", "d" * 50, None, "", "e", "f", None, None]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    parts = [p.column(0).to_pylist() for p in linededup.text_parts(iter([batch, batch.slice(0, 0)]))]
+    assert sum(parts, []) == texts
+    assert all(len(p) <= 3 and (len(p) == 1 or sum(len(t or "") for t in p) <= 10) for p in parts)

@@ -15,6 +15,21 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """What this Python worker remembers between tasks: the thing of one name only.
+
+    Workers are used again by later tasks, of other operators, too; asking for
+    another name frees what was remembered before, so it never adds up.
+    """
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 

@@ -1,22 +1,23 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its words (ASCII-lower-cased, split at white space); lines
-of fewer than five different words are left alone.  A line is removed if an
-earlier one, by document id and place in the text, is at least 0.8 similar
-(Jaccard), be that one removed itself or not.
-
-Equal sets are one class, whose first line stands for it.  Between classes:
-words are ordered by rarity, and two sets of the wanted similarity share one of
-their rarest n - ceil(0.8 n) + 1 words.  These prefix words are the join key;
-length, position of the shared word and a 64-bit parity signature (each a bound
-on the overlap that never loses a pair) prune inside the join, and what is left
-is verified on the words themselves.
-
-Of a prefix word that more than ``STAR_FROM`` sets hold, first every set meets
-the earliest holder only, which settles large groups of near copies with one
-comparison per word; only sets still without an earlier match then meet all
-earlier ones.  A removed line so needs one match, and a group of g near copies
-no square of pairs.
+without words are left alone.  A line is removed if an earlier one, by document
+id and place in the text, is at least 0.8 similar (Jaccard), be that one removed
+itself or not.
+
+Equal sets are one class, known by 128 bits, whose first line stands for it.
+Between classes: words are ordered by rarity, and two sets of the wanted
+similarity share one of their rarest n - ceil(0.8 n) + 1.  These prefix words
+are dealt by word, once, and each task pairs the sets that share one: length,
+position of the shared word and a 64-bit parity signature (each a bound on the
+overlap that never loses a pair) prune, words of one set send nothing on.  What
+is left is verified on the words themselves.
+
+A prefix word that more than ``STAR_FROM`` sets hold is not paired there: first
+every set meets the earliest holder only, which settles large groups of near
+copies with one comparison per word; only sets still without an earlier match
+then meet all earlier ones.  A removed line so needs one match, and a group of g
+near copies no square of pairs.
 
 Rarity is a table of 2**BUCKET_BITS counts by word hash over all lines; words
 that share a bucket only look more common.  It is the one thing of fixed size
@@ -25,30 +26,30 @@ that goes through the driver.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from operator import xor
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, drop_staged, staged
+from tidemark.llm.common import ascii_lower, drop_staged, kept, staged
 
-LEAST_WORDS = 5
 #: Jaccard similarity as a fraction.
 SIMILAR = (4, 5)
 BUCKET_BITS = 22
+#: Buckets of one row on their way to the sums.
+SLICE_BITS = 16
 STAR_FROM = 32
 #: Joined without a shuffle of the other side up to so many rows of a few numbers.
 BROADCAST_ROWS = 500_000
-_MASK = (1 << 64) - 1
 _REMEMBERED = 400_000
-#: Documents whose prefix words a task holds at once.
+#: Documents and bytes of text whose words a task holds at once; one longer text is a part of its own.
 PART_ROWS = 2_500
+PART_BYTES = 4 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Hashes(dict):
@@ -59,142 +60,236 @@ class _Hashes(dict):
         return value
 
 
-class _Ranks(dict):
-    """(level of rarity, hash) of each word as one sortable number."""
+def word_hashes() -> _Hashes:
+    """The hashes that this Python worker remembers, emptied when they are many."""
+    hashes = kept("word hashes", _Hashes)
+    if len(hashes) > _REMEMBERED:
+        hashes.clear()
+    return hashes
 
-    def __init__(self, levels: np.ndarray):
-        self.levels = levels
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        value |= int(self.levels[value >> (64 - BUCKET_BITS)]) << 64
-        self[word] = value
-        return value
-
-
-def word_sets(text: str | None) -> Iterator[tuple[int, set[bytes]]]:
-    """(line number, words) of the lines that have enough different words."""
-    for number, line in enumerate((text or "").encode().lower().split(b"\n")):
-        words = set(line.split())
-        if len(words) >= LEAST_WORDS:
-            yield number, words
-
-
-def prefix_length(words: int) -> int:
+def text_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, whose last column is the text, bounded in rows and bytes."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        low = 0
+        while low < batch.num_rows:
+            before = int(ends[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + PART_BYTES, "right")))
+            high = min(high, low + PART_ROWS)
+            yield batch.slice(low, high - low)
+            low = high
+
+
+class _Lines:
+    """Lines with words of some texts: owner, number, words in all, and the hashes of their words one after the other."""
+
+    def __init__(self, texts: pa.Array):
+        hashes = word_hashes()
+        owner, number, size, flat = [], [], [], []
+        for i, text in enumerate(texts.cast(pa.binary()).to_pylist()):
+            for k, line in enumerate((text or b"").lower().split(b"\n")):
+                words = set(line.split())
+                if words:
+                    owner.append(i)
+                    number.append(k)
+                    size.append(len(words))
+                    flat.extend(words)
+        self.owner, self.number, self.size = (np.array(v, np.int64) for v in (owner, number, size))
+        self.hashes = np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat))
+        self.starts = np.cumsum(self.size) - self.size
+        if not owner:
+            self.key = self.other = self.first = np.zeros(0, np.uint64)
+            return
+        self.key = np.add.reduceat(self.hashes, self.starts)
+        mixed = (self.hashes ^ (self.hashes >> np.uint64(29))) * _ODD
+        self.other = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), self.starts)
+        #: True for the first line of each different set.
+        self.first = np.zeros(len(owner), bool)
+        self.first[np.unique(self.key, return_index=True)[1]] = True
+
+
+def prefix_length(words):
+    """Of so many words, a number or an array."""
     num, den = SIMILAR
     return words + (-num * words // den) + 1
 
 
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
 
 
 def _read_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines with the key of their set, and how many sets of the batch hold a word of each bucket."""
-    hashes = _Hashes()
-    names = ["id", "row", "line", "key", "bucket", "sets"]
-    for batch in batches:
-        if len(hashes) > _REMEMBERED:
-            hashes.clear()
-        owner, lines, keys = [], [], []
-        seen: set[int] = set()
-        held: Counter[bytes] = Counter()
-        for i, text in enumerate(batch.column(2)):
-            for number, words in word_sets(text.as_py()):
-                key = sum(map(hashes.__getitem__, words)) & _MASK
-                owner.append(i)
-                lines.append(number)
-                keys.append(key)
-                if key not in seen:
-                    seen.add(key)
-                    held.update(words)
-        take, n = pa.array(owner, pa.int64()), len(owner)
-        empty = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(take), batch.column(1).take(take), pa.array(lines, pa.int32()), _signed(keys), *empty], names
-        )
-        buckets = np.fromiter((hashes[w] >> (64 - BUCKET_BITS) for w in held), np.int64, len(held))
-        counts = np.bincount(buckets, np.fromiter(held.values(), np.int64, len(held)), 1 << BUCKET_BITS)
-        full = np.flatnonzero(counts)
-        longs = pa.nulls(len(full), pa.int64())
+    """Lines with the key of their set; at the end, how many sets hold a word of each bucket, by slices of buckets."""
+    counts = np.zeros(1 << BUCKET_BITS, np.uint32)
+    names = ["id", "row", "line", "key", "other", "slice", "held"]
+    kind = None
+    for part in text_parts(batches):
+        kind = part.column(0).type
+        lines = _Lines(part.column(2))
+        n = len(lines.owner)
+        if not n:
+            continue
+        take = pa.array(lines.owner)
+        own = [part.column(0).take(take), part.column(1).take(take), pa.array(lines.number, pa.int32())]
         yield pa.RecordBatch.from_arrays(
-            [longs, longs, pa.nulls(len(full), pa.int32()), longs, pa.array(full.astype(np.int32)), pa.array(counts[full].astype(np.int64))],
-            names,
+            [*own, _signed(lines.key), _signed(lines.other), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
         )
+        words = lines.hashes[np.repeat(lines.first, lines.size)]
+        found, held = np.unique(words >> np.uint64(64 - BUCKET_BITS), return_counts=True)
+        counts[found.astype(np.int64)] += held.astype(np.uint32)
+    if kind is None:
+        return
+    for number, part in enumerate(counts.reshape(-1, 1 << SLICE_BITS)):
+        at = np.flatnonzero(part)
+        if len(at):
+            packed = at.astype("<u2").tobytes() + part[at].astype("<u4").tobytes()
+            longs = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, kind), longs, pa.nulls(1, pa.int32()), longs, longs, pa.array([number], pa.int32()), pa.array([packed])], names
+            )
+
+
+def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for number, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+            packed = held.as_py()
+            n = len(packed) // 6
+            into = sums.setdefault(number, np.zeros(1 << SLICE_BITS, np.int64))
+            into[np.frombuffer(packed, "<u2", n)] += np.frombuffer(packed, "<u4", n, 2 * n)
+    for number, held in sums.items():
+        level = np.minimum(120, np.ceil(np.log2(np.maximum(held, 1)) * 4)).astype(np.int8)
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([level.tobytes()])], ["slice", "level"])
 
 
-def rarity_levels(lines: DataFrame) -> np.ndarray:
+def rarity_levels(read: DataFrame) -> np.ndarray:
     """By bucket, 0 for a word of one set and more the more sets hold it."""
-    sums = lines.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("sets").alias("n")).where("n > 1")
-    level = F.least(F.lit(120), F.ceil(F.log2("n") * 4)).cast("tinyint")
-    found = sums.select("bucket", level.alias("level")).toArrow()
-    levels = np.zeros(1 << BUCKET_BITS, np.int8)
-    levels[found["bucket"].to_numpy()] = found["level"].to_numpy()
-    return levels
+    slices = read.where("slice IS NOT NULL").select("slice", "held").repartition("slice")
+    found = slices.mapInArrow(_sum_slices, "slice int, level binary").toArrow()
+    levels = np.zeros((1 << (BUCKET_BITS - SLICE_BITS), 1 << SLICE_BITS), np.int8)
+    for number, level in zip(found["slice"].to_pylist(), found["level"].to_pylist()):
+        levels[number] = np.frombuffer(level, np.int8)
+    return levels.reshape(-1)
+
+
+def prefixes(lines: _Lines, levels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the first line of each set: line, place in the order and hash of the prefix words that other sets may hold."""
+    line = np.repeat(np.arange(len(lines.size)), lines.size)
+    chosen = lines.first[line]
+    line, word = line[chosen], lines.hashes[chosen]
+    level = levels[(word >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+    order = np.lexsort((word, line * 128 + level))
+    line, word, level = line[order], word[order], level[order]
+    size = np.where(lines.first, lines.size, 0)
+    at = np.arange(len(line)) - (np.cumsum(size) - size)[line]
+    sent = (at < prefix_length(lines.size)[line]) & (level > 0)
+    return line[sent], at[sent], word[sent]
 
 
 def _postings(source: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Prefix words of each different set: word, key, id (least), n, at, parity."""
+    """Prefix words of each different set: word, key, n and place in the order as one number, parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _Ranks(levels)
-        for batch in (b.slice(low, PART_ROWS) for b in batches for low in range(0, b.num_rows, PART_ROWS)):
-            if len(ranks) > _REMEMBERED:
-                ranks.clear()
-            seen: set[int] = set()
-            word, key, owner, size, at, parity = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                for _, words in word_sets(text.as_py()):
-                    order = sorted(map(ranks.__getitem__, words))
-                    own = sum(order) & _MASK
-                    if own in seen:
-                        continue
-                    seen.add(own)
-                    prefix = [(v & _MASK, k) for k, v in enumerate(order[: prefix_length(len(order))]) if v >> 64]
-                    if not prefix:
-                        continue
-                    bits = reduce(xor, [1 << (v & 63) for v in order])
-                    n = len(prefix)
-                    word += [v for v, _ in prefix]
-                    at += [k for _, k in prefix]
-                    key += [own] * n
-                    owner += [i] * n
-                    size += [len(order)] * n
-                    parity += [bits] * n
+        for part in text_parts(batches):
+            lines = _Lines(part.column(0))
+            if not len(lines.owner):
+                continue
+            line, at, word = prefixes(lines, levels)
+            parity = np.bitwise_xor.reduceat(np.uint64(1) << (lines.hashes & np.uint64(63)), lines.starts)
             yield pa.RecordBatch.from_arrays(
-                [_signed(word), _signed(key), batch.column(0).take(pa.array(owner, pa.int64())),
-                 pa.array(size, pa.int32()), pa.array(at, pa.int32()), _signed(parity)],
-                ["word", "key", "id", "n", "at", "parity"],
-            )
-
-    found = source.select("id", "text").mapInArrow(run, "word long, key long, id long, n int, at int, parity long")
-    return found.groupBy("word", "key").agg(
-        F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "at", "parity"))
-    )
+                [_signed(word), _signed(lines.key[line]), pa.array((lines.size[line] << 32) + at), _signed(parity[line])],
+                ["word", "key", "n_at", "parity"],
+            )
+
+    return source.select("text").mapInArrow(run, "word long, key long, n_at long, parity long")
 
 
-def _may_match(a: str, b: str) -> Column:
-    """Length, position and signature allow the similarity.
+def _may_match(n1, at1, parity1, n2, at2, parity2, least, greatest, differing):
+    """Length, position and signature allow the similarity; of columns or of arrays.
 
     The first word that two similar sets share is one of their join keys, and
     all that they share stands from there on, so both must have enough left.
     """
     num, den = SIMILAR
-    n1, n2, at1, at2 = (F.col(f"{x}.{c}") for c in ("n", "at") for x in (a, b))
-    needed = F.ceil((n1 + n2) * num / F.lit(num + den))
-    possible = F.least(n1 - at1, n2 - at2)
-    differ = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
+    # the overlap o of similar sets has (num + den) o >= num (n1 + n2)
     return (
-        (F.col(f"{a}.key") != F.col(f"{b}.key"))
-        & (den * F.least(n1, n2) >= num * F.greatest(n1, n2))
-        & (possible >= needed)
-        & (differ <= n1 + n2 - 2 * needed)
+        (den * least(n1, n2) >= num * greatest(n1, n2))
+        & ((num + den) * least(n1 - at1, n2 - at2) >= num * (n1 + n2))
+        & ((num + den) * differing(parity1, parity2) <= (den - num) * (n1 + n2))
     )
 
 
+def _columns_match(a: str, b: str) -> Column:
+    own = [
+        (F.shiftright(f"{x}.n_at", 32), F.col(f"{x}.n_at").bitwiseAND(0xFFFFFFFF), F.col(f"{x}.parity")) for x in (a, b)
+    ]
+    return _may_match(*own[0], *own[1], F.least, F.greatest, lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+
+
+def _pair_sets(rows: np.ndarray) -> np.ndarray:
+    """Pairs of keys among rows sorted by word, no word with more than STAR_FROM rows."""
+    word, key, n, at, parity = rows[0], rows[1], rows[2] >> 32, rows[2] & 0xFFFFFFFF, rows[3]
+    found = [np.zeros((2, 0), np.int64)]
+    low = np.arange(len(word))
+    for step in range(1, STAR_FROM):
+        low = low[low + step < len(word)]
+        low = low[word[low] == word[low + step]]
+        if not len(low):
+            break
+        high = low + step
+        fits = _may_match(
+            n[low], at[low], parity[low], n[high], at[high], parity[high],
+            np.minimum, np.maximum, lambda p, q: np.bitwise_count((p ^ q).view(np.uint64)).astype(np.int64),
+        )
+        found.append(np.stack([key[low[fits]], key[high[fits]]]))
+    pairs = np.concatenate(found, axis=1)
+    return np.unique(np.stack([pairs.min(0), pairs.max(0)]), axis=1) if pairs.size else pairs
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of postings sorted by word and key: the pairs of sets that may match, and the postings of frequent words as they are.
+
+    Holds one batch and the rows of its last word, at most STAR_FROM of them.
+    """
+    names = ["word", "key", "n_at", "parity", "with"]
+
+    def pairs(rows: np.ndarray) -> pa.RecordBatch:
+        x, y = _pair_sets(rows)
+        none = pa.nulls(len(x), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(x), none, none, pa.array(y)], names)
+
+    def large(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.nulls(rows.shape[1], pa.int64())], names)
+
+    waiting, frequent = np.zeros((4, 0), np.int64), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.concatenate([waiting, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+        new = np.ones(rows.shape[1], bool)
+        new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+        rows = rows[:, new]
+        # equal sets of two batches of a frequent word can stay twice; pairs of them are made different later
+        change = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+        size = np.diff(np.append(change, rows.shape[1]))
+        many = size > STAR_FROM
+        many[0] |= frequent is not None and rows[0, 0] == frequent
+        frequent = rows[0, -1] if many[-1] else None
+        each = np.repeat(many, size)
+        if each.any():
+            yield large(rows[:, each])
+        last = 0 if many[-1] else int(size[-1])
+        waiting = rows[:, rows.shape[1] - last :].copy()
+        each[rows.shape[1] - last :] = True
+        if not each.all():
+            yield pairs(rows[:, ~each])
+    if waiting.size:
+        yield pairs(waiting)
+
+
 def _pairs(joined: DataFrame) -> DataFrame:
-    low, high = F.least("a.key", "b.key"), F.greatest("a.key", "b.key")
-    return joined.select(low.alias("x"), high.alias("y")).distinct()
+    return joined.select(F.least("a.key", "b.key").alias("x"), F.greatest("a.key", "b.key").alias("y"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -203,83 +298,89 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _later(source: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Keys that have an earlier verified match among the pairs."""
+    """(key, other) of the classes that have an earlier verified match among the pairs."""
     num, den = SIMILAR
-    pairs = staged(pairs)
-    wanted = staged(
-        pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct().join(first, "key")
-    )
-    by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("first.line", "key")).alias("wanted"))
-    lines = source.join(_small(by_row), "row").select("row", "text", F.explode("wanted").alias("w"))
-    line = F.get(F.split("text", "\n"), F.col("w.line"))
-    words = F.array_distinct(F.filter(F.split(ascii_lower(line), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    pairs = staged(pairs.distinct())
+    named = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
+    wanted = staged(first.join(_small(named), "key"))
+    line = F.struct("first.line", "key", "other", "first")
+    by_row = wanted.groupBy("first.row").agg(F.collect_list(line).alias("wanted"))
     # rows that repeat a document give the same line again
-    texts = staged(lines.groupBy(F.col("w.key").alias("key")).agg(F.first(words).alias("words")).join(wanted.select("key", "first"), "key"))
-    sides = [texts.select(F.col("key").alias(k), F.struct("first", "words").alias(f"of_{k}")) for k in "xy"]
+    lines = source.join(_small(by_row), "row").select(F.split("text", "\n").alias("parts"), "wanted")
+    found = lines.select(F.explode(F.transform("wanted", lambda w: F.struct(w.alias("w"), F.get("parts", w["line"]).alias("line")))).alias("l"))
+    words = F.array_distinct(F.filter(F.split(ascii_lower(F.col("l.line")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    key, other, place = (F.col(f"l.w.{c}").alias(c) for c in ("key", "other", "first"))
+    texts = staged(found.groupBy(key, other).agg(F.first(place).alias("first"), F.first(words).alias("words")))
+    sides = [texts.select(F.col("key").alias(k), F.struct("key", "other", "first", "words").alias(f"of_{k}")) for k in "xy"]
     matched = pairs.join(sides[0], "x").join(sides[1], "y")
     shared = F.size(F.array_intersect("of_x.words", "of_y.words"))
     either = F.size("of_x.words") + F.size("of_y.words") - shared
-    later = staged(
-        matched.where(den * shared >= num * either)
-        .select(F.when(F.col("of_x.first") > F.col("of_y.first"), F.col("x")).otherwise(F.col("y")).alias("key"))
-        .distinct()
-    )
+    after = F.when(F.col("of_x.first") > F.col("of_y.first"), F.col("of_x")).otherwise(F.col("of_y"))
+    later = staged(matched.where(den * shared >= num * either).select(after.alias("l")).select("l.key", "l.other").distinct())
     for done in (pairs, wanted, texts):
         drop_staged(done)
     return later
 
 
+def _matched(source: DataFrame, first: DataFrame, postings: DataFrame) -> DataFrame:
+    """(key, other) of the classes with an earlier similar one."""
+    found = staged(postings.repartition("word").sortWithinPartitions("word", "key").mapInArrow(
+        _meet, "word long, key long, n_at long, parity long, with long"
+    ))
+    pairs = found.where("word IS NULL").select(F.col("key").alias("x"), F.col("with").alias("y"))
+    large = found.where("word IS NOT NULL").drop("with").join(first.select("key", F.col("first").alias("place")), "key")
+    large = staged(large)
+    earliest = F.min(F.struct("place", "key", "n_at", "parity"))
+    pivots = staged(large.groupBy("word").agg(earliest.alias("p")).select("word", "p.*"))
+    a, b = _small(pivots).alias("a"), large.alias("b")
+    word, apart = F.col("a.word") == F.col("b.word"), F.col("a.key") != F.col("b.key")
+    settled = _later(source, first, pairs.union(_pairs(a.join(b, word & apart & _columns_match("a", "b")))))
+
+    marked = large.join(_small(settled.select("key", F.lit(True).alias("done")).distinct()), "key", "left")
+    a, b = marked.alias("a"), marked.alias("b")
+    # "done" is asked in a term of both sides, so that both read one exchange
+    order = (F.col("a.place") <= F.col("b.place")) & (F.col("b.done").isNull() | (F.col("a.done") & (F.col("a.n_at") < 0)))
+    more = _later(source, first, _pairs(a.join(b, word & apart & order & _columns_match("a", "b"))))
+    matched = staged(settled.union(more).distinct())
+    for done in (found, large, pivots, settled, more):
+        drop_staged(done)
+    return matched
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without repeated lines, with n_lines and removed_lines.
 
     ``removed_lines`` holds the numbers, from 0, of the lines that went; the text
     keeps the others.  Rows that are equal in id and text count as one document
-    and do not take each other's lines.  The id is a whole number; null ids come
-    first, and rows of one id are ordered by a hash of the text.  A null text
-    stays null and has no lines.  Input columns named like the two results are
-    replaced.
+    and do not take each other's lines.  The id is of any type with an order;
+    null ids come first, and rows of one id are ordered by a hash of the text.
+    A null text stays null and has no lines.  Input columns named like the two
+    results are replaced, all others stay.
     """
     docs = docs.drop("n_lines", "removed_lines")
     row = F.xxhash64(F.col(id_col), F.col(text_col))
-    source = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), row.alias("row"), F.col(text_col).alias("text")
-    )
-    read = staged(source.mapInArrow(_read_lines, "id long, row long, line int, key long, bucket int, sets long"))
-    lines = read.where("key IS NOT NULL").select("key", "row", F.struct("id", "row", "line").alias("place"))
-    first = staged(
-        lines.groupBy("key").agg(F.min("place").alias("first")).select("key", F.col("first.row").alias("row"), "first")
-    )
-    postings = staged(_postings(source, rarity_levels(read)))
-
-    earliest = F.min(F.struct("id", "key", "n", "at", "parity"))
-    large = staged(postings.groupBy("word").count().where(F.col("count") > STAR_FROM).select("word"))
-    held = postings.join(_small(large), "word").groupBy("word").agg(earliest.alias("p"))
-    pivots = staged(held.select("word", "p.*"))
-    a, b = _small(pivots).alias("a"), postings.alias("b")
-    near_first = a.join(b, (F.col("a.word") == F.col("b.word")) & _may_match("a", "b"))
-    settled = _later(source, first, _pairs(near_first))
-
-    marked = postings.join(_small(settled.withColumn("done", F.lit(True))), "key", "left")
-    a, b = marked.alias("a"), marked.alias("b")
-    # "done" is asked in a term of both sides, so that both read one exchange
-    order = (F.col("a.id") <= F.col("b.id")) & (F.col("b.done").isNull() | (F.col("a.done") & (F.col("a.n") < 0)))
-    rest = a.join(b, (F.col("a.word") == F.col("b.word")) & order & _may_match("a", "b"))
-    more = _later(source, first, _pairs(rest))
-
-    matched = settled.union(more).distinct().withColumn("done", F.lit(True))
-    judged = lines.join(first.select("key", "first").join(matched, "key", "left"), "key")
-    gone = judged.where(F.col("done") | (F.col("place") > F.col("first")))
-    removed = staged(gone.groupBy("row").agg(F.array_sort(F.collect_set("place.line")).alias("removed_lines")))
-    for done in (read, large, pivots, postings, settled, more):
+    source = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    read = staged(source.mapInArrow(_read_lines, f"id {kind}, row long, line int, key long, other long, slice int, held binary"))
+    lines = read.where("key IS NOT NULL").select("key", "other", F.struct("id", "row", "line").alias("place"))
+    first = staged(lines.groupBy("key", "other").agg(F.min("place").alias("first")))
+    matched = _matched(source, first, _postings(source, rarity_levels(read)))
+
+    # the other lines of a class that has an earlier one go, and so does the first of a matched class
+    judged = lines.join(first.join(matched.withColumn("done", F.lit(True)), ["key", "other"], "left"), ["key", "other"])
+    gone = judged.where(F.col("done") | ((F.col("place") > F.col("first"))))
+    removed = staged(gone.groupBy("place.row").agg(F.array_sort(F.collect_set("place.line")).alias("removed_lines")))
+    for done in (read, first, matched):
         drop_staged(done)
 
-    parts = F.split(F.col(text_col), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "removed_lines")
-    text = F.when(
-        F.size("removed_lines") > 0, F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
-    ).otherwise(F.col(text_col))
-    none = F.array().cast("array<int>")
-    found = docs.withColumn("_line_row", row).join(removed.withColumnRenamed("row", "_line_row"), "_line_row", "left").drop("_line_row")
-    found = found.withColumn("removed_lines", F.coalesce("removed_lines", none))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts))
-    return found.withColumn("n_lines", n_lines).withColumn(text_col, text)
+    own = F.struct(*(F.col(c) for c in docs.columns)).alias("own")
+    found = docs.select(own, row.alias("row")).join(removed, "row", "left")
+    text = F.col("own").getField(text_col)
+    parts = F.split(text, "\n")
+    kept_lines = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "removed_lines")
+    left = F.when(
+        F.size("removed_lines") > 0, F.array_join(F.transform(kept_lines, lambda i: F.get(parts, i)), "\n")
+    ).otherwise(text)
+    columns = [(left if c == text_col else F.col("own").getField(c)).alias(c) for c in docs.columns]
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(parts))
+    return found.select(*columns, F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"), n_lines.alias("n_lines"))

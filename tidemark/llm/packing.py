@@ -15,13 +15,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import kept
+
 #: Token ids of so many different words are remembered by a Python worker.
 CACHE_WORDS = 1_000_000
 FLUSH_BYTES = 8 << 20
@@ -96,9 +97,8 @@ class Encoder:
         ]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept(f"tokenizer {path}", lambda: Encoder(path))
 
 
 def pieces(tokens: int, longest: int) -> list[tuple[int, int]]:
