@@ -131,9 +131,10 @@ def test_line_query(spark):
         assert found[i].n_lines == len(text.split("\n"))
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 500_000])
-def test_lines_of_hot_groups(docs, clashing, monkeypatch, broadcast_rows):
+@pytest.mark.parametrize("broadcast_rows, meet", [(0, 1024), (0, 4), (500_000, 4)])
+def test_lines_of_hot_groups(docs, clashing, monkeypatch, broadcast_rows, meet):
     monkeypatch.setattr(linededup, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(linededup, "MEET", meet)
     rng = random.Random(5)
     base = [f"word{i}" for i in range(20)]
     rows = []
@@ -190,7 +191,7 @@ def test_meeting_over_batches(step):
     names = ["word", "key", "n_at", "parity"]
     batches = [pa.table(list(map(pa.array, zip(*rows[i : i + step]))), names).to_batches()[0] for i in range(0, len(rows), step)]
     pairs, large = set(), set()
-    for batch in linededup._meet(iter(batches)):
+    for batch in linededup._meet(iter(batches), 32):
         for r in batch.to_pylist():
             pairs.add((r["key"], r["with"])) if r["word"] is None else large.add((r["word"], r["key"]))
     keys = {w: sorted({r[1] for r in rows if r[0] == w}) for w, *_ in rows}
@@ -198,6 +199,20 @@ def test_meeting_over_batches(step):
     assert pairs == {(a, b) for own in keys.values() if len(own) <= 32 for a in own for b in own if a < b}
 
 
+def test_order_by_rarity():
+    rng = np.random.default_rng(1)
+    line, level = np.sort(rng.integers(0, 50, 4000)), rng.integers(0, 3, 4000)
+    for word in (rng.integers(0, 1 << 63, 4000).astype(np.uint64), np.arange(4000, 0, -1).astype(np.uint64)):
+        assert (linededup._by_rarity(line, level, word) == np.lexsort((word, level, line))).all()
+
+
+def test_lengths_apart_do_not_meet():
+    n = np.array([8, 9, 10, 10, 11, 13, 20, 24, 26])
+    rows = np.stack([np.ones(9, np.int64), np.arange(9), n << 32, np.zeros(9, np.int64)])
+    found = {tuple(p) for p in linededup._pair_sets(rows).T.tolist()}
+    assert found == {(a, b) for a in range(9) for b in range(a + 1, 9) if 5 * n[a] >= 4 * n[b]}
+
+
 def test_parts_are_bounded(monkeypatch):
     monkeypatch.setattr(linededup, "PART_BYTES", 10)
     monkeypatch.setattr(linededup, "PART_ROWS", 3)

@@ -13,7 +13,8 @@ position of the shared word and a 64-bit parity signature (each a bound on the
 overlap that never loses a pair) prune, words of one set send nothing on.  What
 is left is verified on the words themselves.
 
-A prefix word that more than ``STAR_FROM`` sets hold is not paired there: first
+A task walks the sets of a word by length, so a set meets only those within the
+wanted ratio.  A word that more than ``MEET`` sets hold is not paired there: first
 every set meets the earliest holder only, which settles large groups of near
 copies with one comparison per word; only sets still without an earlier match
 then meet all earlier ones.  A removed line so needs one match, and a group of g
@@ -42,7 +43,8 @@ SIMILAR = (4, 5)
 BUCKET_BITS = 22
 #: Buckets of one row on their way to the sums.
 SLICE_BITS = 16
-STAR_FROM = 32
+#: Sets of one word that a task pairs by itself.
+MEET = 1024
 #: Joined without a shuffle of the other side up to so many rows of a few numbers.
 BROADCAST_ROWS = 500_000
 _REMEMBERED = 400_000
@@ -136,8 +138,7 @@ def _read_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [*own, _signed(lines.key), _signed(lines.other), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
         )
         words = lines.hashes[np.repeat(lines.first, lines.size)]
-        found, held = np.unique(words >> np.uint64(64 - BUCKET_BITS), return_counts=True)
-        counts[found.astype(np.int64)] += held.astype(np.uint32)
+        np.add.at(counts, (words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.uint32(1))
     if kind is None:
         return
     for number, part in enumerate(counts.reshape(-1, 1 << SLICE_BITS)):
@@ -173,13 +174,23 @@ def rarity_levels(read: DataFrame) -> np.ndarray:
     return levels.reshape(-1)
 
 
+def _by_rarity(line: np.ndarray, level: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Order by line, level and hash: of one number with the first bits of the hash, where these tell all words apart."""
+    if len(line) and line[-1] < 1 << 18:
+        value = ((line * 128 + level).astype(np.uint64) << np.uint64(39)) + (word >> np.uint64(25))
+        order = np.argsort(value)
+        if (np.diff(value[order]) != 0).all():
+            return order
+    return np.lexsort((word, line * 128 + level))
+
+
 def prefixes(lines: _Lines, levels: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of the first line of each set: line, place in the order and hash of the prefix words that other sets may hold."""
     line = np.repeat(np.arange(len(lines.size)), lines.size)
     chosen = lines.first[line]
     line, word = line[chosen], lines.hashes[chosen]
     level = levels[(word >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-    order = np.lexsort((word, line * 128 + level))
+    order = _by_rarity(line, level, word)
     line, word, level = line[order], word[order], level[order]
     size = np.where(lines.first, lines.size, 0)
     at = np.arange(len(line)) - (np.cumsum(size) - size)[line]
@@ -228,13 +239,14 @@ def _columns_match(a: str, b: str) -> Column:
 
 
 def _pair_sets(rows: np.ndarray) -> np.ndarray:
-    """Pairs of keys among rows sorted by word, no word with more than STAR_FROM rows."""
+    """Pairs of keys among rows sorted by word and length, no word with many rows."""
     word, key, n, at, parity = rows[0], rows[1], rows[2] >> 32, rows[2] & 0xFFFFFFFF, rows[3]
     found = [np.zeros((2, 0), np.int64)]
     low = np.arange(len(word))
-    for step in range(1, STAR_FROM):
+    num, den = SIMILAR
+    for step in range(1, len(word)):
         low = low[low + step < len(word)]
-        low = low[word[low] == word[low + step]]
+        low = low[(word[low] == word[low + step]) & (num * n[low + step] <= den * n[low])]
         if not len(low):
             break
         high = low + step
@@ -244,13 +256,17 @@ def _pair_sets(rows: np.ndarray) -> np.ndarray:
         )
         found.append(np.stack([key[low[fits]], key[high[fits]]]))
     pairs = np.concatenate(found, axis=1)
-    return np.unique(np.stack([pairs.min(0), pairs.max(0)]), axis=1) if pairs.size else pairs
+    pairs = np.stack([pairs.min(0, initial=np.iinfo(np.int64).max), pairs.max(0, initial=np.iinfo(np.int64).min)])
+    pairs = pairs[:, np.lexsort(pairs)]
+    new = np.ones(pairs.shape[1], bool)
+    new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(0)
+    return pairs[:, new]
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by word and key: the pairs of sets that may match, and the postings of frequent words as they are.
+def _meet(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of postings sorted by word, n_at and key: the pairs of sets that may match, and the postings of frequent words as they are.
 
-    Holds one batch and the rows of its last word, at most STAR_FROM of them.
+    Holds one batch and the rows of its last word, at most ``most`` of them.
     """
     names = ["word", "key", "n_at", "parity", "with"]
 
@@ -273,7 +289,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # equal sets of two batches of a frequent word can stay twice; pairs of them are made different later
         change = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
         size = np.diff(np.append(change, rows.shape[1]))
-        many = size > STAR_FROM
+        many = size > most
         many[0] |= frequent is not None and rows[0, 0] == frequent
         frequent = rows[0, -1] if many[-1] else None
         each = np.repeat(many, size)
@@ -324,8 +340,9 @@ def _later(source: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _matched(source: DataFrame, first: DataFrame, postings: DataFrame) -> DataFrame:
     """(key, other) of the classes with an earlier similar one."""
-    found = staged(postings.repartition("word").sortWithinPartitions("word", "key").mapInArrow(
-        _meet, "word long, key long, n_at long, parity long, with long"
+    most = MEET
+    found = staged(postings.repartition("word").sortWithinPartitions("word", "n_at", "key").mapInArrow(
+        lambda batches: _meet(batches, most), "word long, key long, n_at long, parity long, with long"
     ))
     pairs = found.where("word IS NULL").select(F.col("key").alias("x"), F.col("with").alias("y"))
     large = found.where("word IS NOT NULL").drop("with").join(first.select("key", F.col("first").alias("place")), "key")
@@ -374,7 +391,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         drop_staged(done)
 
     own = F.struct(*(F.col(c) for c in docs.columns)).alias("own")
-    found = docs.select(own, row.alias("row")).join(removed, "row", "left")
+    n_removed = removed.agg(F.sum(F.size("removed_lines"))).first()[0] or 0
+    found = docs.select(own, row.alias("row")).join(F.broadcast(removed) if n_removed <= BROADCAST_ROWS else removed, "row", "left")
     text = F.col("own").getField(text_col)
     parts = F.split(text, "\n")
     kept_lines = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "removed_lines")
