@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import neardedup
+from tidemark.llm import neardedup, simhash
 
 
 def shingle_set(text):
@@ -69,3 +69,10 @@ def test_line_stage_drops_only_what_is_empty(spark, docs):
     assert sorted(left) == [1, 2, 3, 4, 6, 7]
     assert (left[2].text, left[2].n_chars) == (own, len(own))
     assert left[3].text == "and so much more is only written here" and left[4].text == repeated
+
+
+@pytest.mark.parametrize("operator", [neardedup, simhash])
+def test_keep_one_with_a_clashing_name(spark, operator):
+    rows = [(1, "a b c d e f", "z"), (2, "a b c d e f", "z"), (3, "other words stand here now", "z"), (None, "x y z", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, stays string")
+    assert sorted((r.doc_id or 0, r.stays) for r in operator.keep_one(docs).collect()) == [(0, "z"), (1, "z"), (3, "z")]

@@ -170,5 +170,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
     groups = near_duplicates(docs, id_col, text_col, shingle)
     stays = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stays")).distinct()
-    kept = docs.join(stays, F.col(id_col).eqNullSafe(F.col("stays")), "left_semi")
+    kept = docs.join(stays, docs[id_col].eqNullSafe(stays["stays"]), "left_semi")
     return kept.dropDuplicates([id_col])
