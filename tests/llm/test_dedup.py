@@ -209,10 +209,15 @@ def test_order_by_rarity():
 def test_lengths_apart_do_not_meet():
     n = np.array([8, 9, 10, 10, 11, 13, 20, 24, 26])
     rows = np.stack([np.ones(9, np.int64), np.arange(9), n << 32, np.zeros(9, np.int64)])
-    found = {tuple(p) for p in linededup._pair_sets(rows).T.tolist()}
+    found = {(a, b) for a, b, _ in linededup._pair_sets(rows).T.tolist()}
     assert found == {(a, b) for a in range(9) for b in range(a + 1, 9) if 5 * n[a] >= 4 * n[b]}
 
 
+def test_pairs_tell_how_many_words_they_share():
+    rows = np.stack([np.array([1, 1, 2, 2, 2]), np.array([7, 5, 5, 7, 6]), np.full(5, 10 << 32), np.zeros(5, np.int64)])
+    assert linededup._pair_sets(rows).T.tolist() == [[5, 6, 1], [5, 7, 2], [6, 7, 1]]
+
+
 def test_parts_are_bounded(monkeypatch):
     monkeypatch.setattr(linededup, "PART_BYTES", 10)
     monkeypatch.setattr(linededup, "PART_ROWS", 3)

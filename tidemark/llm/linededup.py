@@ -11,7 +11,10 @@ similarity share one of their rarest n - ceil(0.8 n) + 1.  These prefix words
 are dealt by word, once, and each task pairs the sets that share one: length,
 position of the shared word and a 64-bit parity signature (each a bound on the
 overlap that never loses a pair) prune, words of one set send nothing on.  What
-is left is verified on the words themselves.
+is left is verified: first one pair of each class, the one with most prefix words
+in common, then all pairs of the classes that it did not settle.  A pair is
+compared by 15-bit hashes of its words, which never make two sets look less
+alike than they are; only what passes meets the words themselves.
 
 A task walks the sets of a word by length, so a set meets only those within the
 wanted ratio.  A word that more than ``MEET`` sets hold is not paired there: first
@@ -239,7 +242,7 @@ def _columns_match(a: str, b: str) -> Column:
 
 
 def _pair_sets(rows: np.ndarray) -> np.ndarray:
-    """Pairs of keys among rows sorted by word and length, no word with many rows."""
+    """Pairs of keys, and how many words each shares, among rows sorted by word and length, no word with many rows."""
     word, key, n, at, parity = rows[0], rows[1], rows[2] >> 32, rows[2] & 0xFFFFFFFF, rows[3]
     found = [np.zeros((2, 0), np.int64)]
     low = np.arange(len(word))
@@ -260,20 +263,22 @@ def _pair_sets(rows: np.ndarray) -> np.ndarray:
     pairs = pairs[:, np.lexsort(pairs)]
     new = np.ones(pairs.shape[1], bool)
     new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(0)
-    return pairs[:, new]
+    at = np.flatnonzero(new)
+    return np.concatenate([pairs[:, at], np.diff(np.append(at, len(new)))[None]])
 
 
 def _meet(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by word, n_at and key: the pairs of sets that may match, and the postings of frequent words as they are.
+    """Of postings sorted by word, n_at and key: the pairs of sets that may match, with the words they share as n_at, and the
+    postings of frequent words as they are.
 
     Holds one batch and the rows of its last word, at most ``most`` of them.
     """
     names = ["word", "key", "n_at", "parity", "with"]
 
     def pairs(rows: np.ndarray) -> pa.RecordBatch:
-        x, y = _pair_sets(rows)
+        x, y, shared = _pair_sets(rows)
         none = pa.nulls(len(x), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.array(x), none, none, pa.array(y)], names)
+        return pa.RecordBatch.from_arrays([none, pa.array(x), pa.array(shared), none, pa.array(y)], names)
 
     def large(rows: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.nulls(rows.shape[1], pa.int64())], names)
@@ -305,7 +310,7 @@ def _meet(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.least("a.key", "b.key").alias("x"), F.greatest("a.key", "b.key").alias("y"))
+    return joined.select(F.least("a.key", "b.key").alias("x"), F.greatest("a.key", "b.key").alias("y"), F.lit(1).alias("shared"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -315,8 +320,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _later(source: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
     """(key, other) of the classes that have an earlier verified match among the pairs."""
-    num, den = SIMILAR
-    pairs = staged(pairs.distinct())
+    pairs = staged(pairs.groupBy("x", "y").agg(F.sum("shared").alias("shared")))
     named = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
     wanted = staged(first.join(_small(named), "key"))
     line = F.struct("first.line", "key", "other", "first")
@@ -326,25 +330,59 @@ def _later(source: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
     found = lines.select(F.explode(F.transform("wanted", lambda w: F.struct(w.alias("w"), F.get("parts", w["line"]).alias("line")))).alias("l"))
     words = F.array_distinct(F.filter(F.split(ascii_lower(F.col("l.line")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     key, other, place = (F.col(f"l.w.{c}").alias(c) for c in ("key", "other", "first"))
-    texts = staged(found.groupBy(key, other).agg(F.first(place).alias("first"), F.first(words).alias("words")))
-    sides = [texts.select(F.col("key").alias(k), F.struct("key", "other", "first", "words").alias(f"of_{k}")) for k in "xy"]
-    matched = pairs.join(sides[0], "x").join(sides[1], "y")
-    shared = F.size(F.array_intersect("of_x.words", "of_y.words"))
-    either = F.size("of_x.words") + F.size("of_y.words") - shared
-    after = F.when(F.col("of_x.first") > F.col("of_y.first"), F.col("of_x")).otherwise(F.col("of_y"))
-    later = staged(matched.where(den * shared >= num * either).select(after.alias("l")).select("l.key", "l.other").distinct())
-    for done in (pairs, wanted, texts):
+    texts = found.groupBy(key, other).agg(F.first(place).alias("first"), F.first(words).alias("words"))
+    sketch = F.array_distinct(F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(0x7FFF).cast("short")))
+    texts = staged(texts.withColumn("sketch", sketch))
+    classes = wanted.select("key", "other", "first")
+    sides = [classes.select(F.col("key").alias(k), F.struct("first", "key", "other").alias(f"of_{k}")) for k in "xy"]
+    placed = pairs.join(sides[0], "x").join(sides[1], "y")
+    late, early = F.greatest("of_x", "of_y"), F.least("of_x", "of_y")
+    placed = staged(placed.select(late["key"].alias("key"), late["other"].alias("other"), early["key"].alias("early"), "shared"))
+    # most pairs are of near copies, so one trial, of the partner with most prefix words in common, settles most classes
+    trial = placed.groupBy("key", "other").agg(F.max_by("early", "shared").alias("early"))
+    once = _similar(trial, texts)
+    others = placed.drop("shared").join(_small(once), ["key", "other"], "left_anti")
+    again = _similar(others, texts)
+    later = staged(once.union(again).distinct())
+    for done in (pairs, wanted, texts, placed, once, again):
         drop_staged(done)
     return later
 
 
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, other) of the pairs' classes that are similar to the earlier class of the pair; written."""
+    num, den = SIMILAR
+    pairs = staged(pairs)
+
+    def both(pairs: DataFrame, *columns) -> DataFrame:
+        """The pairs with these columns of their classes, read for the classes of the pairs alone."""
+        named = pairs.select(F.explode(F.array("key", "early")).alias("key")).distinct()
+        own = texts.join(_small(named), "key", "left_semi").select("key", "other", "first", *columns)
+        early = own.drop("other").withColumnsRenamed({c: f"early_{c}" for c in own.columns if c != "key"})
+        found = pairs.join(early.withColumnRenamed("key", "early"), "early").join(own, ["key", "other"])
+        return found.where(F.col("early_first") < F.col("first"))
+
+    def shared(column: str) -> Column:
+        return F.size(F.array_intersect(column, f"early_{column}"))
+
+    near = both(pairs, F.size("words").alias("n"), "sketch")
+    apart = F.size("sketch") + F.size("early_sketch") - 2 * shared("sketch")
+    near = staged(near.where((num + den) * apart <= (den - num) * (F.col("n") + F.col("early_n"))).select("key", "other", "early"))
+    either = F.size("words") + F.size("early_words") - shared("words")
+    matched = both(near, "words").where(den * shared("words") >= num * either)
+    found = staged(matched.select("key", "other").distinct())
+    for done in (pairs, near):
+        drop_staged(done)
+    return found
+
+
 def _matched(source: DataFrame, first: DataFrame, postings: DataFrame) -> DataFrame:
     """(key, other) of the classes with an earlier similar one."""
     most = MEET
     found = staged(postings.repartition("word").sortWithinPartitions("word", "n_at", "key").mapInArrow(
         lambda batches: _meet(batches, most), "word long, key long, n_at long, parity long, with long"
     ))
-    pairs = found.where("word IS NULL").select(F.col("key").alias("x"), F.col("with").alias("y"))
+    pairs = found.where("word IS NULL").select(F.col("key").alias("x"), F.col("with").alias("y"), F.col("n_at").alias("shared"))
     large = found.where("word IS NOT NULL").drop("with").join(first.select("key", F.col("first").alias("place")), "key")
     large = staged(large)
     earliest = F.min(F.struct("place", "key", "n_at", "parity"))
