@@ -49,6 +49,21 @@ def test_groups_stay_together_within_tolerance(docs):
     assert all(len(s) == 1 for s in home.values())
 
 
+def test_ranges_are_bounded():
+    assert sharding.range_count(0, 8, 1 << 23) == 8
+    assert sharding.range_count((1 << 26) + 1, 8, 1 << 23) == 16
+    assert sharding.range_count(10**14, 8, sharding.RANGE_BYTES) == 65_536
+    assert sharding.range_count(10**14, 1000, sharding.RANGE_BYTES) == 65_000
+    assert sharding.range_count(10**14, 100_000, sharding.RANGE_BYTES) == 100_000
+
+
+def test_few_ranges_keep_the_law(docs, monkeypatch):
+    monkeypatch.setattr(sharding, "MAX_RANGES", 12)
+    found = sharding.shard(docs(*(f"text {i} " * (i % 40) for i in range(800))), 4, range_bytes=64).collect()
+    assert len(found) == 800
+    check_shards(found, 4, 2 * max(r.size for r in found))
+
+
 def test_no_rows(docs):
     none = docs("x").limit(0)
     assert sharding.shard(none).collect() == []

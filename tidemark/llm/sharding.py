@@ -9,9 +9,10 @@ splitters.  Probes lie between texts while that is possible, so equal texts
 are separated only if they outweigh the tolerance.
 
 Every shard is cut further into ranges of about ``range_bytes``, which are the
-units of the exchange: rows move once, and a range is one small sort however
-many copies a text has.  The driver holds a few numbers per range; at 100 TB
-ranges of 1 GB are 100,000 of them.
+units of the exchange: rows move once, and a range is one sort however many
+copies a text has.  The driver and each task hold a few numbers per range, so
+there are at most ``MAX_RANGES``; beyond half a terabyte ranges get larger
+instead, at 100 TB 1.5 GB.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ ROW_BITS = 23
 KEYS = 1 << 63
 TOLERANCE = 0.001
 RANGE_BYTES = 8 << 20
+MAX_RANGES = 1 << 16
 MAX_PROBES = 1 << 16
 
 _COUNTS = "bucket int, bytes long, rows long, first long, last long"
@@ -99,6 +101,12 @@ def probes_in(low: int, high: int, count: int) -> list[int]:
     return [step * (first + total * (2 * i + 1) // (2 * count)) for i in range(count)]
 
 
+def range_count(total: int, shards: int, range_bytes: int) -> int:
+    """How many ranges all shards have, the same number each."""
+    most = max(1, MAX_RANGES // shards)
+    return shards * min(most, max(1, -(-total // (shards * range_bytes))))
+
+
 def find_splitters(keyed: DataFrame, total: int, shards: int, ranges: int, tolerance: float) -> list[int]:
     """Keys that part the rows into ranges; every (ranges / shards)-th ends a shard."""
     per_shard = ranges // shards
@@ -154,7 +162,7 @@ def shard(
     keyed = staged(rows.withColumn("_key", F.shiftleft(text_bits, ROW_BITS).bitwiseOR(row_bits)))
 
     total = keyed.agg(F.sum("_size")).first()[0] or 0
-    ranges = shards * max(1, -(-total // (shards * range_bytes)))
+    ranges = range_count(total, shards, range_bytes)
     splitters = find_splitters(keyed, total, shards, ranges, tolerance) if total else []
     counted = histogram(keyed, splitters) if total else {}
     per_shard = ranges // shards
