@@ -325,8 +325,10 @@ def _later(source: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = staged(first.join(_small(named), "key"))
     line = F.struct("first.line", "key", "other", "first")
     by_row = wanted.groupBy("first.row").agg(F.collect_list(line).alias("wanted"))
+    # its lists are as long in all as the table of classes, whose rows are what must be few
+    by_row = F.broadcast(by_row) if wanted.count() <= BROADCAST_ROWS else by_row
     # rows that repeat a document give the same line again
-    lines = source.join(_small(by_row), "row").select(F.split("text", "\n").alias("parts"), "wanted")
+    lines = source.join(by_row, "row").select(F.split("text", "\n").alias("parts"), "wanted")
     found = lines.select(F.explode(F.transform("wanted", lambda w: F.struct(w.alias("w"), F.get("parts", w["line"]).alias("line")))).alias("l"))
     words = F.array_distinct(F.filter(F.split(ascii_lower(F.col("l.line")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     key, other, place = (F.col(f"l.w.{c}").alias(c) for c in ("key", "other", "first"))
