@@ -52,6 +52,18 @@ def test_stage_drops_near_copies(spark, docs, clashing, monkeypatch, star_from):
     assert corpus_pipeline.one_of_each_group(spark, docs("x").limit(0), "").collect() == []
 
 
+def test_stage_drops_what_fingerprints_link(spark, docs):
+    said = "one two three four five six seven " * 50
+    tail = " ".join(f"t{i}" for i in range(20))
+    # the majority of the shingles is the same, the sets of the shingles are not
+    assert simhash.fingerprint(said) == simhash.fingerprint(said + tail)
+    assert 5 * len(shingle_set(said) & shingle_set(said + tail)) < 4 * len(shingle_set(said) | shingle_set(said + tail))
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, said, "s"), (2, said + tail, "s"), (3, " ".join(words), "s"), (4, " ".join([*words[:-1], "other"]), "s")]
+    found = corpus_pipeline.one_of_each_group(spark, docs(*rows), "").collect()
+    assert sorted(r.doc_id for r in found) == [1, 3]
+
+
 def test_line_stage_drops_only_what_is_empty(spark, docs):
     quoted = [" ".join(f"q{i}x{j}" for j in range(30)) for i in range(6)]
     # four fifths are quoted, and it is the first to hold a line that a later document repeats

@@ -20,7 +20,7 @@ shingles, which must only be the same everywhere: no result depends on it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ SHINGLE = 5
 BUCKET_BITS = 20
 STAR_FROM = 32
 RARITY_OF = 8
+#: A frame of columns row and text to one of (row, component_id): groups found by another method.
+Groups = Callable[[DataFrame], DataFrame]
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -147,12 +149,22 @@ def _verified(source: DataFrame, classes: DataFrame, joined: DataFrame) -> DataF
     return edges
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _grouped(own: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): edges that connect the keys of each group, from its smallest key to the others."""
+    keys = own.select("row", "key").join(groups.select("row", "component_id"), "row").select("component_id", "key").distinct()
+    least = keys.groupBy("component_id").agg(F.min("key").alias("a"))
+    return keys.join(least, "component_id").where("a < key").select("a", F.col("key").alias("b"))
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: Groups | None = None
+) -> DataFrame:
     """One row per document: id and component_id, the smallest id that can be reached over similar documents.
 
-    A null text counts as empty.  Repeated rows are returned each.  A null id is
-    never a component's name unless all its members are null.  An empty table
-    gives no rows; other columns are not read.
+    ``also`` gives further groups, whose documents are linked, too.  A null text
+    counts as empty.  Repeated rows are returned each.  A null id is never a
+    component's name unless all its members are null.  An empty table gives no
+    rows; other columns are not read.
     """
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     source = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("text"))
@@ -172,6 +184,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     a, b = known.alias("a"), known.alias("b")
     apart = (F.col("a.root") != F.col("b.root")) & (F.col("a.key") < F.col("b.key"))
     edges = star.unionByName(_verified(source, classes, a.join(b, apart & _may_match())))
+    if also is not None:
+        edges = edges.unionByName(_grouped(own, also(source.select("row", "text"))))
 
     named = classes.join(components(edges), classes["key"] == F.col("node"), "left").select(
         "key", "least", F.coalesce("root", "key").alias("root")
@@ -181,13 +195,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select(F.col("id").alias(id_col), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: Groups | None = None) -> DataFrame:
     """The documents, one of each group: that with the smallest id.
 
     Rows that repeat an id count as one document.  Of a group without any id one
-    row stays.
+    row stays.  ``also`` is that of ``near_groups``.
     """
-    groups = near_groups(docs, id_col, text_col)
+    groups = near_groups(docs, id_col, text_col, also)
     stays = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stays")).distinct()
     kept = docs.join(stays, docs[id_col].eqNullSafe(stays["stays"]), "left_semi")
     return kept.dropDuplicates([id_col])
