@@ -37,6 +37,25 @@ def test_fact_does_not_pay_for_distinct_counts(spark):
     assert "Expand" not in plan(queries.fact_orders(spark, SF))
 
 
+def test_dealt_totals_expand_no_item(spark, frame):
+    rows = [("o1", "p1", "s1", 3), ("o1", "p1", "s2", 5), ("o1", None, "s2", None), ("o2", None, None, 7), (None, "p2", "s1", 1), (None, "p3", "s1", 2)]
+    items = frame(rows, "order_id string, product_id string, seller_id string, n int").select(
+        "order_id", "product_id", "seller_id", F.col("n").cast("decimal(18,2)").alias("price"),
+        (F.col("n") / 2).cast("decimal(18,2)").alias("freight_value"), F.lit("2024-01-01").cast("timestamp_ntz").alias("shipping_limit_date"),
+    )
+    plain, dealt = models.item_totals(items), models.item_totals(items, dealt=True)
+    assert "Expand" not in plan(dealt) and plan(dealt).count("Exchange") == 1
+    assert dealt.schema == plain.schema and sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_written_totals_are_dealt(spark, monkeypatch):
+    seen = []
+    totals = models.item_totals
+    monkeypatch.setattr(models, "item_totals", lambda items, **how: seen.append(how) or totals(items, **how))
+    queries.published(spark, SF)["int_order_items_aggregated"].count()
+    assert seen == [{"dealt": True}]
+
+
 def test_fact_join_adds_no_shuffle(spark, base):
     """Window by order and aggregate by order already place both sides."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

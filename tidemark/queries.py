@@ -435,7 +435,7 @@ class Published(dict):
         if layer == "stg":
             return models.staged(self[f"raw_{table}"], table)
         if name == "int_order_items_aggregated":
-            return stage(models.item_totals(self["stg_order_items"]))
+            return stage(models.item_totals(self["stg_order_items"], dealt=True))
         if name == "fact_orders":
             return stage(models.fact_orders(self["stg_orders"], self["int_order_items_aggregated"]))
         if name == "fact_payments":
