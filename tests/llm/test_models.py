@@ -149,6 +149,11 @@ def test_exchange_finds_alternating_words():
     assert len(set(a[:4])) == len(set(a[4:])) == 1 and a[0] != a[4]
 
 
+def test_exchange_sweeps_until_none_moves():
+    pairs = np.random.default_rng(2).poisson(0.2, (300, 300))
+    assert (classlm.exchange(pairs, 296) == classlm.exchange(pairs, 296, sweeps=500)).all()
+
+
 def test_language_model_edges(docs, clashing):
     frame = clashing(docs(None, "", "A a\tb", "a " * 50_000, (None, "unknown words", "s"), (2, "A a\tb", "s")))
     found = classlm.score(frame, classlm.train(frame)).collect()
