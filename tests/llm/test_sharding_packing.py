@@ -125,3 +125,15 @@ def test_binary_pieces():
     assert packing.pieces(0, 8) == []
     assert packing.pieces(13, 8) == [(0, 8), (8, 4), (12, 1)]
     assert packing.pieces(16, 8) == [(0, 8), (8, 8)]
+
+
+def test_plain_words_are_encoded_in_runs(monkeypatch):
+    path = packing.default_tokenizer()
+    tokenizer, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    alone = []
+    monkeypatch.setattr(encode, "_encode", lambda texts, old=encode._encode: alone.extend(texts) or old(texts))
+    words = [f"wörd{i}," for i in range(300)] + ["it's", "don'T", "a\nb", "a\n", "\tc", "x<|endoftext|>y", "\u4e2d\u6587", "", "\u017f", "1\u00bd"]
+    texts = [" ".join(words), " ".join(reversed(words)), ""]
+    for text, ids in zip(texts, encode.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert not any(text.startswith(" wörd") for text in alone)

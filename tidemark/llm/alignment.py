@@ -147,11 +147,7 @@ class Codec:
         self._a = Tokenizer.from_file(a_path)
         self._a.encode_special_tokens = True
         self._b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        letters = _byte_letters()
-        self.a_bytes = [
-            bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-            for token in map(self._a.id_to_token, range(self._a.get_vocab_size()))
-        ]
+        self.a_bytes = _token_bytes(self._a)
         self.b_bytes = [_piece_bytes(self._b, i) for i in range(self._b.get_piece_size())]
         self._ranked = _ranked(a_path, self.a_bytes)
         if self._ranked:
@@ -260,6 +256,22 @@ def _ranked(path: str, tokens: list[bytes]):
     return tiktoken.Encoding("plain", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
 
+def ranked_bpe(path: str):
+    """(the faster encoder of a byte-level tokenizer or None, bytes of each of its tokens)"""
+    from tokenizers import Tokenizer
+
+    tokens = _token_bytes(Tokenizer.from_file(path))
+    return _ranked(path, tokens), np.array(list(map(len, tokens)))
+
+
+def _token_bytes(tokenizer) -> list[bytes]:
+    letters = _byte_letters()
+    return [
+        bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        for token in map(tokenizer.id_to_token, range(tokenizer.get_vocab_size()))
+    ]
+
+
 def _byte_letters() -> dict[str, int]:
     """Byte-level vocabularies write printable bytes as they are, the others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

@@ -15,12 +15,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.alignment import ranked_bpe
 from tidemark.llm.common import kept
 
 #: Token ids of so many different words are remembered by a Python worker.
@@ -29,6 +31,10 @@ FLUSH_BYTES = 8 << 20
 
 # A space with white space on both sides: only there do tokens depend on more than one word.
 _RUN = re.compile(r"\s (?!\S)")
+# Words that every version of the character tables cuts alike: ASCII and Latin letters and marks, line ends only inside.
+_PLAIN = re.compile(r"(?!\n)[\n\x21-\x7E\xA1-\u024F]+(?<!\n)")
+#: Words that are encoded as one text.
+RUN = 4096
 # not ' and <, which begin contractions and special tokens
 _MARKS = "!\"#$%&()*+,-./:;=?@[]^_{|}~"
 GROUP = 128
@@ -45,7 +51,7 @@ class Encoder:
 
     Byte-level BPE never merges across the end of a word, so a text is the
     sequence of its words, each with the space before it, and words are
-    encoded once.
+    encoded once, plain ones many in a call.
     """
 
     def __init__(self, path: str):
@@ -53,6 +59,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._added = re.compile("|".join(re.escape(token.content) for token in added) or r"(?!)")
+        self._ranked, self._sizes = ranked_bpe(path)
         self._first: dict[str, bytes] = {}
         self._later: dict[str, bytes] = {}
         self._marks: dict[str, bytes] = {}
@@ -63,6 +72,13 @@ class Encoder:
 
     def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
         new = [word for word in words if word not in known]
+        if before and self._ranked:
+            plain = [word for word in new if _PLAIN.fullmatch(word)]
+            if self._added.search(" ".join(plain)):
+                plain = [word for word in plain if not self._added.search(word)]
+            for low in range(0, len(plain), RUN):
+                known.update(self._encode_run(plain[low : low + RUN], before))
+            new = [word for word in new if word not in known]
         # letters and the marks after them are never merged, so each is encoded once
         ends = {}
         for word in new:
@@ -75,6 +91,18 @@ class Encoder:
         self._add(self._marks, marks, "")
         known.update((word, known[stem] + self._marks[mark]) for word, (stem, mark) in ends.items())
 
+    def _encode_run(self, words: list[str], before: str) -> Iterator[tuple[str, bytes]]:
+        """The words with their ids, encoded as one text; those at whose end no token ends are left out."""
+        ids = np.array(self._ranked.encode_ordinary(before + before.join(words)), "<u4")
+        ends = np.cumsum(self._sizes[ids])
+        wanted = np.cumsum([len(word.encode()) for word in words]) + len(before) * np.arange(1, len(words) + 1)
+        upto = np.searchsorted(ends, wanted, side="right")
+        good = ends[np.maximum(upto, 1) - 1] == wanted
+        good[1:] &= good[:-1].copy()
+        data, cuts = ids.tobytes(), [0, *(4 * upto).tolist()]
+        found = zip(words, [data[i:j] for i, j in zip(cuts, cuts[1:])])
+        return found if good.all() else compress(found, good)
+
     def _add(self, known: dict[str, bytes], words: set[str], before: str) -> None:
         if words:
             order = list(words)
