@@ -119,3 +119,10 @@ def test_alignment_query(spark, sf):
         x = found[r.doc_id]
         assert (x.n_a, x.n_b, x.n_groups, x.n_links, x.n_best, x.count_sum) == (n_a, n_b, n_groups, n_links, n_best, total)
         assert x.groups_sha256 == (hashlib.sha256(groups.encode()).hexdigest() if groups else "")
+
+
+def test_a_worker_loads_its_tokenizers_once():
+    first = alignment.codec_of((A, B), with_groups=False)
+    assert first.texts(["some words"]) and first.known and not first.groups
+    again = alignment.codec_of((A, B))
+    assert again is first and not again.known and again.texts(["some words"]) and again.groups

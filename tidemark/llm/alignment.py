@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_staged, staged
+from tidemark.llm.common import drop_staged, kept, staged
 
 #: Longer texts are cut into byte ranges of this size.
 CHUNK_BYTES = 1 << 16
@@ -139,7 +139,6 @@ class Codec:
 
     def __init__(self, a_path: str, b_path: str, with_groups: bool = True):
         """``with_groups``: whether the groups of words are wanted as text."""
-        self._with_groups = with_groups
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -156,6 +155,11 @@ class Codec:
         self.size_b = len(self.b_bytes)
         if any(b" " in piece.lstrip(b" ") for piece in self.b_bytes):
             raise ValueError(f"{b_path}: tokens go across words, so texts cannot be cut at spaces")
+        self.begin(with_groups)
+
+    def begin(self, with_groups: bool) -> None:
+        """Know no words, and keep the groups of those to come or not."""
+        self._with_groups = with_groups
         self.forget()
 
     def forget(self) -> None:
@@ -233,6 +237,13 @@ class Codec:
         return [words if words and self.bad.isdisjoint(words) else None for words in cut]
 
 
+def codec_of(paths: tuple[str, str], with_groups: bool = True) -> Codec:
+    """The codec of this Python worker, knowing no words; its tokenizers are loaded once, not in every task."""
+    codec = kept(f"codec {paths}", lambda: Codec(*paths))
+    codec.begin(with_groups)
+    return codec
+
+
 def _ranked(path: str, tokens: list[bytes]):
     """The same tokenizer in a faster library, if its file is plain byte-level BPE: ids are merge ranks.
 
@@ -361,7 +372,7 @@ def _aggregated(pairs: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
 
 def _count_words(paths: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, seen = Codec(*paths, with_groups=False), Counter()
+        codec, seen = codec_of(paths, with_groups=False), Counter()
 
         def counted() -> Iterator[pa.RecordBatch]:
             times = np.zeros(len(codec.known), np.int64)
@@ -383,6 +394,7 @@ def _count_words(paths: tuple[str, str]):
                         seen.update(words)
         if seen:
             yield from counted()
+        codec.forget()
 
     return run
 
@@ -430,7 +442,7 @@ class _Rows:
 
 def _score_words(paths: tuple[str, str], sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, lookup, none = Codec(*paths), sent.value, np.zeros(0, np.int64)
+        codec, lookup, none = codec_of(paths), sent.value, np.zeros(0, np.int64)
         numbers, runs, rare = np.zeros((0, 6), np.int64), 0, {}  # of the words that the codec knows
         for batch in batches:
             rows, texts = _Rows(batch.column(0)), batch.column(1)
@@ -460,6 +472,7 @@ def _score_words(paths: tuple[str, str], sent):
                     yield rows.batch()
             if rows.rows:
                 yield rows.batch()
+        codec.forget()
 
     return run
 
@@ -547,7 +560,7 @@ def _cut_long(chunk_bytes: int):
 
 def _fragments(paths: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*paths)
+        codec = codec_of(paths)
         for batch in batches:
             for k in range(batch.num_rows):
                 row, chunk, text, start, low, high = (batch.column(c)[k].as_py() for c in range(6))
