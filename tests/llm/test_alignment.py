@@ -126,3 +126,17 @@ def test_a_worker_loads_its_tokenizers_once():
     assert first.texts(["some words"]) and first.known and not first.groups
     again = alignment.codec_of((A, B))
     assert again is first and not again.known and again.texts(["some words"]) and again.groups
+
+
+def test_groups_of_words_are_kept_together():
+    """One column of all words' groups, not a string a word; each is what the word alone gives."""
+    codec = alignment.codec_of((A, B))
+    cut = codec.texts(["some wörds and some more", None, "", "and words"])
+    codec.texts(["others, later"])
+    at, ends = codec.places(cut)
+    assert len(codec.group_texts()) == len(codec.known) and len(codec.groups) == 1
+    assert ends.tolist() == [5, 5, 5, 7]
+    for word, groups in zip([*cut[0], *cut[3]], codec.group_texts().take(at).to_pylist(), strict=True):
+        a, b = codec.encode(word)
+        a_ends, b_ends = (x.tolist() for x in codec.ends(a, b))
+        assert groups == ";".join(alignment.close(a, a_ends, b, b_ends, codec.size_b)[0])

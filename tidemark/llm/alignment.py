@@ -24,13 +24,14 @@ import json
 import os
 import re
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ FAN = 16
 HOT_PAIRS = 4_000_000
 #: What a task remembers of words, and what it holds before it sends rows on.
 CACHE_BYTES, FLUSH_BYTES, GROUP = 84 << 20, 4 << 20, 256
+#: What remembering a word takes beside its bytes, groups and links.
+WORD_BYTES = 200
 #: Words that are encoded and aligned as one text.
 RUN = 4096
 
@@ -153,6 +156,7 @@ class Codec:
             self._a = None  # one copy of the vocabulary is enough
         self._a_size, self._b_size = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
         self.size_b = len(self.b_bytes)
+        self._a_texts, self._b_texts = (pa.array(list(map(str, range(len(x))))) for x in (self.a_bytes, self.b_bytes))
         if any(b" " in piece.lstrip(b" ") for piece in self.b_bytes):
             raise ValueError(f"{b_path}: tokens go across words, so texts cannot be cut at spaces")
         self.begin(with_groups)
@@ -165,7 +169,8 @@ class Codec:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.bad: set[str] = set()
-        self.groups: list[str] = []
+        #: of each run of words: the groups of each word
+        self.groups: list[pa.Array] = []
         #: of each run of words: their links, and per word n_a, n_b, n_groups, n_links
         self.pairs: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
@@ -186,7 +191,8 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Remember the closed fragments of words, aligned many at a time."""
-        new = [word for word in words if word not in self.known and word not in self.bad]
+        new = words.difference(self.known)
+        new -= self.bad
         alone = [word for word in new if word[-1].isspace()]  # what follows white space depends on it
         rest = [word for word in new if not word[-1].isspace()]
         for run in (*(rest[k : k + RUN] for k in range(0, len(rest), RUN)), *([word] for word in alone)):
@@ -210,33 +216,44 @@ class Codec:
         upto = [np.searchsorted(x, ends, side="right") for x in (a_ends, b_ends, common, links)]
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
         if self._with_groups:
-            a_at, b_at = (np.searchsorted(x, common, side="right") for x in (a_ends, b_ends))
-            begun = 0
-            texts = list(map(str, ids[0])), list(map(str, ids[1]))
-            i = j = 0
-            groups = []
-            for k, m in zip(a_at.tolist(), b_at.tolist()):
-                x = texts[0][i] if k == i + 1 else ",".join(texts[0][i:k])
-                groups.append(f"{x}|{texts[1][j] if m == j + 1 else ','.join(texts[1][j:m])}")
-                i, j = k, m
-            for k in upto[2].tolist():
-                self.groups.append(";".join(groups[begun:k]))
-                begun = k
-            self.held += sum(map(len, self.groups[-len(words) :]))
+            sides = (a, a_ends, self._a_texts), (b, b_ends, self._b_texts)
+            sides = [_joined(texts.take(pa.array(x)), np.searchsorted(x_ends, common, side="right"), ",") for x, x_ends, texts in sides]
+            self.groups.append(_joined(pc.binary_join_element_wise(*sides, "|"), upto[2], ";"))
+            self.held += self.groups[-1].nbytes
         self.pairs.append(pairs)
-        self.counts.append(np.diff(np.stack(upto, 1), axis=0, prepend=0))
-        self.held += 250 * len(words) + 8 * len(pairs) + int(ends[-1])
+        self.counts.append(np.diff(np.stack(upto, 1), axis=0, prepend=0).astype(np.int32))
+        self.held += WORD_BYTES * len(words) + 8 * len(pairs) + int(ends[-1])
         return True
 
+    def group_texts(self) -> pa.Array:
+        """The groups of each known word."""
+        self.groups = [pa.concat_arrays(self.groups)] if self.groups else [pa.array([], pa.string())]
+        return self.groups[0]
+
     def texts(self, texts: list[str | None]) -> list[list[str] | None]:
         """The units of each text, all known; None for a text without tokens."""
         if self.held > CACHE_BYTES:
             self.forget()
         cut = [units(" " + text) if text else None for text in texts]
-        self.learn({word for words in cut if words for word in words})
+        self.learn(set().union(*filter(None, cut)))
+        if not self.bad:
+            return cut
         return [words if words and self.bad.isdisjoint(words) else None for words in cut]
 
 
+    def places(self, cut: list[list[str] | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known words of some texts, one text after the other, and where each text's end."""
+        cut = [words or () for words in cut]
+        ends = np.cumsum(list(map(len, cut)))
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, ends[-1]), ends
+
+
+def _joined(texts: pa.Array, ends: np.ndarray, by: str) -> pa.Array:
+    """The texts up to each end joined; the ends ascend."""
+    offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, texts), by)
+
+
 def codec_of(paths: tuple[str, str], with_groups: bool = True) -> Codec:
     """The codec of this Python worker, knowing no words; its tokenizers are loaded once, not in every task."""
     codec = kept(f"codec {paths}", lambda: Codec(*paths))
@@ -372,28 +389,27 @@ def _aggregated(pairs: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
 
 def _count_words(paths: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, seen = codec_of(paths, with_groups=False), Counter()
+        codec, times = codec_of(paths, with_groups=False), np.zeros(0, np.int64)
 
         def counted() -> Iterator[pa.RecordBatch]:
-            times = np.zeros(len(codec.known), np.int64)
-            times[[codec.known[word] for word in seen]] = list(seen.values())
-            seen.clear()
             # some runs of words at a time, so that little is held beside them
+            begun = 0
             for low in range(0, len(codec.pairs), 16):
                 pairs, links = codec.pairs[low : low + 16], np.concatenate(codec.counts[low : low + 16])[:, 3]
-                some, times = times[: len(links)], times[len(links) :]
+                some, begun = times[begun : begun + len(links)], begun + len(links)
                 yield _aggregated(np.concatenate(pairs), np.repeat(some, links))
 
         for batch in batches:
             texts = batch.column(0)
             for low in range(0, len(texts), GROUP):
-                if codec.held > CACHE_BYTES and seen:
+                if codec.held > CACHE_BYTES:
                     yield from counted()
-                for words in codec.texts(texts.slice(low, GROUP).to_pylist()):
-                    if words:
-                        seen.update(words)
-        if seen:
-            yield from counted()
+                    times = np.zeros(0, np.int64)
+                at, _ = codec.places(codec.texts(texts.slice(low, GROUP).to_pylist()))
+                seen = np.bincount(at, minlength=len(codec.known))
+                seen[: len(times)] += times
+                times = seen
+        yield from counted()
         codec.forget()
 
     return run
@@ -445,7 +461,7 @@ def _score_words(paths: tuple[str, str], sent):
         codec, lookup, none = codec_of(paths), sent.value, np.zeros(0, np.int64)
         numbers, runs, rare = np.zeros((0, 6), np.int64), 0, {}  # of the words that the codec knows
         for batch in batches:
-            rows, texts = _Rows(batch.column(0)), batch.column(1)
+            texts = batch.column(1)
             for low in range(0, len(texts), GROUP):
                 cut = codec.texts(texts.slice(low, GROUP).to_pylist())
                 if len(codec.known) < len(numbers) or len(codec.pairs) < runs:
@@ -459,19 +475,20 @@ def _score_words(paths: tuple[str, str], sent):
                     for word, pair in zip(owner[n == 0].tolist(), pairs[n == 0].tolist()):
                         rare.setdefault(word, []).append(pair)
                     new.append(np.column_stack([counts, *summed]))
-                numbers, runs = np.concatenate(new), len(codec.pairs)
-                for i, words in enumerate(cut, low):
-                    if words is None:
-                        rows.add(i, [0] * 6, "", none)
-                        continue
-                    at = [codec.known[word] for word in words]
-                    beyond = [pair for word in at for pair in rare.get(word, ())] if rare else none
-                    groups = ";".join([codec.groups[word] for word in at])
-                    rows.add(i, numbers[at].sum(0), groups, beyond)
-                if rows.held > FLUSH_BYTES:
-                    yield rows.batch()
-            if rows.rows:
-                yield rows.batch()
+                numbers = np.concatenate(new)
+                # what is summed is not needed again
+                codec.pairs[runs:], codec.counts[runs:] = ([None] * (len(codec.pairs) - runs) for _ in range(2))
+                runs = len(codec.pairs)
+                # texts without tokens have no words, so their sums are zeros and their groups ''
+                at, ends = codec.places(cut)
+                # one number of all words at a time, as a group of long texts has many words
+                sums = [np.diff(np.append(0, np.cumsum(column[at]))[ends], prepend=0) for column in numbers.T]
+                groups = _joined(codec.group_texts().take(pa.array(at)), ends, ";")
+                beyond = [none] * len(cut)
+                if rare:
+                    beyond = [[pair for word in some.tolist() for pair in rare.get(word, ())] for some in np.split(at, ends[:-1])]
+                columns = [*map(pa.array, sums), groups, pa.array(beyond, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, GROUP), *columns], names=_Rows.NAMES)
         codec.forget()
 
     return run
