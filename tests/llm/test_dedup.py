@@ -226,3 +226,41 @@ def test_parts_are_bounded(monkeypatch):
     parts = [p.column(0).to_pylist() for p in linededup.text_parts(iter([batch, batch.slice(0, 0)]))]
     assert sum(parts, []) == texts
     assert all(len(p) <= 3 and (len(p) == 1 or sum(len(t or "") for t in p) <= 10) for p in parts)
+
+
+def test_lines_are_read_as_arrays():
+    """Owner, number and words of each line as plain Python finds them; a word has one hash wherever it stands."""
+    rng = random.Random(5)
+    own = ["a", "B", "b", "ab\0", "ab", "é", "É", "x" * 8, "x" * 9, "Y" * 16, "y" * 17, "z" * 63, "z" * 64, "z" * 65, "w" * 300]
+    gaps = [" ", "  ", "\n", "\t", "\r\n", "\n \n", "\v", "\f", "\x1f", "\x85"]
+    texts = [None, "", "\n", " ", "end\n", "\nstart", *("".join(rng.choice(own + gaps) for _ in range(rng.randrange(60))) for _ in range(200))]
+    want = []
+    for i, text in enumerate(texts):
+        for k, line in enumerate((text or "").encode().lower().split(b"\n")):
+            if line.split():
+                want.append((i, k, frozenset(line.split())))
+    levels = np.random.default_rng(2).integers(0, 3, 1 << linededup.BUCKET_BITS).astype(np.int8)
+    of_hash = {}
+    for given in (None, levels):
+        lines = linededup._Lines(pa.array(texts), given)
+        assert list(zip(lines.owner.tolist(), lines.number.tolist(), lines.size.tolist())) == [(i, k, len(words)) for i, k, words in want]
+        for (_, _, words), low, n in zip(want, lines.starts.tolist(), lines.size.tolist()):
+            assert len(set(lines.hashes[low : low + n].tolist())) == n
+            ranks = list(zip(lines.level[low : low + n].tolist(), lines.hashes[low : low + n].tolist()))
+            assert ranks == sorted(ranks)
+            for h in lines.hashes[low : low + n].tolist():
+                of_hash[h] = of_hash.get(h, words) & words
+        assert len({k for k in lines.key.tolist()}) == len({words for *_, words in want}) == int(lines.first.sum())
+    # what all lines of a hash share holds the word, and there are as many hashes as words
+    assert all(of_hash.values()) and len(of_hash) == len(set().union(*(words for *_, words in want)))
+    empty = linededup._Lines(pa.array([], pa.string()))
+    assert len(empty.owner) == len(empty.hashes) == 0
+
+
+@pytest.mark.parametrize("step", [3, 10_000])
+def test_postings_of_a_word_meet_in_any_order(step):
+    rows = [(1, k, n << 32, 0) for k, n in ((4, 10), (2, 9), (4, 10), (3, 20), (1, 11), (2, 9))]
+    names = ["word", "key", "n_at", "parity"]
+    batches = [pa.table(list(map(pa.array, zip(*rows[i : i + step]))), names).to_batches()[0] for i in range(0, len(rows), step)]
+    found = [(r["key"], r["with"]) for b in linededup._meet(iter(batches), 32) for r in b.to_pylist()]
+    assert sorted(found) == [(1, 2), (1, 4), (2, 4)]

@@ -50,11 +50,19 @@ SLICE_BITS = 16
 MEET = 1024
 #: Joined without a shuffle of the other side up to so many rows of a few numbers.
 BROADCAST_ROWS = 500_000
+#: Removed lines that are broadcast; with more, they and the documents meet by a shuffle.
+BROADCAST_LINES = 50_000
 _REMEMBERED = 400_000
 #: Documents and bytes of text whose words a task holds at once; one longer text is a part of its own.
 PART_ROWS = 2_500
 PART_BYTES = 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_FINAL = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: The first bytes of eight, by their number.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
 
 
 class _Hashes(dict):
@@ -86,31 +94,66 @@ def text_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = high
 
 
+def _mixed(values: np.ndarray) -> np.ndarray:
+    for odd in _FINAL:
+        values = (values ^ (values >> np.uint64(33))) * odd
+    return values ^ (values >> np.uint64(33))
+
+
+def hashes_of(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words that begin and end there, eight bytes of all words at a time; eight bytes follow the last word."""
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    size = ends - starts
+    found = _mixed((eights[starts] & _BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * _ODD)
+    longer = np.flatnonzero(size > 8)
+    for at in range(8, _LONG, 8):
+        more = eights[starts[longer] + at] & _BYTES[np.minimum(size[longer] - at, 8)]
+        found[longer] = _mixed(found[longer] * _ODD ^ more)
+        longer = longer[size[longer] > at + 8]
+    for i in longer.tolist():
+        found[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+    return found
+
+
 class _Lines:
-    """Lines with words of some texts: owner, number, words in all, and the hashes of their words one after the other."""
-
-    def __init__(self, texts: pa.Array):
-        hashes = word_hashes()
-        owner, number, size, flat = [], [], [], []
-        for i, text in enumerate(texts.cast(pa.binary()).to_pylist()):
-            for k, line in enumerate((text or b"").lower().split(b"\n")):
-                words = set(line.split())
-                if words:
-                    owner.append(i)
-                    number.append(k)
-                    size.append(len(words))
-                    flat.extend(words)
-        self.owner, self.number, self.size = (np.array(v, np.int64) for v in (owner, number, size))
-        self.hashes = np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat))
+    """Lines with words of some texts: owner, number, words in all, and the hashes of their words one line after the other.
+
+    The words of a line stand by their level of rarity, if levels are given, and hash.
+    """
+
+    def __init__(self, texts: pa.Array, levels: np.ndarray | None = None):
+        raw = [text or b"" for text in texts.cast(pa.binary()).to_pylist()]
+        # a line feed before, between and behind the texts
+        data = b"\n".join([b"", *raw, b""]).lower() + bytes(8)
+        each = np.frombuffer(data, np.uint8)[:-8]
+        space = _SPACE[each]
+        change = np.flatnonzero(space[1:] != space[:-1]) + 1
+        starts, ends = change[::2], change[1::2]
+        feeds = np.flatnonzero(each == 10)
+        words = np.diff(np.searchsorted(starts, feeds))
+        begun = np.searchsorted(feeds, np.cumsum([0, *(len(text) + 1 for text in raw)])[:-1])
+        there = np.flatnonzero(words)
+        self.owner = np.searchsorted(begun, there, side="right") - 1
+        self.number = there - begun[self.owner]
+        line = np.repeat(np.arange(len(there)), words[there])
+        word = hashes_of(data, starts, ends)
+        level = np.zeros(len(word), np.int8) if levels is None else levels[(word >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+        order = _by_rarity(line, level, word)
+        line, word = line[order], word[order]
+        new = np.ones(len(word), bool)
+        new[1:] = (line[1:] != line[:-1]) | (word[1:] != word[:-1])
+        #: of each word its line, hash and level
+        self.line, self.hashes, self.level = line[new], word[new], level[order][new]
+        self.size = np.bincount(self.line, minlength=len(there))
         self.starts = np.cumsum(self.size) - self.size
-        if not owner:
+        if not len(there):
             self.key = self.other = self.first = np.zeros(0, np.uint64)
             return
         self.key = np.add.reduceat(self.hashes, self.starts)
         mixed = (self.hashes ^ (self.hashes >> np.uint64(29))) * _ODD
         self.other = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), self.starts)
         #: True for the first line of each different set.
-        self.first = np.zeros(len(owner), bool)
+        self.first = np.zeros(len(there), bool)
         self.first[np.unique(self.key, return_index=True)[1]] = True
 
 
@@ -178,27 +221,21 @@ def rarity_levels(read: DataFrame) -> np.ndarray:
 
 
 def _by_rarity(line: np.ndarray, level: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Order by line, level and hash: of one number with the first bits of the hash, where these tell all words apart."""
+    """Order by line, level and hash: of one number with the first bits of the hash, where these tell different words apart."""
     if len(line) and line[-1] < 1 << 18:
         value = ((line * 128 + level).astype(np.uint64) << np.uint64(39)) + (word >> np.uint64(25))
         order = np.argsort(value)
-        if (np.diff(value[order]) != 0).all():
+        value, again = value[order], word[order]
+        if ((value[1:] != value[:-1]) | (again[1:] == again[:-1])).all():
             return order
     return np.lexsort((word, line * 128 + level))
 
 
-def prefixes(lines: _Lines, levels: np.ndarray) -> tuple[np.ndarray, ...]:
+def prefixes(lines: _Lines) -> tuple[np.ndarray, ...]:
     """Of the first line of each set: line, place in the order and hash of the prefix words that other sets may hold."""
-    line = np.repeat(np.arange(len(lines.size)), lines.size)
-    chosen = lines.first[line]
-    line, word = line[chosen], lines.hashes[chosen]
-    level = levels[(word >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-    order = _by_rarity(line, level, word)
-    line, word, level = line[order], word[order], level[order]
-    size = np.where(lines.first, lines.size, 0)
-    at = np.arange(len(line)) - (np.cumsum(size) - size)[line]
-    sent = (at < prefix_length(lines.size)[line]) & (level > 0)
-    return line[sent], at[sent], word[sent]
+    at = np.arange(len(lines.line)) - lines.starts[lines.line]
+    sent = lines.first[lines.line] & (at < prefix_length(lines.size)[lines.line]) & (lines.level > 0)
+    return lines.line[sent], at[sent], lines.hashes[sent]
 
 
 def _postings(source: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -206,10 +243,10 @@ def _postings(source: DataFrame, levels: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_parts(batches):
-            lines = _Lines(part.column(0))
+            lines = _Lines(part.column(0), levels)
             if not len(lines.owner):
                 continue
-            line, at, word = prefixes(lines, levels)
+            line, at, word = prefixes(lines)
             parity = np.bitwise_xor.reduceat(np.uint64(1) << (lines.hashes & np.uint64(63)), lines.starts)
             yield pa.RecordBatch.from_arrays(
                 [_signed(word), _signed(lines.key[line]), pa.array((lines.size[line] << 32) + at), _signed(parity[line])],
@@ -268,7 +305,7 @@ def _pair_sets(rows: np.ndarray) -> np.ndarray:
 
 
 def _meet(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by word, n_at and key: the pairs of sets that may match, with the words they share as n_at, and the
+    """Of postings sorted by word: the pairs of sets that may match, with the words they share as n_at, and the
     postings of frequent words as they are.
 
     Holds one batch and the rows of its last word, at most ``most`` of them.
@@ -288,10 +325,11 @@ def _meet(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
         if not batch.num_rows:
             continue
         rows = np.concatenate([waiting, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+        rows = rows[:, np.lexsort((rows[1], rows[2], rows[0]))]
         new = np.ones(rows.shape[1], bool)
         new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
         rows = rows[:, new]
-        # equal sets of two batches of a frequent word can stay twice; pairs of them are made different later
+        # equal sets of two batches of a frequent word can stay twice; they are made different later
         change = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
         size = np.diff(np.append(change, rows.shape[1]))
         many = size > most
@@ -330,11 +368,13 @@ def _later(source: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
     # rows that repeat a document give the same line again
     lines = source.join(by_row, "row").select(F.split("text", "\n").alias("parts"), "wanted")
     found = lines.select(F.explode(F.transform("wanted", lambda w: F.struct(w.alias("w"), F.get("parts", w["line"]).alias("line")))).alias("l"))
-    words = F.array_distinct(F.filter(F.split(ascii_lower(F.col("l.line")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    key, other, place = (F.col(f"l.w.{c}").alias(c) for c in ("key", "other", "first"))
-    texts = found.groupBy(key, other).agg(F.first(place).alias("first"), F.first(words).alias("words"))
+    key, other, place, line = (F.col(f"l.{c}").alias(c.rpartition(".")[2]) for c in ("w.key", "w.other", "w.first", "line"))
+    texts = found.groupBy(key, other).agg(F.first(place).alias("first"), F.first(line).alias("line"))
+    words = F.array_distinct(F.filter(F.split(ascii_lower(F.col("line")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    texts = texts.select("key", "other", "first", words.alias("words"))
     sketch = F.array_distinct(F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(0x7FFF).cast("short")))
-    texts = staged(texts.withColumn("sketch", sketch))
+    # words travel as one string, which takes a third of the bytes of an array
+    texts = staged(texts.select("key", "other", "first", F.size("words").alias("n"), sketch.alias("sketch"), F.array_join("words", " ").alias("words")))
     classes = wanted.select("key", "other", "first")
     sides = [classes.select(F.col("key").alias(k), F.struct("first", "key", "other").alias(f"of_{k}")) for k in "xy"]
     placed = pairs.join(sides[0], "x").join(sides[1], "y")
@@ -364,14 +404,11 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         found = pairs.join(early.withColumnRenamed("key", "early"), "early").join(own, ["key", "other"])
         return found.where(F.col("early_first") < F.col("first"))
 
-    def shared(column: str) -> Column:
-        return F.size(F.array_intersect(column, f"early_{column}"))
-
-    near = both(pairs, F.size("words").alias("n"), "sketch")
-    apart = F.size("sketch") + F.size("early_sketch") - 2 * shared("sketch")
+    near = both(pairs, "n", "sketch")
+    apart = F.size("sketch") + F.size("early_sketch") - 2 * F.size(F.array_intersect("sketch", "early_sketch"))
     near = staged(near.where((num + den) * apart <= (den - num) * (F.col("n") + F.col("early_n"))).select("key", "other", "early"))
-    either = F.size("words") + F.size("early_words") - shared("words")
-    matched = both(near, "words").where(den * shared("words") >= num * either)
+    shared = F.size(F.array_intersect(F.split("words", " "), F.split("early_words", " ")))
+    matched = both(near, "n", "words").where((num + den) * shared >= num * (F.col("n") + F.col("early_n")))
     found = staged(matched.select("key", "other").distinct())
     for done in (pairs, near):
         drop_staged(done)
@@ -381,11 +418,13 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _matched(source: DataFrame, first: DataFrame, postings: DataFrame) -> DataFrame:
     """(key, other) of the classes with an earlier similar one."""
     most = MEET
-    found = staged(postings.repartition("word").sortWithinPartitions("word", "n_at", "key").mapInArrow(
+    found = staged(postings.repartition("word").sortWithinPartitions("word").mapInArrow(
         lambda batches: _meet(batches, most), "word long, key long, n_at long, parity long, with long"
     ))
     pairs = found.where("word IS NULL").select(F.col("key").alias("x"), F.col("with").alias("y"), F.col("n_at").alias("shared"))
-    large = found.where("word IS NOT NULL").drop("with").join(first.select("key", F.col("first").alias("place")), "key")
+    # dealt by key for the join, too
+    large = found.where("word IS NOT NULL").drop("with").repartition("key").dropDuplicates(["word", "key"])
+    large = large.join(first.select("key", F.col("first").alias("place")), "key")
     large = staged(large)
     earliest = F.min(F.struct("place", "key", "n_at", "parity"))
     pivots = staged(large.groupBy("word").agg(earliest.alias("p")).select("word", "p.*"))
@@ -432,9 +471,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     own = F.struct(*(F.col(c) for c in docs.columns)).alias("own")
     n_removed = removed.agg(F.sum(F.size("removed_lines"))).first()[0] or 0
-    found = docs.select(own, row.alias("row")).join(F.broadcast(removed) if n_removed <= BROADCAST_ROWS else removed, "row", "left")
-    text = F.col("own").getField(text_col)
-    parts = F.split(text, "\n")
+    found = docs.select(own, row.alias("row")).join(F.broadcast(removed) if n_removed <= BROADCAST_LINES else removed, "row", "left")
+    # split once: within a transform, it would be split for each line
+    found = found.withColumn("parts", F.split(F.col("own").getField(text_col), "\n"))
+    text, parts = F.col("own").getField(text_col), F.col("parts")
     kept_lines = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "removed_lines")
     left = F.when(
         F.size("removed_lines") > 0, F.array_join(F.transform(kept_lines, lambda i: F.get(parts, i)), "\n")
