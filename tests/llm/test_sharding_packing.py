@@ -1,13 +1,16 @@
 """Sharding and packing against their laws, with nulls, copies and hot rows."""
 
 import zlib
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing, sharding
+from tidemark.llm import common, packing, sharding
 from tidemark.llm.queries import op1_histogram_sort, op2_packing
 
 SF = "/root/testdata/sf0.001"
@@ -137,3 +140,41 @@ def test_plain_words_are_encoded_in_runs(monkeypatch):
     for text, ids in zip(texts, encode.encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     assert not any(text.startswith(" wörd") for text in alone)
+
+
+def test_packing_gives_freed_memory_back(monkeypatch):
+    """After each part that is sent and at the end of each batch, so that a worker never piles up what it has freed."""
+    calls = []
+    monkeypatch.setattr(packing, "give_back", lambda: calls.append(1))
+    monkeypatch.setattr(packing, "FLUSH_BYTES", 0)
+    batch = pa.record_batch([pa.array(range(300)), pa.array(["some text"] * 300)], ["key", "text"])
+
+    class Source:
+        schema = {"key": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "long"))}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            raise Found(list(run(iter([batch, batch]))))
+
+    class Found(Exception):
+        pass
+
+    monkeypatch.setattr(packing.F, "col", lambda name: SimpleNamespace(alias=str))
+    with pytest.raises(Found) as found:
+        packing.pack(Source())
+    assert sum(b.num_rows for b in found.value.args[0]) >= 600 and len(calls) == 2 * 3 + 2
+
+
+def test_freed_memory_goes_back_to_the_system():
+    def held():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    # blocks of the C allocator below its threshold for mappings, with every hundredth of them still in use
+    blocks = [np.ones(8_000) for _ in range(3_000)]
+    some = blocks[::100]
+    full = held()
+    del blocks
+    common.give_back()
+    assert full - held() > 100 << 20 and len(some) == 30

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, drop_staged, kept, staged
+from tidemark.llm.common import ascii_lower, drop_staged, give_back, kept, staged
 
 #: Jaccard similarity as a fraction.
 SIMILAR = (4, 5)
@@ -92,6 +92,7 @@ def text_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             high = min(high, low + PART_ROWS)
             yield batch.slice(low, high - low)
             low = high
+        give_back()
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:

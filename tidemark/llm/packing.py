@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.alignment import ranked_bpe
-from tidemark.llm.common import kept
+from tidemark.llm.common import give_back, kept
 
 #: Token ids of so many different words are remembered by a Python worker.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 FLUSH_BYTES = 8 << 20
 
 # A space with white space on both sides: only there do tokens depend on more than one word.
@@ -191,8 +191,11 @@ def pack(
                 if held > FLUSH_BYTES:
                     yield flush()
                     rows, owner, held = [], [], 0
+                    give_back()
             if rows:
                 yield flush()
+            rows, owner = [], []
+            give_back()
 
     source = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
