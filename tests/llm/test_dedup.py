@@ -1,6 +1,7 @@
 """SimHash and line dedup against plain Python, with hot groups of near copies."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -264,3 +265,72 @@ def test_postings_of_a_word_meet_in_any_order(step):
     batches = [pa.table(list(map(pa.array, zip(*rows[i : i + step]))), names).to_batches()[0] for i in range(0, len(rows), step)]
     found = [(r["key"], r["with"]) for b in linededup._meet(iter(batches), 32) for r in b.to_pylist()]
     assert sorted(found) == [(1, 2), (1, 4), (2, 4)]
+
+
+def postings_of(monkeypatch, texts, documents):
+    """Rows of _postings for one part, whatever the rarity."""
+    monkeypatch.setattr(linededup, "_order", lambda source: SimpleNamespace(alias=str))
+    source = pa.record_batch([pa.array(documents, pa.int64()), pa.array(texts)], ["document", "text"])
+
+    class Source:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return [b for b in run(iter([source]))]
+
+    return np.concatenate([np.stack([c.to_numpy() for c in b.columns]) for b in linededup._postings(Source(), np.ones(1 << linededup.BUCKET_BITS, np.int8))], axis=1)
+
+
+def test_group_of_near_copies_has_one_trial_a_set(monkeypatch):
+    """Rows do not grow with the square of the group; the packed pairs are all that may match, each from its later set."""
+    rng = random.Random(9)
+    base, texts = [f"w{i}" for i in range(20)], []
+    for i in range(60):
+        words = list(base)
+        for _ in range(i % 3):
+            words[rng.randrange(20)] = f"o{rng.randrange(1000)}"
+        texts.append(" ".join(words + [f"own{i}"]))
+    documents = rng.sample(range(1000), 60)
+    rows = postings_of(monkeypatch, texts + texts[:1], documents + [-1])
+    names = ["word", "key", "n_at", "parity", "document"]
+    rows = rows[:, np.lexsort(rows[:1])]
+    trials, rest = {}, set()
+    for batch in linededup._meet(iter(pa.table(list(map(pa.array, rows)), names).to_batches()), 1024):
+        for r in batch.to_pylist():
+            assert r["word"] is None
+            trials.setdefault(r["key"], set()).add(r["with"])
+            rest |= set(zip(*np.frombuffer(r["rest"], np.int64).reshape(2, -1).tolist())) if r["rest"] else set()
+    keys = [int(k) for k in linededup._Lines(pa.array(["\n".join(texts)])).key.view(np.int64)]
+    place = dict(zip(keys, [-1, *documents[1:]]))
+    sets = {k: set(t.split()) for k, t in zip(keys, texts)}
+    similar = {(a, b) for a in sets for b in sets if place[a] > place[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(similar) > 500 and similar <= rest
+    assert all(place[a] > place[b] for a, b in rest) and {a for a, _ in similar} <= trials.keys()
+    assert all(len(of) == 1 for of in trials.values()) and {(a, b) for a, of in trials.items() for b in of} <= rest
+
+
+def test_packed_pairs_of_few_and_many_keys(spark, monkeypatch):
+    packed = np.array([[1, 1, 2, 3, -5], [7, 2, 1, 9, 3]]).tobytes()
+    found = spark.createDataFrame([(bytearray(packed),), (None,)], "rest binary")
+    for rows in (500_000, 0):
+        monkeypatch.setattr(linededup, "BROADCAST_ROWS", rows)
+        for keys, want in (([1, -5], [(-5, 3), (1, 2), (1, 7)]), ([4], []), ([], [])):
+            wanted = spark.createDataFrame([(k,) for k in keys], "key long")
+            assert sorted(map(tuple, linededup._unpacked(found, wanted).collect())) == want
+
+
+def test_order_never_falls_as_the_id_rises(spark):
+    for kind, ids in (("string", [None, "", "a", "a\0", "ab", "abcdefg", "abcdefgh", "b", "\u00e9", "\U0001f600"]), ("int", [None, -5, 0, 7]), ("double", [None, -1.0, 2.0])):
+        rows = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], f"n int, id {kind}")
+        found = [r[0] for r in rows.orderBy("n").select(linededup._order(rows)).collect()]
+        assert found == sorted(found) and (kind == "double" or len(set(found)) >= len(ids) - 2)
+
+
+def test_second_parity_loses_no_pair(monkeypatch):
+    """Positions beyond what is kept of them, and sets at the bound, still meet."""
+    words = [f"w{i}" for i in range(40_000)]
+    rows = postings_of(monkeypatch, [" ".join(words[:36_000]), " ".join(words), " ".join(words[:30_000])], [1, 2, 3])
+    rows = rows[:, np.lexsort((rows[4], rows[1], rows[2], rows[0]))]
+    low, high, _ = linededup._candidates(rows)
+    assert {tuple(sorted(p)) for p in zip(rows[4, low].tolist(), rows[4, high].tolist())} == {(1, 2), (1, 3)}

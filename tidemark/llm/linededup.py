@@ -9,11 +9,11 @@ Equal sets are one class, known by 128 bits, whose first line stands for it.
 Between classes: words are ordered by rarity, and two sets of the wanted
 similarity share one of their rarest n - ceil(0.8 n) + 1.  These prefix words
 are dealt by word, once, and each task pairs the sets that share one: length,
-position of the shared word and a 64-bit parity signature (each a bound on the
-overlap that never loses a pair) prune, words of one set send nothing on.  What
-is left is verified: first one pair of each class, the one with most prefix words
-in common, then all pairs of the classes that it did not settle.  A pair is
-compared by 15-bit hashes of its words, which never make two sets look less
+position of the shared word and parity signatures of 64 and 20 bits (each a bound
+on the overlap that never loses a pair) prune, words of one set send nothing on.
+What is left is verified: first one pair of each class, with the likest set of no
+later document, then all pairs of the classes that it did not settle; until then
+these travel packed.  A pair is compared by 15-bit hashes of its words, which never make two sets look less
 alike than they are; only what passes meets the words themselves.
 
 A task walks the sets of a word by length, so a set meets only those within the
@@ -38,6 +38,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import ascii_lower, drop_staged, give_back, kept, staged
 
@@ -61,6 +62,8 @@ _FINAL = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 #: The first bytes of eight, by their number.
 _BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bits of a place in the order, which may look smaller than it is, and of the second parity beside it, in one number with n.
+_AT_BITS, _MORE_BITS = 12, 20
 #: Words of more bytes are hashed one by one.
 _LONG = 64
 
@@ -239,52 +242,91 @@ def prefixes(lines: _Lines) -> tuple[np.ndarray, ...]:
     return lines.line[sent], at[sent], lines.hashes[sent]
 
 
+def _order(source: DataFrame) -> Column:
+    """A number that never falls as the id rises, null ids first; one number for all ids of types that have none."""
+    kind = source.schema["id"].dataType
+    if isinstance(kind, T.IntegralType):
+        number = F.col("id").cast("long")
+    elif kind == T.StringType():
+        number = F.conv(F.rpad(F.hex(F.substring(F.encode("id", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    else:
+        return F.lit(0).cast("long")
+    return F.coalesce(number, F.lit(-(1 << 63)).cast("long"))
+
+
+def _least(key: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """For each row the least number of the rows of its key."""
+    order = np.lexsort((number, key))
+    own = key[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    least = np.empty_like(number)
+    least[order] = number[order][new][np.cumsum(new) - 1]
+    return least
+
+
 def _postings(source: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Prefix words of each different set: word, key, n and place in the order as one number, parity."""
+    """Prefix words of each different set: word, key, n, second parity and place in the order as one number, parity,
+    order of the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_parts(batches):
-            lines = _Lines(part.column(0), levels)
+            lines = _Lines(part.column(1), levels)
             if not len(lines.owner):
                 continue
             line, at, word = prefixes(lines)
+            # the first document of each set, as that of its class must not be taken for a later one
+            document = _least(lines.key, part.column(0).to_numpy()[lines.owner])
             parity = np.bitwise_xor.reduceat(np.uint64(1) << (lines.hashes & np.uint64(63)), lines.starts)
+            bits = (lines.hashes >> np.uint64(8)) % np.uint64(_MORE_BITS)
+            more = np.bitwise_xor.reduceat(np.int64(1) << bits.astype(np.int64), lines.starts)
+            n_at = ((lines.size << 32) + (more << _AT_BITS))[line] + np.minimum(at, (1 << _AT_BITS) - 1)
             yield pa.RecordBatch.from_arrays(
-                [_signed(word), _signed(lines.key[line]), pa.array((lines.size[line] << 32) + at), _signed(parity[line])],
-                ["word", "key", "n_at", "parity"],
+                [_signed(word), _signed(lines.key[line]), pa.array(n_at), _signed(parity[line]), pa.array(document[line])],
+                ["word", "key", "n_at", "parity", "document"],
             )
 
-    return source.select("text").mapInArrow(run, "word long, key long, n_at long, parity long")
+    return source.select(_order(source).alias("document"), "text").mapInArrow(
+        run, "word long, key long, n_at long, parity long, document long"
+    )
 
 
-def _may_match(n1, at1, parity1, n2, at2, parity2, least, greatest, differing):
-    """Length, position and signature allow the similarity; of columns or of arrays.
+def _may_match(n_at1, parity1, n_at2, parity2, least, greatest, high, differing):
+    """Length, position and both signatures allow the similarity; of columns or of arrays.
 
     The first word that two similar sets share is one of their join keys, and
     all that they share stands from there on, so both must have enough left.
     """
     num, den = SIMILAR
+    (n1, more1), (n2, more2) = ((high(n_at, 32), high(n_at, _AT_BITS)) for n_at in (n_at1, n_at2))
+    at1, at2 = n_at1 - (more1 * (1 << _AT_BITS)), n_at2 - (more2 * (1 << _AT_BITS))
+    # the second parity alone, where the lengths are taken off
+    more1, more2 = more1 - n1 * (1 << _MORE_BITS), more2 - n2 * (1 << _MORE_BITS)
     # the overlap o of similar sets has (num + den) o >= num (n1 + n2)
     return (
         (den * least(n1, n2) >= num * greatest(n1, n2))
         & ((num + den) * least(n1 - at1, n2 - at2) >= num * (n1 + n2))
         & ((num + den) * differing(parity1, parity2) <= (den - num) * (n1 + n2))
+        & ((num + den) * differing(more1, more2) <= (den - num) * (n1 + n2))
     )
 
 
 def _columns_match(a: str, b: str) -> Column:
-    own = [
-        (F.shiftright(f"{x}.n_at", 32), F.col(f"{x}.n_at").bitwiseAND(0xFFFFFFFF), F.col(f"{x}.parity")) for x in (a, b)
-    ]
-    return _may_match(*own[0], *own[1], F.least, F.greatest, lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    own = (F.col(f"{x}.{c}") for x in (a, b) for c in ("n_at", "parity"))
+    return _may_match(*own, F.least, F.greatest, F.shiftright, lambda p, q: F.bit_count(p.bitwiseXOR(q)))
 
 
-def _pair_sets(rows: np.ndarray) -> np.ndarray:
-    """Pairs of keys, and how many words each shares, among rows sorted by word and length, no word with many rows."""
-    word, key, n, at, parity = rows[0], rows[1], rows[2] >> 32, rows[2] & 0xFFFFFFFF, rows[3]
-    found = [np.zeros((2, 0), np.int64)]
+def _candidates(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two places and the differing bits of the parities for each pair that may match, of rows sorted by word and length."""
+    word, n_at, parity = rows[0], rows[2], rows[3]
+    n = n_at >> 32
+    found = [np.zeros((3, 0), np.int64)]
     low = np.arange(len(word))
     num, den = SIMILAR
+
+    def differing(p, q):
+        return np.bitwise_count((p ^ q).view(np.uint64)).astype(np.int64)
+
     for step in range(1, len(word)):
         low = low[low + step < len(word)]
         low = low[(word[low] == word[low + step]) & (num * n[low + step] <= den * n[low])]
@@ -292,12 +334,18 @@ def _pair_sets(rows: np.ndarray) -> np.ndarray:
             break
         high = low + step
         fits = _may_match(
-            n[low], at[low], parity[low], n[high], at[high], parity[high],
-            np.minimum, np.maximum, lambda p, q: np.bitwise_count((p ^ q).view(np.uint64)).astype(np.int64),
-        )
-        found.append(np.stack([key[low[fits]], key[high[fits]]]))
-    pairs = np.concatenate(found, axis=1)
-    pairs = np.stack([pairs.min(0, initial=np.iinfo(np.int64).max), pairs.max(0, initial=np.iinfo(np.int64).min)])
+            n_at[low], parity[low], n_at[high], parity[high], np.minimum, np.maximum, np.right_shift, differing
+        )
+        one, two = low[fits], high[fits]
+        found.append(np.stack([one, two, differing(parity[one], parity[two])]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _pair_sets(rows: np.ndarray) -> np.ndarray:
+    """Pairs of keys, and how many words each shares, among rows sorted by word and length, no word with many rows."""
+    key = rows[1]
+    low, high, _ = _candidates(rows)
+    pairs = np.stack([np.minimum(key[low], key[high]), np.maximum(key[low], key[high])])
     pairs = pairs[:, np.lexsort(pairs)]
     new = np.ones(pairs.shape[1], bool)
     new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(0)
@@ -305,28 +353,57 @@ def _pair_sets(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([pairs[:, at], np.diff(np.append(at, len(new)))[None]])
 
 
+def _trials(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with the order of their documents: (key, other set not after it, differing bits), the likest one of each
+    key, and (key, other set) of all its pairs.  Sets of one document are paired both ways."""
+    key, document = rows[1], rows[4]
+    low, high, apart = _candidates(rows)
+    after = document[high] >= document[low]
+    late, early = np.where(after, high, low), np.where(after, low, high)
+    tied = np.flatnonzero(document[low] == document[high])
+    late, early, apart = np.append(late, low[tied]), np.append(early, high[tied]), np.append(apart, apart[tied])
+    # of equally like ones the first in the order of documents, so that a group meets few
+    order = np.lexsort((key[early], document[early], apart, key[late]))
+    pairs = np.stack([key[late[order]], key[early[order]], apart[order]])
+    trial = np.ones(pairs.shape[1], bool)
+    trial[1:] = pairs[0, 1:] != pairs[0, :-1]
+    # a pair that shares several words stands there several times in a row
+    again = np.zeros(pairs.shape[1], bool)
+    again[1:] = (pairs[:2, 1:] == pairs[:2, :-1]).all(0)
+    return pairs[:, trial], pairs[:2, ~again]
+
+
 def _meet(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by word: the pairs of sets that may match, with the words they share as n_at, and the
-    postings of frequent words as they are.
+    """Of postings sorted by word: the pairs of sets that may match, and the postings of frequent words as they are.
 
+    Pairs are rows with the words they share as n_at; of postings with the order of their documents, only the likest
+    pair of a set is a row, with the differing bits as n_at, and all pairs travel packed, many in a row.
     Holds one batch and the rows of its last word, at most ``most`` of them.
     """
-    names = ["word", "key", "n_at", "parity", "with"]
+    names = ["word", "key", "n_at", "parity", "with", "rest"]
 
     def pairs(rows: np.ndarray) -> pa.RecordBatch:
-        x, y, shared = _pair_sets(rows)
+        (x, y, number), rest = (_pair_sets(rows), None) if len(rows) == 4 else _trials(rows)
         none = pa.nulls(len(x), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.array(x), pa.array(shared), none, pa.array(y)], names)
+        packed = [None] * len(x)
+        if rest is not None and rest.size:
+            packed[0] = rest.tobytes()
+        return pa.RecordBatch.from_arrays(
+            [none, pa.array(x), pa.array(number), none, pa.array(y), pa.array(packed, pa.binary())], names
+        )
 
     def large(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.nulls(rows.shape[1], pa.int64())], names)
+        n = rows.shape[1]
+        return pa.RecordBatch.from_arrays([*map(pa.array, rows[:4]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
 
-    waiting, frequent = np.zeros((4, 0), np.int64), None
+    waiting, frequent = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.concatenate([waiting, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
-        rows = rows[:, np.lexsort((rows[1], rows[2], rows[0]))]
+        rows = np.stack([c.to_numpy() for c in batch.columns])
+        rows = rows if waiting is None else np.concatenate([waiting, rows], axis=1)
+        # of equal sets the one of the first document
+        rows = rows[:, np.lexsort((*rows[4:], rows[1], rows[2], rows[0]))]
         new = np.ones(rows.shape[1], bool)
         new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
         rows = rows[:, new]
@@ -344,12 +421,31 @@ def _meet(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
         each[rows.shape[1] - last :] = True
         if not each.all():
             yield pairs(rows[:, ~each])
-    if waiting.size:
+    if waiting is not None and waiting.size:
         yield pairs(waiting)
 
 
+def _unpacked(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The packed pairs of the wanted keys, as keys x and y."""
+    few = wanted.limit(BROADCAST_ROWS + 1).toArrow()["key"].to_numpy()
+    few = np.sort(few) if len(few) <= BROADCAST_ROWS else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column(0):
+                pairs = np.frombuffer(packed.as_py(), np.int64).reshape(2, -1)
+                if few is not None:
+                    at = np.minimum(np.searchsorted(few, pairs[0]), len(few) - 1)
+                    pairs = pairs[:, few[at] == pairs[0]] if len(few) else pairs[:, :0]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["key", "early"])
+
+    pairs = found.where("rest IS NOT NULL").select("rest").mapInArrow(run, "key long, early long")
+    pairs = pairs if few is not None else pairs.join(wanted, "key", "left_semi")
+    return pairs.select(F.least("key", "early").alias("x"), F.greatest("key", "early").alias("y"))
+
+
 def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.least("a.key", "b.key").alias("x"), F.greatest("a.key", "b.key").alias("y"), F.lit(1).alias("shared"))
+    return joined.select(F.least("a.key", "b.key").alias("x"), F.greatest("a.key", "b.key").alias("y"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -357,9 +453,9 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _later(source: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, other) of the classes that have an earlier verified match among the pairs."""
-    pairs = staged(pairs.groupBy("x", "y").agg(F.sum("shared").alias("shared")))
+def _later(source: DataFrame, first: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, other) of the classes that have an earlier verified match among the pairs; the keys of the pairs' other classes."""
+    pairs = staged(pairs.distinct())
     named = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
     wanted = staged(first.join(_small(named), "key"))
     line = F.struct("first.line", "key", "other", "first")
@@ -380,16 +476,12 @@ def _later(source: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
     sides = [classes.select(F.col("key").alias(k), F.struct("first", "key", "other").alias(f"of_{k}")) for k in "xy"]
     placed = pairs.join(sides[0], "x").join(sides[1], "y")
     late, early = F.greatest("of_x", "of_y"), F.least("of_x", "of_y")
-    placed = staged(placed.select(late["key"].alias("key"), late["other"].alias("other"), early["key"].alias("early"), "shared"))
-    # most pairs are of near copies, so one trial, of the partner with most prefix words in common, settles most classes
-    trial = placed.groupBy("key", "other").agg(F.max_by("early", "shared").alias("early"))
-    once = _similar(trial, texts)
-    others = placed.drop("shared").join(_small(once), ["key", "other"], "left_anti")
-    again = _similar(others, texts)
-    later = staged(once.union(again).distinct())
-    for done in (pairs, wanted, texts, placed, once, again):
+    placed = placed.select(late["key"].alias("key"), late["other"].alias("other"), early["key"].alias("early"))
+    later = _similar(placed, texts)
+    others = staged(classes.join(_small(later), ["key", "other"], "left_anti").select("key").distinct())
+    for done in (pairs, wanted, texts):
         drop_staged(done)
-    return later
+    return later, others
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -420,26 +512,28 @@ def _matched(source: DataFrame, first: DataFrame, postings: DataFrame) -> DataFr
     """(key, other) of the classes with an earlier similar one."""
     most = MEET
     found = staged(postings.repartition("word").sortWithinPartitions("word").mapInArrow(
-        lambda batches: _meet(batches, most), "word long, key long, n_at long, parity long, with long"
+        lambda batches: _meet(batches, most), "word long, key long, n_at long, parity long, with long, rest binary"
     ))
-    pairs = found.where("word IS NULL").select(F.col("key").alias("x"), F.col("with").alias("y"), F.col("n_at").alias("shared"))
+    # one trial of each class, of the likest set that any of its words has met
+    trial = found.where("word IS NULL").groupBy("key").agg(F.min(F.struct("n_at", "with"))["with"].alias("with"))
+    trial = trial.select(F.least("key", "with").alias("x"), F.greatest("key", "with").alias("y"))
     # dealt by key for the join, too
-    large = found.where("word IS NOT NULL").drop("with").repartition("key").dropDuplicates(["word", "key"])
+    large = found.where("word IS NOT NULL").drop("with", "rest").repartition("key").dropDuplicates(["word", "key"])
     large = large.join(first.select("key", F.col("first").alias("place")), "key")
     large = staged(large)
     earliest = F.min(F.struct("place", "key", "n_at", "parity"))
     pivots = staged(large.groupBy("word").agg(earliest.alias("p")).select("word", "p.*"))
     a, b = _small(pivots).alias("a"), large.alias("b")
     word, apart = F.col("a.word") == F.col("b.word"), F.col("a.key") != F.col("b.key")
-    settled = _later(source, first, pairs.union(_pairs(a.join(b, word & apart & _columns_match("a", "b")))))
+    settled, others = _later(source, first, trial.union(_pairs(a.join(b, word & apart & _columns_match("a", "b")))))
 
     marked = large.join(_small(settled.select("key", F.lit(True).alias("done")).distinct()), "key", "left")
     a, b = marked.alias("a"), marked.alias("b")
     # "done" is asked in a term of both sides, so that both read one exchange
     order = (F.col("a.place") <= F.col("b.place")) & (F.col("b.done").isNull() | (F.col("a.done") & (F.col("a.n_at") < 0)))
-    more = _later(source, first, _pairs(a.join(b, word & apart & order & _columns_match("a", "b"))))
+    more, left = _later(source, first, _unpacked(found, others).union(_pairs(a.join(b, word & apart & order & _columns_match("a", "b")))))
     matched = staged(settled.union(more).distinct())
-    for done in (found, large, pivots, settled, more):
+    for done in (found, large, pivots, settled, others, more, left):
         drop_staged(done)
     return matched
 
