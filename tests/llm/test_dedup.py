@@ -327,8 +327,7 @@ def test_order_never_falls_as_the_id_rises(spark):
         assert found == sorted(found) and (kind == "double" or len(set(found)) >= len(ids) - 2)
 
 
-def test_second_parity_loses_no_pair(monkeypatch):
-    """Positions beyond what is kept of them, and sets at the bound, still meet."""
+def test_long_sets_at_the_bound_meet(monkeypatch):
     words = [f"w{i}" for i in range(40_000)]
     rows = postings_of(monkeypatch, [" ".join(words[:36_000]), " ".join(words), " ".join(words[:30_000])], [1, 2, 3])
     rows = rows[:, np.lexsort((rows[4], rows[1], rows[2], rows[0]))]

@@ -9,8 +9,8 @@ Equal sets are one class, known by 128 bits, whose first line stands for it.
 Between classes: words are ordered by rarity, and two sets of the wanted
 similarity share one of their rarest n - ceil(0.8 n) + 1.  These prefix words
 are dealt by word, once, and each task pairs the sets that share one: length,
-position of the shared word and parity signatures of 64 and 20 bits (each a bound
-on the overlap that never loses a pair) prune, words of one set send nothing on.
+position of the shared word and a 64-bit parity signature (each a bound on the
+overlap that never loses a pair) prune, words of one set send nothing on.
 What is left is verified: first one pair of each class, with the likest set of no
 later document, then all pairs of the classes that it did not settle; until then
 these travel packed.  A pair is compared by 15-bit hashes of its words, which never make two sets look less
@@ -62,8 +62,6 @@ _FINAL = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 #: The first bytes of eight, by their number.
 _BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-#: Bits of a place in the order, which may look smaller than it is, and of the second parity beside it, in one number with n.
-_AT_BITS, _MORE_BITS = 12, 20
 #: Words of more bytes are hashed one by one.
 _LONG = 64
 
@@ -266,8 +264,7 @@ def _least(key: np.ndarray, number: np.ndarray) -> np.ndarray:
 
 
 def _postings(source: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Prefix words of each different set: word, key, n, second parity and place in the order as one number, parity,
-    order of the document."""
+    """Prefix words of each different set: word, key, n and place in the order as one number, parity, order of the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_parts(batches):
@@ -278,9 +275,7 @@ def _postings(source: DataFrame, levels: np.ndarray) -> DataFrame:
             # the first document of each set, as that of its class must not be taken for a later one
             document = _least(lines.key, part.column(0).to_numpy()[lines.owner])
             parity = np.bitwise_xor.reduceat(np.uint64(1) << (lines.hashes & np.uint64(63)), lines.starts)
-            bits = (lines.hashes >> np.uint64(8)) % np.uint64(_MORE_BITS)
-            more = np.bitwise_xor.reduceat(np.int64(1) << bits.astype(np.int64), lines.starts)
-            n_at = ((lines.size << 32) + (more << _AT_BITS))[line] + np.minimum(at, (1 << _AT_BITS) - 1)
+            n_at = (lines.size[line] << 32) + at
             yield pa.RecordBatch.from_arrays(
                 [_signed(word), _signed(lines.key[line]), pa.array(n_at), _signed(parity[line]), pa.array(document[line])],
                 ["word", "key", "n_at", "parity", "document"],
@@ -291,35 +286,31 @@ def _postings(source: DataFrame, levels: np.ndarray) -> DataFrame:
     )
 
 
-def _may_match(n_at1, parity1, n_at2, parity2, least, greatest, high, differing):
-    """Length, position and both signatures allow the similarity; of columns or of arrays.
+def _may_match(n1, at1, parity1, n2, at2, parity2, least, greatest, differing):
+    """Length, position and signature allow the similarity; of columns or of arrays.
 
     The first word that two similar sets share is one of their join keys, and
     all that they share stands from there on, so both must have enough left.
     """
     num, den = SIMILAR
-    (n1, more1), (n2, more2) = ((high(n_at, 32), high(n_at, _AT_BITS)) for n_at in (n_at1, n_at2))
-    at1, at2 = n_at1 - (more1 * (1 << _AT_BITS)), n_at2 - (more2 * (1 << _AT_BITS))
-    # the second parity alone, where the lengths are taken off
-    more1, more2 = more1 - n1 * (1 << _MORE_BITS), more2 - n2 * (1 << _MORE_BITS)
     # the overlap o of similar sets has (num + den) o >= num (n1 + n2)
     return (
         (den * least(n1, n2) >= num * greatest(n1, n2))
         & ((num + den) * least(n1 - at1, n2 - at2) >= num * (n1 + n2))
         & ((num + den) * differing(parity1, parity2) <= (den - num) * (n1 + n2))
-        & ((num + den) * differing(more1, more2) <= (den - num) * (n1 + n2))
     )
 
 
 def _columns_match(a: str, b: str) -> Column:
-    own = (F.col(f"{x}.{c}") for x in (a, b) for c in ("n_at", "parity"))
-    return _may_match(*own, F.least, F.greatest, F.shiftright, lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    own = [
+        (F.shiftright(f"{x}.n_at", 32), F.col(f"{x}.n_at").bitwiseAND(0xFFFFFFFF), F.col(f"{x}.parity")) for x in (a, b)
+    ]
+    return _may_match(*own[0], *own[1], F.least, F.greatest, lambda p, q: F.bit_count(p.bitwiseXOR(q)))
 
 
 def _candidates(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two places and the differing bits of the parities for each pair that may match, of rows sorted by word and length."""
-    word, n_at, parity = rows[0], rows[2], rows[3]
-    n = n_at >> 32
+    word, n, at, parity = rows[0], rows[2] >> 32, rows[2] & 0xFFFFFFFF, rows[3]
     found = [np.zeros((3, 0), np.int64)]
     low = np.arange(len(word))
     num, den = SIMILAR
@@ -334,7 +325,7 @@ def _candidates(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             break
         high = low + step
         fits = _may_match(
-            n_at[low], parity[low], n_at[high], parity[high], np.minimum, np.maximum, np.right_shift, differing
+            n[low], at[low], parity[low], n[high], at[high], parity[high], np.minimum, np.maximum, differing
         )
         one, two = low[fits], high[fits]
         found.append(np.stack([one, two, differing(parity[one], parity[two])]))
