@@ -43,6 +43,16 @@ def test_orphans_against_brute_force(skewed, parents):
     assert [(r.n, r.key) for r in first] == expected
 
 
+def test_orphans_need_no_join(spark, frame):
+    child = frame([("a",), ("a",), ("b",), ("b",), (None,)], "child_id string")
+    parent = frame([("b",), ("b",), ("c",), (None,)], "id string")
+    found = orphan_keys(child, "child_id", parent, "id")
+    assert [tuple(r) for r in found.collect()] == [("a", 2)] and found.columns == ["child_id", "n_rows"]
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "Broadcast" not in text
+    assert sorted(tuple(r) for r in orphan_keys(child, "child_id", parent.limit(0), "id").collect()) == [("a", 2), ("b", 2)]
+
+
 def test_duplicates(frame):
     df = frame([("a", 1), ("a", 2), ("b", 1)], "k string, n int")
     assert [tuple(r) for r in duplicate_keys(df, ["k"]).collect()] == [("a", 2)]

@@ -25,9 +25,17 @@ def match_count(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 
 
 def orphan_keys(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Non-NULL child keys that the parent lacks, with their number of rows."""
-    known = parent.select(F.col(parent_key).alias(key))
-    return key_counts(child, key).join(known, key, "left_anti")
+    """Non-NULL child keys that the parent lacks, with their number of rows.
+
+    Both sides meet in one grouping, after each task has counted its own.  As a
+    join, the parent's keys were broadcast whenever their columns were small on
+    disk, and held by the driver at many times that size.
+    """
+    rows = child.select(key, F.lit(False).alias("_known"))
+    known = parent.select(F.col(parent_key).alias(key), F.lit(True).alias("_known"))
+    met = rows.union(known).filter(F.col(key).isNotNull()).groupBy(key)
+    counted = met.agg(F.count_if(~F.col("_known")).alias("n_rows"), F.max("_known").alias("_known"))
+    return counted.filter(~F.col("_known")).drop("_known")
 
 
 def first_orphans(
