@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import classlm, hamming, quality
+from tidemark.llm import classlm, hamming, quality, wordclasses
 from tidemark.llm.queries import ORACLE, QUERIES, op7_class_lm, op8_quality
 
 SF = "/root/testdata/sf0.001"
@@ -166,6 +166,59 @@ def test_language_model_edges(docs, clashing):
     assert (row.n_known, row.base_score) == (0, 0.0)
 
 
+def alternating(docs, n_words=300, times=60):
+    """Texts in which words of two kinds take turns, rarer than 1,100 others; two are held out: in turns, and kind by kind."""
+    rng = random.Random(3)
+    kinds = [[f"{kind}{i}" for i in range(n_words)] for kind in "xy"]
+    turns = [" ".join(rng.choice(kinds[j % 2]) for j in range(100)) for _ in range(times)]
+    every = [" ".join(w for pair in zip(rng.sample(kinds[0], n_words), rng.sample(kinds[1], n_words)) for w in pair) for _ in range(2)]
+    others = [" ".join(rng.sample([f"z{i}" for i in range(1100)], 1100)) for _ in range(40)]
+    ids = [i for i in range(2000) if crc(i) % 10]
+    held = [i for i in range(2000) if crc(i) % 10 == 0][:2]
+    tested = [w for pair in zip(kinds[0][:40], kinds[1][:40]) for w in pair]
+    texts = [" ".join(tested), " ".join(tested[::2] + tested[1::2])]
+    return docs(*((i, x, "s") for i, x in [*zip(ids, turns + every + others), *zip(held, texts)])), held
+
+
+@pytest.mark.parametrize("in_tasks", [False, True])
+def test_all_words_seen_twice_have_classes_by_exchange(docs, monkeypatch, in_tasks):
+    if in_tasks:
+        monkeypatch.setattr(classlm, "HERE_TOKENS", 0)
+        monkeypatch.setattr(classlm, "PART_TOKENS", 5_000)
+        monkeypatch.setattr(classlm, "LOOKUP_WORDS", 100)
+        monkeypatch.setattr(wordclasses, "FETCHED", 3_000)
+    frame, (in_turns, by_kind) = alternating(docs)
+    scores = {r.doc_id: r for r in classlm.score(frame, classlm.train(frame)).collect()}
+    assert scores[in_turns].base_score == pytest.approx(scores[by_kind].base_score)
+    assert scores[in_turns].score > scores[by_kind].score + 5
+
+
+def test_exchange_in_tasks_ends_when_no_word_gains(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    often, classes = 60, 4
+    size, total, end = often + 3, classes + 2, often + 1
+    texts = [np.append(rng.integers(0, often + 1, 40), end).astype(np.int32) for _ in range(60)]
+    frame = spark.createDataFrame([(t.tobytes(),) for t in texts], "words binary").repartition(3)
+    pairs = np.zeros((size, size), np.int64)
+    for t in texts:
+        np.add.at(pairs, (np.append(end, t[:-1]), t), 1)
+    for fetched in (0, 10**6):
+        monkeypatch.setattr(wordclasses, "FETCHED", fetched)
+        assigned = np.array([*(np.arange(often) % classes), classes + 1, classes, classes + 1], np.uint8)
+        start = assigned.copy()
+        parts = wordclasses.neighbours(frame, size, end, often, 5)
+        table = wordclasses.classes_of(parts, 5, often, classes, assigned, total)
+        whole = np.zeros((total, total))
+        np.add.at(whole, (assigned[:, None].repeat(size, 1), assigned[None, :].repeat(size, 0)), pairs)
+        assert (table == whole).all() and (assigned[often:] == start[often:]).all()
+        best = wordclasses.likelihood(whole)
+        for w in range(often):
+            for c in range(classes):
+                moved = assigned.copy()
+                moved[w] = c
+                assert likelihood(pairs, moved, total) <= best + 1e-6
+
+
 def brute_top(vectors, queries, k):
     out = {}
     for q, v in queries:
